@@ -73,3 +73,17 @@ def hash_bucket(buckets: int, *cols: Column | str, seed: str = "") -> Column:
     """An even int bucket in [0, buckets) that follows the order of the row's 63-bit hash, for random order."""
     h = F.xxhash64(F.lit(seed), *cols)
     return F.floor((F.shiftrightunsigned(h, 1) / F.lit(float(2**63))) * buckets).cast("int")
+
+
+def distributed_running_sum(df: DataFrame, part: Sequence[str], order: Sequence[Column], bucket: Column, buckets: int, value: str, out: str = "running") -> DataFrame:
+    """``sum(value) over (partition by part order by bucket, order rows unbounded preceding)``, split as in distributed_row_number."""
+    part = list(part)
+    d = df.withColumn("_b", bucket.cast("int"))
+    sums = d.groupBy(*part, "_b").agg(F.sum(value).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*part).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifted = sums.withColumn("_before", before).drop("_n")
+    running = d.withColumn("_i", F.sum(value).over(Window.partitionBy(*part, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    condition = F.lit(True)
+    for k in [*part, "_b"]:
+        condition = condition & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
+    return running.alias("l").join(shifted.alias("r"), condition).select(*[F.col(f"l.{c}") for c in df.columns], (F.col("r._before") + F.col("l._i")).alias(out))
