@@ -56,12 +56,12 @@ def distributed_row_number(df: DataFrame, part: Sequence[str], order: Sequence[C
     part = list(part)
     d = df.withColumn("_b", bucket.cast("int"))
     counts = d.groupBy(*part, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    shifted = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(*part).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) if part else F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*part).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifted = counts.withColumn("_before", before)
     numbered = d.withColumn("_i", F.row_number().over(Window.partitionBy(*part, "_b").orderBy(*order)))
-    on = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*part, "_b"]]
-    condition = on[0]
-    for c in on[1:]:
-        condition = condition & c
+    condition = F.lit(True)
+    for k in [*part, "_b"]:
+        condition = condition & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
     return (
         numbered.alias("l")
         .join(shifted.drop("_n").alias("r"), condition)
