@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
+from collections.abc import Callable
+from typing import TypeVar
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -47,3 +51,12 @@ def cut(df: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(spark)
     kept = df.checkpoint(eager=True)._jdf
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False), spark)
+
+
+T = TypeVar("T")
+
+
+def share(spark: SparkSession, value: T) -> Callable[[], T]:
+    """Broadcast ``value`` by value, classes included; the result gives it back within a task. Only for bounded data."""
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(sent.value)
