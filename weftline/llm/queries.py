@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import format_dups, group_split, packing, quota_sample
+from weftline.llm import format_dups, group_split, leakage, packing, quota_sample
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,6 +38,8 @@ def queries() -> dict[str, Query]:
         "p5_report": _over(quota_sample.sample_report, *sampled),
         "p6_containers": _over(packing.pack_documents, "documents", "pack_sizes"),
         "p6_report": lambda spark, sf_dir: packing.pack_report(_over(packing.pack_documents, "documents", "pack_sizes")(spark, sf_dir)),
+        "p7_found": _over(leakage.leaked_tests, "documents", "suite_tests"),
+        "p7_paraphrases": _over(leakage.paraphrased_tests, "documents", "suite_tests"),
     }
 
 
@@ -67,4 +69,10 @@ def oracle_sql() -> dict[str, str]:
             SELECT DISTINCT category_kind, category_value FROM sample_targets CROSS JOIN z
             LEFT JOIN c ON c.kind = category_kind AND c.v = {label('category_value')}
             WHERE coalesce(n, 0) < greatest(min_rows, size * target_pm // 1000)""",
+        "p7_found": """
+            WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS w FROM documents WHERE text IS NOT NULL),
+            i AS (SELECT item_id, regexp_extract_all(lower(t), '[\\p{L}\\p{N}_]+') AS w FROM (SELECT item_id, unnest([prompt, rubric]) AS t FROM suite_tests) WHERE t IS NOT NULL),
+            dg AS (SELECT doc_id, hash(w[k:k + 11]) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM d WHERE len(w) >= 12)),
+            ig AS (SELECT DISTINCT item_id, hash(w[k:k + 11]) AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM i WHERE len(w) >= 12))
+            SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)""",
     }
