@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import format_dups, group_split, leakage, packing, quota_sample
+from weftline.llm import encoding, format_dups, group_split, leakage, packing, quota_sample
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,6 +40,8 @@ def queries() -> dict[str, Query]:
         "p6_report": lambda spark, sf_dir: packing.pack_report(_over(packing.pack_documents, "documents", "pack_sizes")(spark, sf_dir)),
         "p7_found": _over(leakage.leaked_tests, "documents", "suite_tests"),
         "p7_paraphrases": _over(leakage.paraphrased_tests, "documents", "suite_tests"),
+        "p8_found": _over(encoding.garbled_documents, "documents"),
+        "p8_repaired": _over(encoding.repair_documents, "documents"),
     }
 
 
