@@ -32,7 +32,9 @@ CHAINS = ("none", "lost", *(f"{a}>{b}" for b in READ for a in WRITTEN if a != b)
 ROUNDS, PULL, CLEAN = 3, 20.0, 0.9
 #: Hashed counts of the trigram model: sizes are fixed whatever the corpus.
 SIZES = (1 << 17, 1 << 16, 1 << 16, 1 << 14, 1 << 14)
-BACKOFF = 1.5
+#: Weight of the shorter context, as a share of all places counted and at the least. The large share at first keeps
+#: garbled wordings that recur from passing for language; later rounds have moved them to their repaired text.
+BACKOFF, LEAST_BACKOFF, COOLING = 2e-5, 1.5, 5.0
 #: A segment stays under suspicion if some chain's log-likelihood comes within this of the text's own.
 MARGIN = 1.0
 #: A chain between one-byte encodings is tried unless its characters are rarer than the text's own by this, in logarithms.
@@ -144,9 +146,10 @@ def quoted_only(text: str) -> bool:
 class Trigrams:
     """Hashed counts of characters in context, over the places where one of three characters is beyond ASCII."""
 
-    def __init__(self, counts: np.ndarray) -> None:
+    def __init__(self, counts: np.ndarray, turn: int) -> None:
         self.parts = np.split(counts, np.cumsum(SIZES)[:-1])
         self.places = max(1.0, float(self.parts[4].sum()))
+        self.backoff = max(LEAST_BACKOFF, BACKOFF * self.places / COOLING**turn)
         self.maps: dict[str, list[tuple[int, dict[int, str]]]] = {}
 
     def commonness(self, chars: str) -> float:
@@ -166,8 +169,8 @@ class Trigrams:
     def loglik(self, text: str) -> float:
         t3, c3, t2, c2, t1 = (part[slot] for part, slot in zip(self.parts, self.slots(text)))
         p1 = (t1 + 0.05) / (self.places + 0.05 * 65536)
-        p2 = (t2 + BACKOFF * p1) / (c2 + BACKOFF)
-        return float(np.log((t3 + BACKOFF * p2) / (c3 + BACKOFF)).sum())
+        p2 = (t2 + self.backoff * p1) / (c2 + self.backoff)
+        return float(np.log((t3 + self.backoff * p2) / (c3 + self.backoff)).sum())
 
 
 def _fold(columns: tuple[np.ndarray, ...]) -> np.ndarray:
@@ -249,7 +252,7 @@ def _suspects(documents: DataFrame, counts: np.ndarray) -> DataFrame:
     shared = share(documents.sparkSession, counts)
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, clean = Trigrams(shared()), {}
+        model, clean = Trigrams(shared(), 0), {}
         known: dict[str, list[str]] = {}
         for batch in batches:
             out = []
@@ -279,13 +282,13 @@ def _with_shares(suspects: DataFrame, masses: DataFrame) -> DataFrame:
     return salted_join(suspects, per_source, ["source"], "left", F.xxhash64("doc_id", "seg"))
 
 
-def _round(suspects: DataFrame, masses: DataFrame, everywhere: np.ndarray, counts: np.ndarray) -> DataFrame:
+def _round(suspects: DataFrame, masses: DataFrame, everywhere: np.ndarray, counts: np.ndarray, turn: int) -> DataFrame:
     """Expected chain masses by source (chain >= 0) and changes of the trigram counts (w) of one E-step."""
     shared = share(suspects.sparkSession, (everywhere, counts))
 
     def expect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         overall, current = shared()
-        model, change, sums = Trigrams(current), np.zeros(sum(SIZES)), {}
+        model, change, sums = Trigrams(current, turn), np.zeros(sum(SIZES)), {}
         for batch in batches:
             for source, text, chains, masses in zip(batch["source"], batch["text"], batch["chains"], batch["masses"]):
                 texts, kinds, p = _posterior(text, model, _shares(chains, masses, overall))
@@ -310,8 +313,8 @@ def _learn(documents: DataFrame) -> tuple[DataFrame, DataFrame, np.ndarray, np.n
     suspects = table.where("doc_id is not null")
     clean = table.where("doc_id is null").groupBy("source").agg(F.sum("seg").cast("double").alias("mass")).select("source", F.lit(0).alias("chain"), "mass")
     masses, everywhere, counts = clean.where("false"), _start(), first
-    for _ in range(ROUNDS):
-        expected = _round(suspects, masses, everywhere, counts)
+    for turn in range(ROUNDS):
+        expected = _round(suspects, masses, everywhere, counts, turn)
         masses = cut(expected.where("chain >= 0").select("source", "chain", "mass").unionByName(clean).groupBy("source", "chain").agg(F.sum("mass").alias("mass")))
         totals = dict(masses.groupBy("chain").agg(F.sum("mass")).collect())  # one row for each chain
         everywhere = _start()
@@ -338,7 +341,7 @@ def garbled_segments(documents: DataFrame) -> DataFrame:
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         overall, current = shared()
-        model = Trigrams(current)
+        model = Trigrams(current, ROUNDS)
         for batch in batches:
             out = []
             for doc, seg, text, chains, mass in zip(batch["doc_id"], batch["seg"], batch["text"], batch["chains"], batch["masses"]):
