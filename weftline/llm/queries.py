@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import encoding, format_dups, group_split, leakage, packing, quota_sample
+from weftline.llm import answer_defects, encoding, format_dups, group_split, leakage, packing, quota_sample
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +33,8 @@ def queries() -> dict[str, Query]:
         "p3_found": _over(group_split.group_files, "source_examples"),
         "p3_splits": _over(group_split.assign_splits, "source_examples", "setup_bundles", "split_targets"),
         "p3_split_report": _split_report,
+        "p4_found": _over(answer_defects.defective_answers, "forged", "source_examples"),
+        "p4_report": _over(answer_defects.defect_report, "forged", "source_examples"),
         "p5_found": _over(quota_sample.unmet_targets, *sampled),
         "p5_sample": lambda spark, sf_dir: _over(quota_sample.draw_sample, *sampled)(spark, sf_dir).select("pair_id", "floor", "seat"),
         "p5_report": _over(quota_sample.sample_report, *sampled),
