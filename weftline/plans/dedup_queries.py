@@ -104,10 +104,13 @@ def _grams(table: str, key: str, text: str) -> str:
                 FROM (SELECT {key}, regexp_extract_all(lower(coalesce({text}, '')), '[\p{{L}}\p{{N}}_]+') AS w FROM {table}))"""
 
 
-_NEAREST = rf"""
-    a AS (SELECT *, len(s) AS n1 FROM {{left}}), b AS (SELECT *, len(s) AS n2 FROM {_grams('suite_tests', 'item_id', 'prompt')}),
-    m AS (SELECT {{key}}, item_id, n1, n2, count(*) AS shared FROM (SELECT {{key}}, n1, unnest(s) AS g FROM a) JOIN (SELECT item_id, n2, unnest(s) AS g FROM b) USING (g) GROUP BY ALL),
-    j AS (SELECT *, shared / (n1 + n2 - shared) AS jaccard, row_number() OVER (PARTITION BY {{key}} ORDER BY shared / (n1 + n2 - shared) DESC, item_id) AS rn FROM m)"""
+def _nearest(left: str, key: str) -> str:
+    return f"""
+    a AS (SELECT *, len(s) AS n1 FROM {left}), b AS (SELECT *, len(s) AS n2 FROM {_grams('suite_tests', 'item_id', 'prompt')}),
+    m AS (SELECT {key}, item_id, n1, n2, count(*) AS shared FROM (SELECT {key}, n1, unnest(s) AS g FROM a) JOIN (SELECT item_id, n2, unnest(s) AS g FROM b) USING (g) GROUP BY ALL),
+    j AS (SELECT *, shared / (n1 + n2 - shared) AS jaccard, row_number() OVER (PARTITION BY {key} ORDER BY shared / (n1 + n2 - shared) DESC, item_id) AS rn FROM m)"""
+
+
 _CLASSES = rf"""
     g AS {_grams('documents', 'doc_id', 'text')},
     k AS (SELECT doc_id, s, len(s) AS n, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE '' END || '|' || array_to_string(list_sort(s), ',') AS same FROM g),
@@ -117,6 +120,7 @@ _CLASSES = rf"""
     r(u, v) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.u, e.v FROM r JOIN e ON r.v = e.u),
     c AS (SELECT r.u AS doc_id, min(r.v) AS class_id FROM r GROUP BY r.u)"""
 
+# edit_ratio has none: the oracle's edit distance counts bytes, not characters. It is tested against brute force.
 ORACLES = {
     "first_seen": f"SELECT pid, rec_id FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY source_file NULLS FIRST, source_index, rec_id) AS rn FROM (SELECT *, {_PID} AS pid FROM source_examples)) WHERE rn = 1",
     "last_write": "SELECT exec_id, exec_level, received_at FROM (SELECT *, row_number() OVER (PARTITION BY exec_id ORDER BY received_at DESC) AS rn FROM exec_results) WHERE rn = 1",
@@ -124,17 +128,15 @@ ORACLES = {
     "equal_sides": f"SELECT pair_id, lower({_norm('chosen')}) = lower({_norm('rejected')}) AS same, round(length({_norm('rejected')}) / nullif(length({_norm('chosen')}), 0), 4) AS ratio FROM forged",
     "code_cache": "SELECT pair_id, CAST('0x' || left(sha256(coalesce(chosen, '')), 4) AS BIGINT) % 100 AS score FROM forged",
     "lost_variants": f"SELECT {_PID} AS pid, count(DISTINCT chosen) AS chosen, count(DISTINCT rejected) AS rejected FROM forged GROUP BY pid HAVING count(DISTINCT chosen) > count(DISTINCT rejected)",
-    "nearest_test": "WITH " + _NEAREST.format(left=_grams("documents", "doc_id", "text"), key="doc_id") + " SELECT doc_id, item_id, shared, round(jaccard, 6) AS jaccard, round(shared / n2, 6) AS contained FROM j WHERE rn = 1",
+    "nearest_test": "WITH " + _nearest(_grams("documents", "doc_id", "text"), "doc_id") + " SELECT doc_id, item_id, shared, round(jaccard, 6) AS jaccard, round(shared / n2, 6) AS contained FROM j WHERE rn = 1",
     "clean_pool": f"WITH f AS (SELECT pid, min(rec_id) AS rec_id, arg_min(prompt, rec_id) AS prompt FROM (SELECT *, {_PID} AS pid FROM source_examples) GROUP BY pid), "
-    + _NEAREST.format(left=_grams("f", "rec_id", "prompt"), key="rec_id")
+    + _nearest(_grams("f", "rec_id", "prompt"), "rec_id")
     + " SELECT rec_id, pid FROM f WHERE rec_id NOT IN (SELECT rec_id FROM j WHERE jaccard >= 0.3)",
     "near_duplicates": f"WITH RECURSIVE {_CLASSES} SELECT doc_id, class_id, (SELECT count(*) FROM e WHERE e.u = c.doc_id) AS links FROM c",
     "safe_holdout": f"""WITH RECURSIVE {_CLASSES},
         z AS (SELECT class_id, count(*) AS n, arg_min(coalesce(component, ''), doc_id) AS component FROM c JOIN documents USING (doc_id) GROUP BY class_id),
         q AS (SELECT *, sum(n) OVER (PARTITION BY component ORDER BY sha256('holdout|' || class_id) ROWS UNBOUNDED PRECEDING) <= floor(sum(n) OVER (PARTITION BY component) * 100 / 1000 + 0.5) AS held FROM z)
         SELECT doc_id, component, held FROM c JOIN q USING (class_id)""",
-    "edit_ratio": """SELECT pair_id, round(CASE WHEN greatest(length(c), length(r)) = 0 THEN 1.0 ELSE 1 - levenshtein(c, r) / greatest(length(c), length(r)) END, 6) AS similarity
-        FROM (SELECT pair_id, coalesce(chosen, '') AS c, coalesce(rejected, '') AS r FROM forged) WHERE length(r) BETWEEN 0.7 * length(c) AND 1.4 * length(c)""",
     "multiset_rows": """SELECT example_id, CASE WHEN n > 0 THEN 'left' ELSE 'right' END AS side, CAST(abs(n) AS BIGINT) AS surplus
         FROM (SELECT example_id, sum(n) AS n FROM (SELECT example_id, 1 AS n FROM setup_bundles UNION ALL SELECT example_id, -1 FROM exec_results) GROUP BY example_id) WHERE n <> 0""",
     "tuple_digests": """WITH m AS (SELECT exec_id, 'V' || exec_level AS a, CASE WHEN run_id IS NULL THEN 'N' ELSE 'V' || run_id END AS b, 'V' || run_status AS c FROM exec_results)
