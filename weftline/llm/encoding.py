@@ -39,6 +39,8 @@ BACKOFF, LEAST_BACKOFF, COOLING = 2e-5, 1.5, 5.0
 MARGIN = 1.0
 #: A chain between one-byte encodings is tried unless its characters are rarer than the text's own by this, in logarithms.
 RARER = 3.0
+#: Chains less likely than the best by this, in logarithms, at the first look are not followed in later rounds.
+KEEP = 25.0
 _SPLIT = re.compile(r"\n+|(?<=[.!?]) +")
 _BEYOND = re.compile(r"[^\x00-\x7f]")
 _LONE = re.compile(r"(?<![^\x00-\x7f])[^\x00-\x7f](?![^\x00-\x7f])")
@@ -208,11 +210,10 @@ def _stretches(segment: str, model: Trigrams) -> list[str]:
     return [segment, *apart] if apart and len(apart) < len(words) else [segment]
 
 
-def _posterior(text: str, model: Trigrams, shares: np.ndarray) -> tuple[list[str], list[list[int]], np.ndarray]:
-    found = candidates(text, model)
-    logs = np.array([model.loglik(t) + np.log(shares[c].sum()) for t, c in found.items()])
+def _posterior(texts: list[str], kinds: list[list[int]], model: Trigrams, shares: np.ndarray) -> np.ndarray:
+    logs = np.array([model.loglik(t) + np.log(shares[c].sum()) for t, c in zip(texts, kinds)])
     p = np.exp(logs - logs.max())
-    return list(found), list(found.values()), p / p.sum()
+    return p / p.sum()
 
 
 def _start() -> np.ndarray:
@@ -240,20 +241,32 @@ def _count_corpus(documents: DataFrame) -> np.ndarray:
     return _sum(documents.select("text").mapInPandas(tally, "w binary"), "float64")
 
 
-def _doubtful(text: str, model: Trigrams) -> bool:
+def _doubtful(text: str, model: Trigrams) -> tuple[str, list[str], list[list[int]]] | None:
+    """The text with the candidates worth following, or None if no chain comes near the text as it is."""
+    found = candidates(text, model)
     if LOST in text:
-        return True
-    others = [t for t, c in candidates(text, model).items() if c != [0]]
-    return bool(others) and max(map(model.loglik, others)) >= model.loglik(text) - MARGIN
+        return text, list(found), list(found.values())
+    if len(found) == 1:
+        return None
+    logs = {t: model.loglik(t) for t in found}
+    best = max(v for t, v in logs.items() if t != text)
+    if best < logs[text] - MARGIN:
+        return None
+    kept = [t for t in found if t == text or logs[t] >= best - KEEP]
+    return text, kept, [found[t] for t in kept]
 
 
 def _suspects(documents: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(doc_id, source, seg, text) of doubtful stretches; rows with a null doc_id count a source's other segments (in seg)."""
+    """(doc_id, source, seg, text, texts, kinds) of doubtful stretches with their candidates and these one's chains.
+
+    Rows with a null doc_id count a source's other segments, in seg.
+    """
     shared = share(documents.sparkSession, counts)
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model, clean = Trigrams(shared(), 0), {}
-        known: dict[str, list[str]] = {}
+        columns = ["doc_id", "source", "seg", "text", "texts", "kinds"]
+        clear: set[str] = set()
         for batch in batches:
             out = []
             for doc, source, text in zip(batch["doc_id"], batch["source"], batch["text"]):
@@ -263,18 +276,20 @@ def _suspects(documents: DataFrame, counts: np.ndarray) -> DataFrame:
                     if segment.isascii():
                         continue
                     key = "|".join(_NEAR.findall(_DIGITS.sub("0", segment)))
-                    if (verdicts := known.get(key)) is None:
-                        verdicts = [] if quoted_only(segment) else [s for s in _stretches(segment, model) if _doubtful(s, model)]
-                        if not verdicts and len(known) < 200_000:  # a memory of clean surroundings, not a limit on what is looked at
-                            known[key] = verdicts
-                    doubtful = bool(verdicts)
-                    out += [(doc, source, n, s) for s in verdicts]
-                    if not doubtful:
+                    verdicts = []
+                    if key not in clear:
+                        if not quoted_only(segment):
+                            verdicts = [v for s in _stretches(segment, model) if (v := _doubtful(s, model))]
+                        if not verdicts and len(clear) < 200_000:  # a memory of clean surroundings, not a limit on what is looked at
+                            clear.add(key)
+                    out += [(doc, source, n, *v) for v in verdicts]
+                    if not verdicts:
                         clean[source] = clean.get(source, 0) + 1
-            yield pd.DataFrame(out, columns=["doc_id", "source", "seg", "text"]).astype({"doc_id": "Int64"})
-        yield pd.DataFrame([(None, s, n, None) for s, n in clean.items()], columns=["doc_id", "source", "seg", "text"]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(out, columns=columns).astype({"doc_id": "Int64"})
+        yield pd.DataFrame([(None, s, n, None, None, None) for s, n in clean.items()], columns=columns).astype({"doc_id": "Int64"})
 
-    return cut(documents.mapInPandas(look, "doc_id bigint, source string, seg bigint, text string"))
+    found = documents.mapInPandas(look, "doc_id bigint, source string, seg bigint, text string, texts array<string>, kinds array<array<int>>")
+    return cut(found.repartition(F.xxhash64("doc_id", "seg", "source")))
 
 
 def _with_shares(suspects: DataFrame, masses: DataFrame) -> DataFrame:
@@ -290,8 +305,9 @@ def _round(suspects: DataFrame, masses: DataFrame, everywhere: np.ndarray, count
         overall, current = shared()
         model, change, sums = Trigrams(current, turn), np.zeros(sum(SIZES)), {}
         for batch in batches:
-            for source, text, chains, masses in zip(batch["source"], batch["text"], batch["chains"], batch["masses"]):
-                texts, kinds, p = _posterior(text, model, _shares(chains, masses, overall))
+            for source, text, texts, kinds, chains, masses in zip(*(batch[c] for c in ("source", "text", "texts", "kinds", "chains", "masses"))):
+                kinds = [list(k) for k in kinds]
+                p = _posterior(texts, kinds, model, _shares(chains, masses, overall))
                 for t, kind, weight in zip(texts, kinds, p):
                     if weight < 1e-3:
                         continue
@@ -344,8 +360,9 @@ def garbled_segments(documents: DataFrame) -> DataFrame:
         model = Trigrams(current, ROUNDS)
         for batch in batches:
             out = []
-            for doc, seg, text, chains, mass in zip(batch["doc_id"], batch["seg"], batch["text"], batch["chains"], batch["masses"]):
-                texts, kinds, p = _posterior(text, model, _shares(chains, mass, overall))
+            for doc, seg, text, texts, kinds, chains, mass in zip(*(batch[c] for c in ("doc_id", "seg", "text", "texts", "kinds", "chains", "masses"))):
+                kinds = [list(k) for k in kinds]
+                p = _posterior(texts, kinds, model, _shares(chains, mass, overall))
                 own = sum(float(x) for k, x in zip(kinds, p) if k == [0])
                 if own < 0.5:
                     best = max(range(len(p)), key=lambda i: p[i] if kinds[i] != [0] else -1.0)
