@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.plans import dedup_queries, selection_queries, text_queries, training_data
+from weftline.plans import dedup_queries, score_queries, selection_queries, text_queries, training_data
 
 FLAGSHIP = "p2_found"
-_MODULES = (training_data, text_queries, dedup_queries, selection_queries)
+_MODULES = (training_data, text_queries, dedup_queries, selection_queries, score_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
