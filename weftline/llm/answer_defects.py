@@ -79,8 +79,8 @@ def copies_prompt(answer: str, prompt: str) -> bool:
     return sum(s in known for s in shingles) >= COPIED * len(shingles)
 
 
-def split_answer(answer: str) -> tuple[str, str, bool]:
-    """(code, prose with comments, whether a fence is left open); lines outside fences are code inside braces or if they look so."""
+def split_answer(answer: str) -> tuple[str, str, str, bool]:
+    """(code, prose, comments in code, whether a fence is left open); lines outside fences are code inside braces or if they look so."""
     if "```" in answer:
         open_fence = answer.count("```") % 2 == 1
         code = "\n".join(_FENCE.findall(answer))
@@ -97,12 +97,12 @@ def split_answer(answer: str) -> tuple[str, str, bool]:
                 prose_lines.append(line)
         code, prose = "\n".join(code_lines), "\n".join(prose_lines)
     comments = " \n".join(c[2:] for c in _COMMENT.findall(_STRING.sub('""', code)) if not c.startswith("//#"))
-    return code, prose + "\n" + comments, open_fence
+    return code, prose, comments, open_fence
 
 
 def ending(answer: str) -> str:
     """'open' if the structure or a sentence breaks off, 'vague' if only a comparison could tell, else 'closed'."""
-    code, _, open_fence = split_answer(answer)
+    code, _, _, open_fence = split_answer(answer)
     bare = _STRING_OR_COMMENT.sub("", code)
     if open_fence or bare.count("{") > bare.count("}") or bare.count("(") > bare.count(")") or bare.count("[") > bare.count("]"):
         return "open"
@@ -128,16 +128,16 @@ def defect_of(answer: str | None, prompt: str | None, prompt_language: str | Non
     """(the defect or None, whether being a shortened version of another answer would make it truncated)."""
     if is_empty(answer):
         return "empty", False
-    code, prose, _ = split_answer(answer)
+    code, prose, comments, _ = split_answer(answer)
     solved = bool(_SOLUTION.search(code)) or bool(_SOLUTION.search(answer))
     if not solved and prompt and copies_prompt(answer, prompt):
         return "copies_prompt", False
-    if not solved and _REFUSAL.search(prose):
+    if not solved and _REFUSAL.search(prose + "\n" + comments):
         return "refusal", False
     end = ending(answer)
     if end == "open":
         return "truncated", False
-    if prompt_language and (own := language_of(prose)) and own != prompt_language:
+    if prompt_language and (own := language_of(prose) or language_of(prose + "\n" + comments)) and own != prompt_language:
         return "other_language", False
     return None, end == "vague" or not solved
 
@@ -210,8 +210,8 @@ def answers(forged: DataFrame, examples: DataFrame) -> DataFrame:
 
 
 def length_limits(rows: DataFrame) -> dict[tuple[str, str], set[int]]:
-    """Lengths that far more answers have than the lengths around them: at most 1 / SPIKE_SHARE for each field."""
-    counted = rows.where("answer is not null").groupBy("table_name", "field_name", F.length("answer").alias("n")).agg(F.count(F.lit(1)).alias("c"))
+    """Lengths that far more different answers have than the lengths around them: at most 1 / SPIKE_SHARE for each field."""
+    counted = rows.where("answer is not null").groupBy("table_name", "field_name", F.length("answer").alias("n")).agg(F.countDistinct(F.xxhash64("answer")).alias("c"))
     field = Window.partitionBy("table_name", "field_name")
     near = field.orderBy("n").rangeBetween(-SPIKE_REACH, SPIKE_REACH)
     marked = counted.withColumn("all", F.sum("c").over(field)).withColumn("mean", (F.sum("c").over(near) - F.col("c")) / (2 * SPIKE_REACH))

@@ -238,7 +238,7 @@ def _count_corpus(documents: DataFrame) -> np.ndarray:
                 _tally(counts, "\n\n".join(lines[at : at + 64]), 1.0)
         yield pd.DataFrame({"w": [counts.tobytes()]})
 
-    return _sum(documents.select("text").mapInPandas(tally, "w binary"), "float64")
+    return _sum(documents.select("text").mapInPandas(tally, "w binary"), "float64", sum(SIZES))
 
 
 def _doubtful(text: str, model: Trigrams) -> tuple[str, list[str], list[list[int]]] | None:
@@ -337,7 +337,7 @@ def _learn(documents: DataFrame) -> tuple[DataFrame, DataFrame, np.ndarray, np.n
         for chain, mass in totals.items():
             everywhere[chain] += mass
         everywhere /= everywhere.sum()
-        counts = np.maximum(first + _sum(expected.where("chain < 0").select("w"), "float64"), 0.0)
+        counts = np.maximum(first + _sum(expected.where("chain < 0").select("w"), "float64", sum(SIZES)), 0.0)
     return suspects, masses, everywhere, counts
 
 

@@ -8,6 +8,7 @@ every vertex. Components then go to splits by cumulative weight within strata of
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -81,14 +82,53 @@ def _place_heavy(targets: list[tuple[str, float]], totals: dict[str, int]):
     return place
 
 
+def _stratum() -> Column:
+    """The types of a component if they are one or two, else its commonest one and a mark; so there are few strata."""
+    kinds = F.array_sort(F.collect_set("component_type"))
+    return F.when(F.size(kinds) <= 2, F.array_join(kinds, "+")).otherwise(F.concat(F.max_by("component_type", F.struct("n", "component_type")), F.lit("+*")))
+
+
+def _cuts(names: list[str], shares: list[float], totals: dict[str, int], taken: dict[tuple[str, str], int], mixed: dict[tuple[str, str], int]) -> list[tuple[str, str, float, float]]:
+    """(stratum, split, low, high): the parts of each stratum that bring all types closest to their shares.
+
+    Least squares over parts that are not negative and sum to 1 in a stratum, by projected gradient.
+    """
+    strata, kinds = sorted({s for s, _ in mixed}), sorted(totals)
+    if not strata:
+        return []
+    content = np.array([[mixed.get((s, k), 0) for k in kinds] for s in strata], float)
+    want = np.array([[share * totals[k] for share in shares] for k in kinds])
+    have = np.array([[taken.get((n, k), 0) for n in names] for k in kinds], float)
+    scale = 1.0 / np.maximum(1.0, want)
+    parts = np.tile(np.array(shares), (len(strata), 1))
+    rate = 0.5 / max(1e-9, float(np.linalg.norm(content.T * np.sqrt(scale.max(axis=1))[:, None], 2) ** 2))
+    for _ in range(5000):
+        gradient = content @ (scale * (have + content.T @ parts - want))
+        parts = _simplex(parts - rate * 2 * gradient)
+    out = []
+    for s, row in zip(strata, parts):
+        edges = np.concatenate([[0.0], np.cumsum(row)])
+        edges[-1] = 2.0
+        out += [(s, n, float(edges[j]), float(edges[j + 1])) for j, n in enumerate(names)]
+    return out
+
+
+def _simplex(rows: np.ndarray) -> np.ndarray:
+    """Each row's nearest point with parts that are not negative and sum to 1."""
+    ordered = -np.sort(-rows, axis=1)
+    over = np.cumsum(ordered, axis=1) - 1
+    n = (ordered - over / np.arange(1, rows.shape[1] + 1) > 0).sum(axis=1)
+    return np.maximum(0.0, rows - (over[np.arange(len(rows)), n - 1] / n)[:, None])
+
+
 def assign_splits(rows: DataFrame, bundles: DataFrame, split_targets: DataFrame) -> DataFrame:
     """(rec_id, root, component_type, split_name): every row gets a split, related rows the same one.
 
     Shares come from split_targets (split_name, share_pm; a handful of rows), overall and for each component type of
     ``bundles`` (example_id = lower-case id; rows without a bundle form the type ''). Heavy components, of which there are
     at most 1/HEAVY, are placed greedily; the others are laid end to end in random order within the stratum of their
-    commonest type and cut at the shares that the heavy ones left open, so a share is missed by half a light component
-    per type at most, unless a heavy one exceeds every share. No rows give no rows; targets that sum to nothing raise.
+    types and cut by cumulative weight, at parts chosen so that all types come closest to their shares beside the heavy
+    ones. No rows give no rows; targets that sum to nothing raise.
     """
     targets = sorted(((r[0], int(r[1])) for r in split_targets.where("split_name is not null and share_pm > 0").select("split_name", "share_pm").collect()), key=lambda t: (-t[1], t[0]))
     if not targets:
@@ -100,7 +140,7 @@ def assign_splits(rows: DataFrame, bundles: DataFrame, split_targets: DataFrame)
     counted = typed.groupBy("root", "component_type").agg(F.count(F.lit(1)).alias("n"))
     groups = cut(
         counted.groupBy("root").agg(
-            F.sum("n").alias("weight"), F.max_by("component_type", F.struct("n", "component_type")).alias("stratum"), F.map_from_entries(F.collect_list(F.struct("component_type", "n"))).alias("kinds")
+            F.sum("n").alias("weight"), _stratum().alias("stratum"), F.map_from_entries(F.collect_list(F.struct("component_type", "n"))).alias("kinds")
         )
     )
     totals = {r[0]: r[1] for r in counted.groupBy("component_type").agg(F.sum("n")).collect()}  # one row per type
@@ -108,15 +148,9 @@ def assign_splits(rows: DataFrame, bundles: DataFrame, split_targets: DataFrame)
     light = groups.join(heavy.select("root"), "root", "left_anti")
     placed = cut(heavy.select("root", "weight", F.map_keys("kinds").alias("kinds"), F.map_values("kinds").alias("counts"), F.lit(1).alias("all")).groupBy("all").applyInPandas(_place_heavy(shares, totals), "root string, split_name string"))
     taken = {(r[0], r[1]): r[2] for r in placed.join(heavy, "root").select("split_name", F.explode("kinds").alias("k", "n")).groupBy("split_name", "k").agg(F.sum("n")).collect()}
-    cuts = []
-    for kind, total in totals.items():
-        open_ = [max(0.0, share * total - taken.get((name, kind), 0)) for name, share in shares]
-        whole, upto = sum(open_) or 1.0, 0.0
-        for (name, _), part in zip(shares, open_):
-            cuts.append((kind, name, upto / whole, (upto + part) / whole))
-            upto += part
-        cuts[-1] = (kind, shares[-1][0], cuts[-1][2], 2.0)
-    bounds = typed.sparkSession.createDataFrame(cuts, "stratum string, split_name string, low double, high double") if cuts else typed.sparkSession.createDataFrame([], "stratum string, split_name string, low double, high double")
+    mixed = {(r[0], r[1]): r[2] for r in light.select("stratum", F.explode("kinds").alias("k", "n")).groupBy("stratum", "k").agg(F.sum("n")).collect()}  # types x strata, some hundreds at most
+    cuts = _cuts([n for n, _ in shares], [s for _, s in shares], totals, taken, mixed)
+    bounds = typed.sparkSession.createDataFrame(cuts, "stratum string, split_name string, low double, high double")
     strata = light.groupBy("stratum").agg(F.sum("weight").alias("whole"))
     running = distributed_running_sum(light.select("root", "weight", "stratum"), ["stratum"], [F.xxhash64("root"), F.col("root")], hash_bucket(256, "root"), 256, "weight")
     middle = (F.col("running") - F.col("weight") / 2) / F.col("whole")

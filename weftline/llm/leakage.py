@@ -122,8 +122,8 @@ def _passage_table(documents: DataFrame, block: Block) -> DataFrame:
     return cut(documents.mapInPandas(cut_up, "doc_id bigint, w binary"))
 
 
-def _sum(blobs: DataFrame, kind: str) -> np.ndarray:
-    """The elementwise sum of a column of equal-length arrays, in two levels; the driver gets 16 of them at most."""
+def _sum(blobs: DataFrame, kind: str, size: int) -> np.ndarray:
+    """The elementwise sum of a column of arrays of ``size``, in two levels; the driver gets 16 of them at most."""
 
     def total(group: pd.DataFrame) -> pd.DataFrame:
         acc = np.frombuffer(group["w"].iloc[0], kind).copy()
@@ -133,7 +133,7 @@ def _sum(blobs: DataFrame, kind: str) -> np.ndarray:
 
     first = blobs.withColumn("slot", F.pmod(F.spark_partition_id(), F.lit(1024))).groupBy("slot").applyInPandas(total, "slot int, w binary")
     second = first.withColumn("slot", F.pmod("slot", F.lit(16))).groupBy("slot").applyInPandas(total, "slot int, w binary").collect()
-    return np.sum([np.frombuffer(r["w"], kind) for r in second], axis=0)
+    return np.sum([np.zeros(size, kind), *(np.frombuffer(r["w"], kind) for r in second)], axis=0)
 
 
 def _fit(block: Block, table: DataFrame) -> Block:
@@ -155,7 +155,7 @@ def _fit(block: Block, table: DataFrame) -> Block:
                     acc += seen.T @ seen if gram else rows.T @ seen
             yield pd.DataFrame({"w": [acc.tobytes()]})
 
-        acc = _sum(table.select("w").mapInPandas(accumulate, "w binary"), "float64").reshape(-1, width).copy()
+        acc = _sum(table.select("w").mapInPandas(accumulate, "w binary"), "float64", width * (width if gram else size)).reshape(-1, width).copy()
         rows = block.weigh(block.windows)
         seen = rows @ q
         return acc + (seen.T @ seen if gram else rows.T @ seen)
@@ -240,7 +240,7 @@ def _matches(documents: DataFrame, suite: DataFrame, paraphrases: bool) -> DataF
         if not len(block.windows):
             continue
         table = _passage_table(documents, block)
-        counts = _sum(table.where("doc_id is null").select("w"), "int64")
+        counts = _sum(table.where("doc_id is null").select("w"), "int64", len(block.vocabulary) + 1)
         block.idf = (np.log((counts[-1] + 1) / (counts[:-1] + 1)) + 1).astype(np.float32)
         block.unknown = float(block.idf.mean())
         hits = _search(table.where("doc_id is not null"), _fit(block, table.where("doc_id is not null")), paraphrases)
