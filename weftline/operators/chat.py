@@ -6,9 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MESSAGE = "array<struct<role:string,content:string,reasoning_content:string>>"
+
 _ROLES = {"human": "user", "gpt": "assistant"}
 
 
+def _strip(c: Column) -> Column:
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
 def from_share_form(turns: Column) -> Column:
     """Messages of a list of (from, value) turns."""
     role = lambda t: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in _ROLES.items() for x in kv]), t["from"]), t["from"])
@@ -17,7 +22,7 @@ def from_share_form(turns: Column) -> Column:
 
 def from_instruction_form(instruction: Column, extra: Column, answer: Column) -> Column:
     """Messages of an instruction record; the input follows the instruction after an empty line, blanks count as absent."""
-    present = lambda c: F.nullif(F.trim(c), F.lit(""))
+    present = lambda c: F.nullif(_strip(c), F.lit(""))
     prompt = F.concat_ws("\n\n", present(instruction), present(extra))
     make = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"), F.lit(None).cast("string").alias("reasoning_content"))
     return F.array(make("user", prompt), make("assistant", answer))
@@ -36,7 +41,7 @@ def single_exchange(messages: Column) -> Column:
 
 def prompt_key(messages: Column) -> Column:
     """All user turns, stripped, as a groupable key."""
-    return F.transform(of_role(messages, "user"), lambda m: F.trim(m.content))
+    return F.transform(of_role(messages, "user"), lambda m: _strip(m.content))
 
 
 def answer_text(messages: Column) -> Column:
@@ -50,7 +55,7 @@ def wrap_reasoning(messages: Column) -> Column:
     def merged(m: Column) -> Column:
         inner, rest = F.regexp_extract(m.content, tagged, 1), F.regexp_extract(m.content, tagged, 2)
         has = m.content.rlike(tagged)
-        thought = F.coalesce(F.nullif(F.trim(m.reasoning_content), F.lit("")), F.when(has, F.trim(inner)))
+        thought = F.coalesce(F.nullif(_strip(m.reasoning_content), F.lit("")), F.when(has, _strip(inner)))
         body = F.when(has, rest).otherwise(m.content)
         content = F.when((m.role == "assistant") & thought.isNotNull(), F.concat(F.lit("<think>\n"), thought, F.lit("\n</think>\n\n"), body)).otherwise(m.content)
         return F.struct(m.role.alias("role"), content.alias("content"), F.lit(None).cast("string").alias("reasoning_content"))

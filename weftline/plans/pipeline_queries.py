@@ -93,7 +93,7 @@ _H = "sha256('c1|' || exec_id)"
 ORACLES = {
     "merged_pools": f"WITH b AS (SELECT 'a' AS pool, rec_id AS i, {_norm('prompt')} AS p, reference AS a FROM source_examples UNION ALL SELECT 'b', pair_id, {_norm('prompt')}, chosen FROM forged), d AS (SELECT *, row_number() OVER (PARTITION BY p ORDER BY pool, i) AS rn FROM b) SELECT pool, CASE WHEN a IS NULL THEN 'no_answer' WHEN length(trim(a, ' ')) < 20 THEN 'short' WHEN rn > 1 THEN 'repeated' ELSE 'kept' END AS reason, count(*) AS n FROM d GROUP BY 1, 2",
     "chat_exchanges": "SELECT rec_id, CASE WHEN reference IS NULL THEN 'assistant_turns' WHEN trim(prompt) = '' THEN 'empty_user' ELSE 'ok' END AS state, coalesce(length(system), 0) AS system_len FROM source_examples",
-    "superseded_rows": "WITH d AS (SELECT rec_id, coalesce(source_file, '') AS f, trim(prompt, ' ') AS k, coalesce(reference, '') AS a FROM source_examples), c AS (SELECT *, row_number() OVER (PARTITION BY k, a ORDER BY f, rec_id) AS rn FROM d WHERE rec_id % 5 <> 0) SELECT rec_id, CASE WHEN k IN (SELECT k FROM d WHERE rec_id % 5 = 0) THEN 'superseded' WHEN rn > 1 THEN 'duplicate' ELSE 'keep' END AS verdict FROM c",
+    "superseded_rows": "WITH d AS (SELECT rec_id, coalesce(source_file, '') AS f, regexp_replace(prompt, '^\\s+|\\s+$', '', 'g') AS k, coalesce(reference, '') AS a FROM source_examples), c AS (SELECT *, row_number() OVER (PARTITION BY k, a ORDER BY f, rec_id) AS rn FROM d WHERE rec_id % 5 <> 0) SELECT rec_id, CASE WHEN k IN (SELECT k FROM d WHERE rec_id % 5 = 0) THEN 'superseded' WHEN rn > 1 THEN 'duplicate' ELSE 'keep' END AS verdict FROM c",
     "forged_pairs": f"""WITH {_R}, c AS (SELECT example_id, exec_id, exec_level AS level, 'candidate output of the run ' || coalesce(output_diff, '') || ' ' || exec_level AS text, lower(trim(regexp_replace('candidate output of the run ' || coalesce(output_diff, '') || ' ' || exec_level, '\\s+', ' ', 'g'))) AS k FROM r WHERE exec_level <> 'L3_pass'),
         f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY example_id, k ORDER BY exec_id) AS rn FROM c) WHERE rn = 1),
         g AS (SELECT lower(id) AS example_id, min(reference) AS chosen FROM source_examples WHERE reference IS NOT NULL AND id IS NOT NULL GROUP BY 1),

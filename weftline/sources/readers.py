@@ -7,6 +7,7 @@ import json
 import os
 from collections.abc import Iterable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,7 +49,7 @@ def read_records(spark: SparkSession, path: str, schema: T.StructType | str | No
     df = reader.json(path)
     if _CORRUPT not in df.columns:
         return df, df.where("false")
-    df = df.cache() if schema is None else df
+    df = df.persist()  # the reader refuses to give the torn lines alone
     return df.where(F.col(_CORRUPT).isNull()).drop(_CORRUPT), df.where(F.col(_CORRUPT).isNotNull()).select(_CORRUPT)
 
 
@@ -122,8 +123,6 @@ def harvest_prompts(df: DataFrame, column: str = "value") -> DataFrame:
 
 
 def _json_texts(column):
-    import pandas as pd
-
     @F.pandas_udf("array<struct<path:string,text:string>>")
     def walk(values: pd.Series) -> pd.Series:
         def visit(x, key):
