@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A hot-key list holds at most this many keys, so that broadcasting it is bounded.
 MAX_HOT_KEYS = 1000
@@ -26,19 +27,23 @@ def hot_keys(df: DataFrame, keys: Sequence[str], share: float = 1.0 / MAX_HOT_KE
     )
 
 
-def salted_join(many: DataFrame, one: DataFrame, keys: Sequence[str], how: str = "inner", spread: Column | None = None, least: int = 20_000) -> DataFrame:
+def salted_join(many: DataFrame, one: DataFrame, keys: Sequence[str], how: str = "inner", spread: Column | None = None, least: int = 20_000, hot: list[Row] | None = None) -> DataFrame:
     """Join ``many`` rows to ``one`` row per key without sending a hot key to a single task.
 
-    Hot keys (see ``hot_keys``; a list bounded by MAX_HOT_KEYS, hence broadcast) get several salts: rows of
-    ``many`` are spread over them and the matching rows of ``one`` are repeated once per salt. ``how`` is
-    inner, left, left_semi or left_anti. ``spread`` is any column that varies within a key; the default hashes
-    the whole row. Null keys match nothing.
+    Hot keys (see ``hot_keys``; a list bounded by MAX_HOT_KEYS, hence collected and broadcast) get several salts: rows of
+    ``many`` are spread over them and the matching rows of ``one`` are repeated once per salt. Without hot keys it is a plain
+    join. ``hot`` gives the list where it is known, if need be over some of the keys only. ``how`` is inner, left, left_semi or
+    left_anti. ``spread`` is any column that varies within a key; the default hashes the whole row. Null keys match nothing.
     """
     keys = list(keys)
-    hot = hot_keys(many, keys, least=least)
+    hot = hot_keys(many, keys, least=least).collect() if hot is None else hot
+    if not hot:
+        return many.join(one, keys, how)
+    over = [c for c in hot[0].asDict() if c != "_salts"]
+    known = F.broadcast(many.sparkSession.createDataFrame(hot, T.StructType([*[T.StructField(c, many.schema[c].dataType) for c in over], T.StructField("_salts", T.IntegerType())])))
     spread = spread if spread is not None else F.xxhash64(*[c for c in many.columns if not _unhashable(many, c)])
-    left = many.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.when(F.col("_salts").isNotNull(), F.pmod(spread, F.col("_salts")).cast("int")).otherwise(0)).drop("_salts")
-    right = one.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))).drop("_salts")
+    left = many.join(known, over, "left").withColumn("_salt", F.when(F.col("_salts").isNotNull(), F.pmod(spread, F.col("_salts")).cast("int")).otherwise(0)).drop("_salts")
+    right = one.join(known, over, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))).drop("_salts")
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
