@@ -253,12 +253,38 @@ def bootstrap_interval(e: DataFrame) -> DataFrame:
     return means.agg(F.round(F.percentile("m", F.lit(0.025)), 3).alias("low"), F.round(F.percentile("m", F.lit(0.975)), 3).alias("high"))
 
 
+@on("forged", "source_examples")
+def best_versions(f: DataFrame, s: DataFrame) -> DataFrame:
+    """The first pool's answer if it is at least 0.7 as long as the second's, else the second's; either where one is missing."""
+    a = s.where("reference is not null").groupBy("prompt").agg(F.min("reference").alias("v1"))
+    b = f.where("chosen is not null").groupBy("prompt").agg(F.min("chosen").alias("v2"))
+    j = a.join(b, "prompt", "full")
+    pick = F.when(F.col("v2").isNull(), "first").when(F.col("v1").isNull(), "second").when(F.length("v1") >= 0.7 * F.length("v2"), "first").otherwise("second")
+    return j.groupBy(pick.alias("pick")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(F.when(pick == "first", F.col("v1")).otherwise(F.col("v2")))).alias("chars"))
+
+
+@on("exec_results")
+def complete_groups(e: DataFrame) -> DataFrame:
+    """Examples whose candidates are 0..k-1 without a gap and all finished."""
+    g = _runs(e).groupBy("example_id").agg(F.countDistinct("candidate_index").alias("k"), F.min("candidate_index").alias("low"), F.max("candidate_index").alias("high"), F.every(F.col("run_status") == "FINISHED_OK").alias("ok"))
+    return g.where("ok and low = 0 and high = k - 1").select("example_id", "k")
+
+
+@on("source_examples", "exec_results")
+def replay_share(s: DataFrame, e: DataFrame) -> DataFrame:
+    """Rows of a replay set that make a fifth of the mix, by source of the training rows' share."""
+    n = s.groupBy(F.coalesce(F.try_element_at("meta", F.lit("failure_mode")), F.lit("none")).alias("mode")).agg(F.count(F.lit(1)).alias("n"))
+    total = _runs(e).agg(F.ceil(F.count(F.lit(1)) * 0.2 / 0.8).alias("replay"))
+    whole = n.agg(F.sum("n").alias("all"))
+    return n.join(F.broadcast(total)).join(F.broadcast(whole)).select("mode", F.floor(F.col("replay") * F.col("n") / F.col("all") + 0.5).alias("quota"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         anti_exclusion, semi_executed, resume_todo, three_way, fallback_link, level_pivot, labelled, informative_pick, composition_caps, top_modes, temperature_levels, wilson_levels,
         candidate_difference, paired_difference, pass_histogram, worst_status, transitions, length_percentiles, weighted_means, nested_segments, status_cube, status_rollup, round_averages,
-        series_summary, agreement, shard_throughput, recall_by_kind, scores_with_penalties, all_of_set, staged_filter, task_mean_error, bootstrap_interval,
+        series_summary, agreement, shard_throughput, recall_by_kind, scores_with_penalties, all_of_set, staged_filter, task_mean_error, bootstrap_interval, best_versions, complete_groups, replay_share,
     )
 }
 
@@ -274,6 +300,9 @@ _SQL_WORDS = "lower(regexp_replace(prompt, '[^A-Za-z0-9_]+', ' ', 'g'))"
 _MODES = "coalesce(rejected_failure_modes, [])"
 
 ORACLES = {
+    "best_versions": "WITH a AS (SELECT prompt, min(reference) AS v1 FROM source_examples WHERE reference IS NOT NULL GROUP BY 1), b AS (SELECT prompt, min(chosen) AS v2 FROM forged WHERE chosen IS NOT NULL GROUP BY 1), j AS (SELECT *, CASE WHEN v2 IS NULL THEN 'first' WHEN v1 IS NULL THEN 'second' WHEN length(v1) >= 0.7 * length(v2) THEN 'first' ELSE 'second' END AS pick FROM a FULL JOIN b USING (prompt)) SELECT pick, count(*) AS n, CAST(sum(length(CASE WHEN pick = 'first' THEN v1 ELSE v2 END)) AS BIGINT) AS chars FROM j GROUP BY 1",
+    "complete_groups": f"WITH {_R} SELECT example_id, count(DISTINCT candidate_index) AS k FROM r GROUP BY 1 HAVING bool_and(run_status = 'FINISHED_OK') AND min(candidate_index) = 0 AND max(candidate_index) = count(DISTINCT candidate_index) - 1",
+    "replay_share": f"WITH {_R}, n AS (SELECT coalesce(meta['failure_mode'], 'none') AS mode, count(*) AS n FROM source_examples GROUP BY 1) SELECT mode, CAST(floor((SELECT ceil(count(*) * 0.2 / 0.8) FROM r) * n / (SELECT count(*) FROM source_examples) + 0.5) AS BIGINT) AS quota FROM n",
     "anti_exclusion": f"SELECT rec_id FROM source_examples WHERE {_SQL_WORDS} NOT IN (SELECT {_SQL_WORDS} FROM suite_tests)",
     "semi_executed": "SELECT example_id FROM setup_bundles WHERE example_id IN (SELECT example_id FROM exec_results WHERE exec_level = 'L3_pass')",
     "resume_todo": f"WITH {_R} SELECT example_id FROM setup_bundles WHERE example_id NOT IN (SELECT example_id FROM r WHERE run_status = 'FINISHED_OK' GROUP BY 1 HAVING count(*) >= 2)",

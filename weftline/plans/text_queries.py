@@ -125,7 +125,31 @@ def text_filter(d: DataFrame) -> DataFrame:
     return d.where(F.lower("text").contains("null") & F.lower("doc_kind").isin("spec", "review")).select("doc_id", "doc_kind")
 
 
-QUERIES = {f.__name__: f for f in (norm_ids, word_forms, code_extract, called_functions, task_classes, think_split, review_verdicts, first_errors, json_salvage, sentence_counts, redactions, masked_forms, meta_without_author, format_gates, clamped_modes, row_seeds, text_filter)}
+@on("documents")
+def detected_claims(d: DataFrame) -> DataFrame:
+    """Named claims that a text makes without negating them."""
+    names = T.detect(F.col("text"), {"drop": r"\bdropped\b", "fixed": r"\bfixed\b", "score": r"\bscore\b"}, r"(?:not|never)\s+")
+    return d.select("doc_id", F.array_join(names, ",").alias("claims"))
+
+
+@on("exec_results")
+def failure_causes(e: DataFrame) -> DataFrame:
+    cause = T.first_cause(F.coalesce("log_excerpt", F.lit("")), [("parse", "cannot parse"), ("retry", "retry"), ("start", "started"), ("written", "written")])
+    return e.groupBy(cause.alias("cause"), "run_status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@on("documents")
+def anchor_names(d: DataFrame) -> DataFrame:
+    return d.select("doc_id", F.array_join(T.anchors(F.col("text")), ",").alias("anchors"))
+
+
+@on("source_examples")
+def instructed_prompts(s: DataFrame) -> DataFrame:
+    x = T.with_instruction(F.col("prompt"), "Answer with ISSUES and VERDICT.", r"\bComponent\b", r"\bport 0\b")
+    return s.select("rec_id", x.alias("x")).select("rec_id", "x.added", F.length("x.text").cast("bigint").alias("n"))
+
+
+QUERIES = {f.__name__: f for f in (norm_ids, word_forms, code_extract, called_functions, task_classes, think_split, review_verdicts, first_errors, json_salvage, sentence_counts, redactions, masked_forms, meta_without_author, format_gates, clamped_modes, row_seeds, text_filter, detected_claims, failure_causes, anchor_names, instructed_prompts)}
 
 _BARE = r"""regexp_replace(regexp_replace(coalesce(chosen, ''), '"(?:\\.|[^"\\\n])*"', '""', 'g'), '//[^\n]*|/\*[\s\S]*?\*/', ' ', 'g')"""
 _NO_CALLS = ", ".join(f"'{w}'" for w in T.NO_CALLS)
@@ -174,5 +198,10 @@ ORACLES = {
                WHEN NOT regexp_matches(t, 'function +integer +transform') OR NOT regexp_matches(t, '\breturn\b') THEN 'missing_part' END AS reason FROM b""",
     "clamped_modes": "SELECT CASE WHEN m IN ('null_handling', 'wrong_port', 'group_state', 'date_math') THEN m ELSE 'other' END AS mode, count(*) AS n FROM (SELECT unnest(rejected_failure_modes) AS m FROM forged_provenance) GROUP BY ALL",
     "row_seeds": "SELECT example_id, 7 + CAST('0x' || left(example_id, 8) AS BIGINT) % 1000000 AS seed FROM setup_bundles",
+    "detected_claims": r"""WITH c AS (SELECT doc_id, text, regexp_replace(text, '(?i)(?:not|never)\s+(?:\bdropped\b)', ' ', 'g') AS a, regexp_replace(text, '(?i)(?:not|never)\s+(?:\bfixed\b)', ' ', 'g') AS b, regexp_replace(text, '(?i)(?:not|never)\s+(?:\bscore\b)', ' ', 'g') AS c FROM documents)
+        SELECT doc_id, array_to_string(list_filter([CASE WHEN regexp_matches(a, '(?i)\bdropped\b') THEN 'drop' END, CASE WHEN regexp_matches(b, '(?i)\bfixed\b') THEN 'fixed' END, CASE WHEN regexp_matches(c, '(?i)\bscore\b') THEN 'score' END], lambda x: x IS NOT NULL), ',') AS claims FROM c""",
+    "failure_causes": "SELECT CASE WHEN contains(l, 'cannot parse') THEN 'parse' WHEN contains(l, 'retry') THEN 'retry' WHEN contains(l, 'started') THEN 'start' WHEN contains(l, 'written') THEN 'written' ELSE 'other' END AS cause, run_status, count(*) AS n FROM (SELECT *, coalesce(log_excerpt, '') AS l FROM exec_results) GROUP BY 1, 2",
+    "anchor_names": r"SELECT doc_id, array_to_string(list_sort(list_distinct(list_concat(regexp_extract_all(text, '\b([A-Za-z]+(?:_[A-Za-z0-9]+)+)\b', 1), regexp_extract_all(text, '`([^`\n]+)`', 1)))), ',') AS anchors FROM documents",
+    "instructed_prompts": r"SELECT rec_id, NOT h AS added, CASE WHEN h THEN length(prompt) ELSE length(rtrim(prompt, ' ')) + 33 END AS n FROM (SELECT *, regexp_matches(prompt, '\bComponent\b') AND regexp_matches(prompt, '\bport 0\b') AS h FROM source_examples)",
     "text_filter": "SELECT doc_id, doc_kind FROM documents WHERE contains(lower(text), 'null') AND lower(doc_kind) IN ('spec', 'review')",
 }
