@@ -12,11 +12,11 @@ import random
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from weftline.functions.values import canonical_value
-from weftline.operators.scale import salted_join
+from weftline.operators.scale import hot_keys, salted_join
 from weftline.session import cut
 
 #: The field's prime; products of two elements fit into 64 bits. Fixed value.
@@ -190,9 +190,15 @@ def hashed_rows(rows: DataFrame, ignored: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
+def _renamed(hot: list[Row], name: str) -> list[Row]:
+    return [Row(**{name: r[0], "_salts": r["_salts"]}) for r in hot]
+
+
 def _bucketed(rows: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Rows with the bucket of their key; ``sizes`` gives each set's number of buckets."""
-    return salted_join(rows, sizes, ["set_id"], spread=F.col("x64")).withColumn("bucket", F.pmod(F.xxhash64(F.lit("bucket"), "row_key"), F.col("buckets")).cast("int")).drop("buckets")
+    """(set_id, bucket, h, x64) of rows; sizes has the sets of more than one bucket with their number."""
+    slim = rows.select("set_id", "h", "x64", F.xxhash64(F.lit("bucket"), "row_key").alias("_k"))
+    placed = salted_join(slim, sizes, ["set_id"], "left", F.col("x64"), hot=None)
+    return placed.select("set_id", F.pmod("_k", F.coalesce("buckets", F.lit(1))).cast("int").alias("bucket"), "h", "x64")
 
 
 def _sketches(rows: DataFrame) -> DataFrame:
@@ -210,20 +216,18 @@ def reconcile(pairs: DataFrame, left: DataFrame, right: DataFrame, ignored: tupl
     with a null left_id or right_id give nothing, empty inputs give no rows. Other columns are ignored.
     """
     pairs = cut(pairs.select("pair_id", "left_id", "right_id").where("left_id is not null and right_id is not null").distinct())
-    left = hashed_rows(left, ignored).join(pairs.select(F.col("left_id").alias("set_id")).distinct(), "set_id", "left_semi")
-    right = hashed_rows(right, ignored)
+    hot = hot_keys(pairs, ["left_id"]).collect()
+    left, right = cut(hashed_rows(left, ignored)), cut(hashed_rows(right, ignored))
     counts = lambda rows: rows.groupBy("set_id").agg(F.count(F.lit(1)).alias("n"))
-    right_most = counts(right).join(pairs.select(F.col("right_id").alias("set_id"), "left_id"), "set_id").groupBy(F.col("left_id").alias("set_id")).agg(F.max("n").alias("n"))
-    buckets = F.greatest(F.lit(1), F.ceil(F.max("n") / F.lit(float(BUCKET_ROWS)))).cast("int").alias("buckets")
-    left_sizes = cut(counts(left).unionByName(right_most).groupBy("set_id").agg(buckets))
-    by_left = salted_join(pairs, left_sizes.withColumnRenamed("set_id", "left_id"), ["left_id"], spread=F.xxhash64("right_id"))
-    right_sizes = cut(by_left.select("left_id", F.col("right_id").alias("set_id"), "buckets"))
-    left = cut(_bucketed(left, left_sizes))
-    right = cut(_bucketed(right, right_sizes.select("set_id", "buckets").distinct()))
-    ls = cut(_sketches(left))
-    rs = cut(_sketches(right))
-
-    spots = pairs.join(right_sizes.select(F.col("set_id").alias("right_id"), "left_id", "buckets"), ["left_id", "right_id"]).withColumn("bucket", F.explode(F.sequence(F.lit(0), F.col("buckets") - 1))).drop("buckets")
+    most = counts(right).withColumnRenamed("set_id", "right_id").join(pairs, "right_id").groupBy(F.col("left_id").alias("set_id")).agg(F.max("n").alias("n"))
+    sizes = counts(left).unionByName(most).groupBy("set_id").agg(F.ceil(F.max("n") / F.lit(float(BUCKET_ROWS))).cast("int").alias("buckets")).where("buckets > 1")
+    sizes = cut(sizes)
+    spots = salted_join(pairs, sizes.withColumnRenamed("set_id", "left_id"), ["left_id"], "left", F.xxhash64("right_id"), hot=hot)
+    right_sizes = spots.where("buckets is not null").select(F.col("right_id").alias("set_id"), "buckets").distinct()
+    ls = cut(_sketches(_bucketed(left, sizes)))
+    rs = cut(_sketches(_bucketed(right, right_sizes)))
+
+    spots = spots.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.coalesce("buckets", F.lit(1)) - 1))).drop("buckets")
     pending, bound, solved = spots, FIRST_BOUND, []
     while True:
         points = bound + CHECKS
@@ -231,7 +235,7 @@ def reconcile(pairs: DataFrame, left: DataFrame, right: DataFrame, ignored: tupl
         for name, table in (("l", ls), ("r", rs)):
             sides.append(table.select(F.col("set_id").alias("left_id" if name == "l" else "right_id"), "bucket", F.size("hs").alias(name + "n"), F.col("x").alias(name + "x"), _values(F.col("hs"), points).alias(name + "e")))
         one = F.array(*[F.lit(1)] * points).cast("array<bigint>")
-        met = salted_join(pending, sides[0], ["left_id", "bucket"], "left", F.xxhash64("right_id")).join(sides[1], ["right_id", "bucket"], "left")
+        met = salted_join(pending, sides[0], ["left_id", "bucket"], "left", F.xxhash64("right_id"), hot=hot).join(sides[1], ["right_id", "bucket"], "left")
         met = met.select(
             "pair_id", "left_id", "right_id", "bucket", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("ln", "rn", "lx", "rx")],
             F.coalesce("le", one).alias("le"), F.coalesce("re", one).alias("re"), F.lit(bound).alias("bound"),
@@ -245,7 +249,7 @@ def reconcile(pairs: DataFrame, left: DataFrame, right: DataFrame, ignored: tupl
     found = solved[0]
     for more in solved[1:]:
         found = found.unionByName(more)
-    return _compare(found, left, right, ls, rs)
+    return _compare(found, left, right, ls, rs, hot)
 
 
 def _schema(pairs: DataFrame) -> str:
@@ -253,27 +257,26 @@ def _schema(pairs: DataFrame) -> str:
     return f"pair_id {kinds['pair_id']}, left_id {kinds['left_id']}, right_id {kinds['right_id']}, bucket int, solved boolean, h bigint, on_left boolean"
 
 
-def _fetch(found: DataFrame, rows: DataFrame, side: str) -> DataFrame:
+def _fetch(found: DataFrame, rows: DataFrame, side: str, hot: list[Row]) -> DataFrame:
     wanted = found.where(F.col("on_left") == (side == "left_id")).select("pair_id", F.col(side).alias("set_id"), "bucket", "h")
-    joined = salted_join(wanted, rows, ["set_id", "bucket", "h"], spread=F.xxhash64("pair_id"))
+    joined = salted_join(wanted, rows, ["set_id", "h"], spread=F.xxhash64("pair_id"), hot=_renamed(hot, "set_id"))
     return joined.select("pair_id", "bucket", "row_key", "fields", "x64")
 
 
-def _compare(found: DataFrame, left: DataFrame, right: DataFrame, ls: DataFrame, rs: DataFrame) -> DataFrame:
-    found = cut(found)
+def _compare(found: DataFrame, left: DataFrame, right: DataFrame, ls: DataFrame, rs: DataFrame, hot: list[Row]) -> DataFrame:
     sides = {"left_id": (left, ls), "right_id": (right, rs)}
-    got = {side: _fetch(found, rows, side) for side, (rows, _) in sides.items()}
+    got = {side: cut(_fetch(found, rows, side, hot if side == "left_id" else [])) for side, (rows, _) in sides.items()}
     # The 64-bit checksums of the rows fetched must explain the difference of the sets; a bucket where two rows share
-    # a field hash fails this and is fetched as a whole.
+    # a field hash fails this, and its pair is fetched as a whole.
     fetched = got["left_id"].select("pair_id", "bucket", "x64").unionByName(got["right_id"].select("pair_id", "bucket", "x64")).groupBy("pair_id", "bucket").agg(F.bit_xor("x64").alias("seen"))
     spots = found.select("pair_id", "left_id", "right_id", "bucket").distinct()
-    told = salted_join(spots, ls.select(F.col("set_id").alias("left_id"), "bucket", F.col("x").alias("lx")), ["left_id", "bucket"], "left", F.xxhash64("right_id"))
+    told = salted_join(spots, ls.select(F.col("set_id").alias("left_id"), "bucket", F.col("x").alias("lx")), ["left_id", "bucket"], "left", F.xxhash64("right_id"), hot=hot)
     told = told.join(rs.select(F.col("set_id").alias("right_id"), "bucket", F.col("x").alias("rx")), ["right_id", "bucket"], "left").join(fetched, ["pair_id", "bucket"], "left")
     bad = cut(told.where("(coalesce(lx, 0L) ^ coalesce(rx, 0L)) <> coalesce(seen, 0L)").select("pair_id", "left_id", "right_id", "bucket"))
     if not bad.isEmpty():
         for side, (rows, _) in sides.items():
-            whole = salted_join(bad.select("pair_id", F.col(side).alias("set_id"), "bucket"), rows, ["set_id", "bucket"], spread=F.xxhash64("pair_id"))
-            got[side] = got[side].join(bad.select("pair_id", "bucket"), ["pair_id", "bucket"], "left_anti").unionByName(whole.select("pair_id", "bucket", "row_key", "fields", "x64"))
+            whole = salted_join(bad.select("pair_id", F.col(side).alias("set_id")).distinct(), rows, ["set_id"], spread=F.xxhash64("pair_id"), hot=_renamed(hot, "set_id") if side == "left_id" else [])
+            got[side] = got[side].join(bad.select("pair_id").distinct(), "pair_id", "left_anti").unionByName(whole.select("pair_id", F.lit(0).alias("bucket"), "row_key", "fields", "x64"))
     a = got["left_id"].select("pair_id", "row_key", F.col("fields").alias("lf"))
     b = got["right_id"].select("pair_id", "row_key", F.col("fields").alias("rf"))
     both = a.join(b, ["pair_id", "row_key"], "full")
