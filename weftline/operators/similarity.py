@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.text import shingles, word_form, word_list
 from weftline.operators.components import contract
-from weftline.operators.scale import salted_join
+from weftline.operators.scale import MAX_HOT_KEYS, salted_join
 from weftline.session import cut
 
 #: Words of a shingle and least Jaccard similarity of near-duplicates.
@@ -48,9 +48,11 @@ def nearest(texts: DataFrame, references: DataFrame, key: str, ref_key: str, tex
 def similar_pairs(sets: DataFrame, key: str, least: float = SIMILAR) -> DataFrame:
     """(a, b) with a < b of all pairs of ``sets`` (key, s ARRAY<BIGINT>) whose Jaccard similarity reaches ``least``."""
     grams = sets.where(F.size("s") > 0).select(key, F.size("s").alias("n"), F.explode("s").alias("g"))
-    frequency = grams.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
-    shared = frequency.where("df > 1")  # a shingle of one text leads to no pair, yet counts as its rarest
-    ranked = salted_join(grams, shared, ["g"], "left").withColumn("df", F.coalesce("df", F.lit(1)))
+    frequency = cut(grams.groupBy("g").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))  # a shingle of one text leads to no pair
+    total = frequency.agg(F.sum("df")).first()[0] or 0
+    limit = max(20_000.0, total / MAX_HOT_KEYS)
+    hot = frequency.where(F.col("df") > limit).select("g", F.ceil(F.col("df") / limit).cast("int").alias("_salts")).collect()  # at most MAX_HOT_KEYS
+    ranked = salted_join(grams, frequency, ["g"], "left", F.xxhash64(key), hot=hot).withColumn("df", F.coalesce("df", F.lit(1)))
     order = Window.partitionBy(key).orderBy("df", "g")
     prefix = ranked.withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).where("df > 1")
     a = prefix.select(F.col(key).alias("a"), F.col("n").alias("na"), "g")

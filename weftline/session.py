@@ -53,6 +53,15 @@ def cut(df: DataFrame) -> DataFrame:
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False), spark)
 
 
+def widen(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if its scan has fewer partitions, as a small file has; larger inputs stay as they are read.
+
+    For scans and projections before costly work per row in Python.
+    """
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(wanted) if df._jdf.queryExecution().toRdd().getNumPartitions() < wanted else df
+
+
 T = TypeVar("T")
 
 
