@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm.leakage import _sum
 from weftline.operators.scale import salted_join
-from weftline.session import cut, share
+from weftline.session import cut, share, widen
 
 #: Encodings that texts were written in and encodings that they were wrongly read with. Fixed values.
 WRITTEN = ("utf-8", "cp1252", "cp1250", "iso8859-2", "cp1251", "koi8-r", "cp866", "mac_roman", "cp850", "cp852", "cp437")
@@ -342,7 +342,7 @@ def _learn(documents: DataFrame) -> tuple[DataFrame, DataFrame, np.ndarray, np.n
 
 
 def _usable(documents: DataFrame) -> DataFrame:
-    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("source"), F.lit("")).alias("source"), "text").where("doc_id is not null and text is not null")
+    return widen(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("source"), F.lit("")).alias("source"), "text").where("doc_id is not null and text is not null"))
 
 
 def garbled_segments(documents: DataFrame) -> DataFrame:

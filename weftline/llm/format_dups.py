@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.canonical import canonical
-from weftline.session import cut
+from weftline.session import cut, widen
 
 #: Keys of a bucket that one trie takes, at the least; beyond MAX_BUCKETS buckets it grows with the number of keys.
 CAPACITY = 20_000
@@ -124,7 +124,7 @@ def _count(group: pd.DataFrame) -> pd.DataFrame:
 
 def _members(rows: DataFrame, rec_id: str, text: str, capacity: int) -> DataFrame:
     source = rows.select(F.col(rec_id).cast("bigint").alias("rec_id"), F.col(text).cast("string").alias("text")).where("rec_id is not null and text is not null")
-    local = cut(source.mapInPandas(_partial, "rec_id bigint, rep_id bigint, canon binary, copies bigint"))
+    local = cut(widen(source).mapInPandas(_partial, "rec_id bigint, rep_id bigint, canon binary, copies bigint"))
     reps = local.where("canon is not null").select("rep_id", "canon", "copies")
     totals = radix_buckets(reps, capacity).groupBy("bucket").applyInPandas(_count, "rep_id bigint, keep_rec_id bigint, copies bigint")
     return local.select("rec_id", "rep_id").join(totals, "rep_id")

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.session import cut, share
+from weftline.session import cut, share, widen
 
 #: Words that a document and an item must have in common, one after the other. Fixed by the task.
 RUN = 12
@@ -119,7 +119,7 @@ def _passage_table(documents: DataFrame, block: Block) -> DataFrame:
             yield pd.DataFrame({"doc_id": pd.array(ids_out, "Int64"), "w": w_out})
         yield pd.DataFrame({"doc_id": pd.array([None], "Int64"), "w": [counts.tobytes()]})
 
-    return cut(documents.mapInPandas(cut_up, "doc_id bigint, w binary"))
+    return cut(widen(documents).mapInPandas(cut_up, "doc_id bigint, w binary"))
 
 
 def _sum(blobs: DataFrame, kind: str, size: int) -> np.ndarray:

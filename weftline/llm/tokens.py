@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.session import widen
+
 #: Default vocabulary; the path is a parameter of every operator that counts tokens.
 TOKENIZER = os.environ.get("WEFTLINE_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 #: How byte-level BPE vocabularies of this family split text into pieces. Fixed value.
@@ -42,4 +44,4 @@ def token_counts(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "tokens": [len(encoding.encode_ordinary(t)) for t in batch["text"]]})
 
-    return rows.mapInPandas(count, "doc_id bigint, tokens bigint")
+    return widen(rows).mapInPandas(count, "doc_id bigint, tokens bigint")
