@@ -6,13 +6,13 @@ import re
 
 #: Frequent function words by language. Fixed values.
 FUNCTION_WORDS = {
-    "en": "the of and to in is that it for was on are with as be this by not or from at which an but have has were no than its if into when without can cannot before because only each all any so after".split(),
-    "de": "der die das und ist nicht ein eine einen einem den dem des im in zu mit auf für von als auch wird werden sich bei nach aus wenn oder nur noch durch sind ohne über weil deshalb vor dass am kann jede jedes jeder alle um sonst".split(),
-    "fr": "le la les des et est un une du en dans que qui ne pas pour sur par au aux avec sont plus ou ce cette son sa ses il elle être si car donc sans avant chaque tous sinon entre qu".split(),
-    "es": "el la los las de y en que es un una por con para no se del al lo como su sus más o pero sin si porque cuando este esta ya entre cada así también antes todos solo según".split(),
-    "pt": "o a os as de e em que é um uma por com para não se do da dos das ao no na como seu sua mais ou mas sem já quando porque pelo pela este esta cada também antes todos só nos nas foi".split(),
-    "cs": "a v je se na že s z do o by pro jako k za ale po tak podle od jen při nebo když pole který která které není jsou proto protože už byl jeho ve před každý každé všechny bez jinak pokud".split(),
-    "ru": "и в не на что с по как а от к из за для это его но у до или если так же при без под об то было все уже когда чтобы поэтому потому которая который которое каждой каждого только иначе".split(),
+    "en": "the of and to in is that it for was on are with as be this by not or from at which if can because its than without".split(),
+    "de": "der die das und ist nicht ein eine den dem im in zu mit auf für von als wird sich bei wenn oder nur sind weil keine alle".split(),
+    "fr": "le la les des et est un une du en dans que qui ne pas pour sur par au avec sont plus ou ce si car sans elle".split(),
+    "es": "el la los las de y en que es un una por con para no se del al lo como su más o sin si porque cuando".split(),
+    "pt": "o a os as de e em que é um uma por com para não se do da dos no na ao ou mas sem já quando foi".split(),
+    "cs": "a v je se na že s z do o pro jako k za ale tak od při nebo když pole který není jsou protože už byl bez".split(),
+    "ru": "и в не на что с по как а от к из за для это но у или если так при без было когда чтобы поэтому потому".split(),
 }
 #: Letters that point to one of the languages. Fixed values.
 LETTERS = {"de": "äöüß", "fr": "àâçèêëîïôûùœ", "es": "ñ¿¡", "pt": "ãõ", "cs": "ěščřžýůťďň", "ru": "абвгдежзийклмнопрстуфхцчшщъыьэюя"}
