@@ -29,12 +29,12 @@ READ = ("cp1252", "latin-1", "cp1250", "cp1251", "koi8-r", "cp437", "cp850", "cp
 #: Chain numbers: 0 is none, 1 is lost characters, then the pairs, then the pairs of UTF-8 applied twice.
 CHAINS = ("none", "lost", *(f"{a}>{b}" for b in READ for a in WRITTEN if a != b), *(f"utf-8>{b}>utf-8>{b}" for b in READ))
 #: Rounds of expectation-maximization, strength of the pull towards all sources' shares, share of 'none' at the start.
-ROUNDS, PULL, CLEAN = 3, 20.0, 0.9
+ROUNDS, PULL, CLEAN = 3, 20.0, 0.5
 #: Hashed counts of the trigram model: sizes are fixed whatever the corpus.
 SIZES = (1 << 17, 1 << 16, 1 << 16, 1 << 14, 1 << 14)
 #: Weight of the shorter context, as a share of all places counted and at the least. The large share at first keeps
 #: garbled wordings that recur from passing for language; later rounds have moved them to their repaired text.
-BACKOFF, LEAST_BACKOFF, COOLING = 2e-5, 1.5, 5.0
+BACKOFF, LEAST_BACKOFF, COOLING = 2e-4, 1.5, 10.0
 #: A segment stays under suspicion if some chain's log-likelihood comes within this of the text's own.
 MARGIN = 1.0
 #: A chain between one-byte encodings is tried unless its characters are rarer than the text's own by this, in logarithms.
