@@ -74,3 +74,12 @@ def test_empty_and_clean(spark):
 
 def test_test_table_has_cases(spark):
     assert E.garbled_documents(table(spark, "documents")).count() >= 1
+
+
+def test_copies_of_a_garbled_text_are_found(spark):
+    clean = "Der Schlüssel wird während der Prüfung zweimal gelesen."
+    for steps in ([("utf-8", "cp1252")], [("utf-8", "mac_roman")]):
+        docs = _corpus() + [(5000 + i, f"s{i % 5}", _garble(clean, *steps)) for i in range(300)]
+        fixed = E.repair_documents(spark.createDataFrame(docs, "doc_id bigint, source string, text string")).collect()
+        assert sorted(r.doc_id for r in fixed) == list(range(5000, 5300)), steps
+        assert {r.repaired_text for r in fixed} == {clean}

@@ -5,7 +5,8 @@ one encoding read as another, the same twice, or a reading that lost characters.
 it would have come from, whose likelihood is that of a character trigram model. The E-step weighs chains by likelihood and
 by the share each has in the segment's source and field; the M-step re-estimates these shares, drawn towards those of
 all sources, and the trigram counts, in which garbled segments count with their repaired text. Evidence too weak in one record
-so gains from other records of its source.
+so gains from other records of its source. The first counts leave out what UTF-8 can have given and
+damp copies, so that those of a garbled text do not pass for language; each round looks at all segments anew.
 """
 
 from __future__ import annotations
@@ -148,16 +149,21 @@ def quoted_only(text: str) -> bool:
 class Trigrams:
     """Hashed counts of characters in context, over the places where one of three characters is beyond ASCII."""
 
-    def __init__(self, counts: np.ndarray, turn: int) -> None:
+    def __init__(self, counts: np.ndarray, turn: int, corpus: float = 0.0) -> None:
+        """``corpus`` is the number of places that the weight of the shorter context goes by, if not that of ``counts``."""
         self.parts = np.split(counts, np.cumsum(SIZES)[:-1])
         self.places = max(1.0, float(self.parts[4].sum()))
-        self.backoff = max(LEAST_BACKOFF, BACKOFF * self.places / COOLING**turn)
+        self.backoff = max(LEAST_BACKOFF, BACKOFF * max(corpus, self.places) / COOLING**turn)
         self.maps: dict[str, list[tuple[int, dict[int, str]]]] = {}
 
     def commonness(self, chars: str) -> float:
         slots = (_fold((np.fromiter(map(ord, chars), np.uint64, len(chars)),)) % np.uint64(SIZES[4])).astype(np.int64)
         return float(np.log((self.parts[4][slots] + 0.05) / self.places).mean()) if len(slots) else 0.0
 
+    def knows(self, text: str) -> bool:
+        chars = _BEYOND.findall(text)
+        return bool((self.parts[4][(_fold((np.fromiter(map(ord, chars), np.uint64, len(chars)),)) % np.uint64(SIZES[4])).astype(np.int64)] >= 1).all())
+
     @staticmethod
     def slots(text: str) -> tuple[np.ndarray, ...]:
         codes = np.frombuffer(("\n\n" + text + "\n\n").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
@@ -241,6 +247,46 @@ def _count_corpus(documents: DataFrame) -> np.ndarray:
     return _sum(documents.select("text").mapInPandas(tally, "w binary"), "float64", sum(SIZES))
 
 
+def _undoable(segment: str, model: Trigrams, known: dict[str, bool]) -> bool:
+    """Some run of characters beyond ASCII can have come from characters of the corpus by UTF-8; ``known`` remembers runs."""
+    for run in _RUNS.findall(segment):
+        if len(run) > 1 and run not in known:
+            if len(known) >= 100_000:  # a memory, not a limit
+                known.clear()
+            known[run] = any((back := undo(run, "utf-8", read)) and _plausible(back) and model.knows(back) for read in READ)
+        if len(run) > 1 and known[run]:
+            return True
+    return False
+
+
+def _count_start(documents: DataFrame, first: np.ndarray) -> np.ndarray:
+    """Counts without segments that may have come from UTF-8, n copies of a segment counting as the root of n; digits are equal."""
+    shared = share(documents.sparkSession, first)
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model, known = Trigrams(shared(), 0), {}
+        for batch in batches:
+            out: dict[str, int] = {}
+            for text in batch["text"]:
+                for s in segments(text) if not text.isascii() else ():
+                    if not s.isascii() and LOST not in s:
+                        s = _DIGITS.sub("0", s)
+                        out[s] = out.get(s, 0) + 1
+            yield pd.DataFrame([(s, n) for s, n in out.items() if not _undoable(s, model, known)], columns=["text", "n"])
+
+    def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = np.zeros(sum(SIZES))
+        for batch in batches:
+            for n, texts in batch.groupby("n")["text"]:
+                lines = list(texts)
+                for at in range(0, len(lines), 64):
+                    _tally(counts, "\n\n".join(lines[at : at + 64]), float(n) ** 0.5)
+        yield pd.DataFrame({"w": [counts.tobytes()]})
+
+    copies = documents.select("text").mapInPandas(split, "text string, n bigint").groupBy("text").agg(F.sum("n").alias("n"))
+    return _sum(copies.mapInPandas(tally, "w binary"), "float64", sum(SIZES))
+
+
 def _doubtful(text: str, model: Trigrams) -> tuple[str, list[str], list[list[int]]] | None:
     """The text with the candidates worth following, or None if no chain comes near the text as it is."""
     found = candidates(text, model)
@@ -256,7 +302,7 @@ def _doubtful(text: str, model: Trigrams) -> tuple[str, list[str], list[list[int
     return text, kept, [found[t] for t in kept]
 
 
-def _suspects(documents: DataFrame, counts: np.ndarray) -> DataFrame:
+def _suspects(documents: DataFrame, counts: np.ndarray, turn: int, corpus: float) -> DataFrame:
     """(doc_id, source, seg, text, texts, kinds) of doubtful stretches with their candidates and these one's chains.
 
     Rows with a null doc_id count a source's other segments, in seg.
@@ -264,7 +310,7 @@ def _suspects(documents: DataFrame, counts: np.ndarray) -> DataFrame:
     shared = share(documents.sparkSession, counts)
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, clean = Trigrams(shared(), 0), {}
+        model, clean = Trigrams(shared(), turn, corpus), {}
         columns = ["doc_id", "source", "seg", "text", "texts", "kinds"]
         clear: set[str] = set()
         for batch in batches:
@@ -297,13 +343,13 @@ def _with_shares(suspects: DataFrame, masses: DataFrame) -> DataFrame:
     return salted_join(suspects, per_source, ["source"], "left", F.xxhash64("doc_id", "seg"))
 
 
-def _round(suspects: DataFrame, masses: DataFrame, everywhere: np.ndarray, counts: np.ndarray, turn: int) -> DataFrame:
+def _round(suspects: DataFrame, masses: DataFrame, everywhere: np.ndarray, counts: np.ndarray, turn: int, corpus: float) -> DataFrame:
     """Expected chain masses by source (chain >= 0) and changes of the trigram counts (w) of one E-step."""
     shared = share(suspects.sparkSession, (everywhere, counts))
 
     def expect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         overall, current = shared()
-        model, change, sums = Trigrams(current, turn), np.zeros(sum(SIZES)), {}
+        model, change, sums = Trigrams(current, turn, corpus), np.zeros(sum(SIZES)), {}
         for batch in batches:
             for source, text, texts, kinds, chains, masses in zip(*(batch[c] for c in ("source", "text", "texts", "kinds", "chains", "masses"))):
                 kinds = [list(k) for k in kinds]
@@ -322,15 +368,15 @@ def _round(suspects: DataFrame, masses: DataFrame, everywhere: np.ndarray, count
     return cut(_with_shares(suspects, masses).mapInPandas(expect, "source string, chain int, mass double, w binary"))
 
 
-def _learn(documents: DataFrame) -> tuple[DataFrame, DataFrame, np.ndarray, np.ndarray]:
-    """Suspects, masses by source and chain, shares over all sources and trigram counts after the last round."""
+def _learn(documents: DataFrame) -> tuple[DataFrame, DataFrame, np.ndarray, np.ndarray, float]:
+    """Suspects, masses by source and chain, shares over all sources and trigram counts after the last round, places in the corpus."""
     first = _count_corpus(documents)
-    table = _suspects(documents, first)
-    suspects = table.where("doc_id is not null")
-    clean = table.where("doc_id is null").groupBy("source").agg(F.sum("seg").cast("double").alias("mass")).select("source", F.lit(0).alias("chain"), "mass")
-    masses, everywhere, counts = clean.where("false"), _start(), first
+    corpus = float(first[_OFFSETS[4] :].sum())
+    counts, everywhere, masses = _count_start(documents, first), _start(), None
     for turn in range(ROUNDS):
-        expected = _round(suspects, masses, everywhere, counts, turn)
+        suspects, clean = _split(_suspects(documents, counts, turn, corpus))
+        masses = clean.where("false") if masses is None else masses
+        expected = _round(suspects, masses, everywhere, counts, turn, corpus)
         masses = cut(expected.where("chain >= 0").select("source", "chain", "mass").unionByName(clean).groupBy("source", "chain").agg(F.sum("mass").alias("mass")))
         totals = dict(masses.groupBy("chain").agg(F.sum("mass")).collect())  # one row for each chain
         everywhere = _start()
@@ -338,7 +384,13 @@ def _learn(documents: DataFrame) -> tuple[DataFrame, DataFrame, np.ndarray, np.n
             everywhere[chain] += mass
         everywhere /= everywhere.sum()
         counts = np.maximum(first + _sum(expected.where("chain < 0").select("w"), "float64", sum(SIZES)), 0.0)
-    return suspects, masses, everywhere, counts
+    return _split(_suspects(documents, counts, ROUNDS, corpus))[0], masses, everywhere, counts, corpus
+
+
+def _split(table: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The suspects, and (source, chain, mass) of the other segments."""
+    clean = table.where("doc_id is null").groupBy("source").agg(F.sum("seg").cast("double").alias("mass")).select("source", F.lit(0).alias("chain"), "mass")
+    return table.where("doc_id is not null"), clean
 
 
 def _usable(documents: DataFrame) -> DataFrame:
@@ -352,12 +404,12 @@ def garbled_segments(documents: DataFrame) -> DataFrame:
     characters that is itself put in quotes is an example, not a case. Null texts and null ids give nothing, a null source
     is one of its own, texts in ASCII are clean; repeated rows are looked at one by one, empty tables give no rows.
     """
-    suspects, masses, everywhere, counts = _learn(_usable(documents))
+    suspects, masses, everywhere, counts, corpus = _learn(_usable(documents))
     shared = share(suspects.sparkSession, (everywhere, counts))
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         overall, current = shared()
-        model = Trigrams(current, ROUNDS)
+        model = Trigrams(current, ROUNDS, corpus)
         for batch in batches:
             out = []
             for doc, seg, text, texts, kinds, chains, mass in zip(*(batch[c] for c in ("doc_id", "seg", "text", "texts", "kinds", "chains", "masses"))):
