@@ -83,3 +83,7 @@ def test_copies_of_a_garbled_text_are_found(spark):
         fixed = E.repair_documents(spark.createDataFrame(docs, "doc_id bigint, source string, text string")).collect()
         assert sorted(r.doc_id for r in fixed) == list(range(5000, 5300)), steps
         assert {r.repaired_text for r in fixed} == {clean}
+
+
+def test_surroundings_hold_overlapping_contexts():
+    assert E._surroundings("xéaéyz") != E._surroundings("xéaévw") and E._surroundings("é 12 abc") == E._surroundings("é 34 xyz")

@@ -45,7 +45,7 @@ KEEP = 25.0
 _SPLIT = re.compile(r"\n+|(?<=[.!?]) +")
 _BEYOND = re.compile(r"[^\x00-\x7f]")
 _LONE = re.compile(r"(?<![^\x00-\x7f])[^\x00-\x7f](?![^\x00-\x7f])")
-_NEAR = re.compile(r".{0,2}[^\x00-\x7f]+.{0,2}")
+_NEAR = re.compile(r"[^ ]*[^\x00-\x7f][^ ]*")
 _PAIRED = re.compile(r"[^\x00-\x7f]{2}")
 _RUNS = re.compile(r"[^\x00-\x7f]+")
 _DIGITS = re.compile("[0-9]")
@@ -206,6 +206,12 @@ def _from_utf8(found: dict[str, list[int]]) -> list[str]:
     return [t for t, c in found.items() if any(CHAINS[n].startswith("utf-8") for n in c)]
 
 
+def _surroundings(segment: str) -> str:
+    """All that a verdict on the segment depends on: words with characters beyond ASCII and two characters on either side."""
+    text = "\n\n" + _DIGITS.sub("0", segment) + "\n\n"
+    return "|".join(text[max(0, m.start() - 2) : m.end() + 2] for m in _NEAR.finditer(text))
+
+
 def _stretches(segment: str, model: Trigrams) -> list[str]:
     """The segment, or those of its words that alone can have come from UTF-8, where the segment as a whole cannot."""
     if LOST in segment or not _PAIRED.search(segment) or _from_utf8(candidates(segment, model)):
@@ -321,7 +327,7 @@ def _suspects(documents: DataFrame, counts: np.ndarray, turn: int, corpus: float
                 for n, segment in enumerate(segments(text)):
                     if segment.isascii():
                         continue
-                    key = "|".join(_NEAR.findall(_DIGITS.sub("0", segment)))
+                    key = _surroundings(segment)
                     verdicts = []
                     if key not in clear:
                         if not quoted_only(segment):
