@@ -85,5 +85,17 @@ def test_copies_of_a_garbled_text_are_found(spark):
         assert {r.repaired_text for r in fixed} == {clean}
 
 
+def test_garbled_parts_of_a_sentence_are_found(spark):
+    head, tail = "Судья признал ответы частично верными, ", "разброс не изменился."
+    parts = {
+        3000: head.replace("ответы", _garble("ответы", ("utf-8", "cp1251"))) + tail,
+        3001: head + _garble(tail, ("cp1251", "cp1252")),
+        3002: _garble(LINES[3][:-1], ("cp1250", "cp1252")) + ", " + tail,
+    }
+    docs = [*_corpus(), *((i, "s1", t) for i, t in parts.items()), (3010, "s1", "Seeing Ã© instead of é in the preview tells of a wrong reading.")]
+    fixed = {r.doc_id: r.repaired_text for r in E.repair_documents(spark.createDataFrame(docs, "doc_id bigint, source string, text string")).collect()}
+    assert fixed == {3000: head + tail, 3001: head + tail, 3002: LINES[3][:-1] + ", " + tail}
+
+
 def test_surroundings_hold_overlapping_contexts():
     assert E._surroundings("xéaéyz") != E._surroundings("xéaévw") and E._surroundings("é 12 abc") == E._surroundings("é 34 xyz")

@@ -42,12 +42,14 @@ MARGIN = 1.0
 RARER = 3.0
 #: Chains less likely than the best by this, in logarithms, at the first look are not followed in later rounds.
 KEEP = 25.0
+#: What a run of words must gain, in logarithms, to be undone without the rest of its segment.
+PART = 6.0
 _SPLIT = re.compile(r"\n+|(?<=[.!?]) +")
 _BEYOND = re.compile(r"[^\x00-\x7f]")
 _LONE = re.compile(r"(?<![^\x00-\x7f])[^\x00-\x7f](?![^\x00-\x7f])")
 _NEAR = re.compile(r"[^ ]*[^\x00-\x7f][^ ]*")
-_PAIRED = re.compile(r"[^\x00-\x7f]{2}")
 _RUNS = re.compile(r"[^\x00-\x7f]+")
+_WORDS = re.compile(r"\w+")
 _DIGITS = re.compile("[0-9]")
 _QUOTES = {'"': '"', "'": "'", "`": "`", "“": "”", "„": "“", "«": "»", "‘": "’"}
 LOST = "�"
@@ -155,6 +157,7 @@ class Trigrams:
         self.places = max(1.0, float(self.parts[4].sum()))
         self.backoff = max(LEAST_BACKOFF, BACKOFF * max(corpus, self.places) / COOLING**turn)
         self.maps: dict[str, list[tuple[int, dict[int, str]]]] = {}
+        self.words: dict[str, dict[int, tuple[str, float]]] = {}
 
     def commonness(self, chars: str) -> float:
         slots = (_fold((np.fromiter(map(ord, chars), np.uint64, len(chars)),)) % np.uint64(SIZES[4])).astype(np.int64)
@@ -202,24 +205,65 @@ def segments(text: str) -> list[str]:
     return [s for s in _SPLIT.split(text) if s]
 
 
-def _from_utf8(found: dict[str, list[int]]) -> list[str]:
-    return [t for t, c in found.items() if any(CHAINS[n].startswith("utf-8") for n in c)]
-
-
 def _surroundings(segment: str) -> str:
     """All that a verdict on the segment depends on: words with characters beyond ASCII and two characters on either side."""
     text = "\n\n" + _DIGITS.sub("0", segment) + "\n\n"
     return "|".join(text[max(0, m.start() - 2) : m.end() + 2] for m in _NEAR.finditer(text))
 
 
-def _stretches(segment: str, model: Trigrams) -> list[str]:
-    """The segment, or those of its words that alone can have come from UTF-8, where the segment as a whole cannot."""
-    if LOST in segment or not _PAIRED.search(segment) or _from_utf8(candidates(segment, model)):
-        return [segment]
-    words = [w for w in segment.split() if not w.isascii()]
-    letters = lambda t: sum(map(str.isalpha, t)) >= 3 and any("a" <= c.lower() <= "z" for c in t)
-    apart = [w for w in words if any(letters(t) for t in _from_utf8(candidates(w, model)))]
-    return [segment, *apart] if apart and len(apart) < len(words) else [segment]
+def _gains(word: str, model: Trigrams) -> dict[int, tuple[str, float]]:
+    """For each chain that can be undone in the word alone: the word it came from and what that gains in log-likelihood."""
+    known = model.words.get(word)
+    if known is None:
+        known, own = {}, model.loglik(f" {word} ")
+        if not quoted_only(word):
+            for text, chains in candidates(word, model).items():
+                if text != word:
+                    gain = model.loglik(f" {text} ") - own
+                    known.update((c, (text, gain)) for c in chains)
+        if len(model.words) < 200_000:  # a memory, not a limit
+            model.words[word] = known
+    return known
+
+
+def _passing(word: str, chain: int, model: Trigrams) -> tuple[str, float]:
+    """What a chain between one-byte encodings that no one would try on the word alone, as it may leave it as it is, makes of it."""
+    written, read, *more = CHAINS[chain].split(">")
+    text = None if more or written == "utf-8" else undo(word, written, read)
+    if text is None or not _plausible(text):
+        return word, -np.inf
+    return text, 0.0 if text == word else model.loglik(f" {text} ") - model.loglik(f" {word} ")
+
+
+def _in_part(segment: str, model: Trigrams) -> dict[str, list[int]]:
+    """The segment with its best run of words undone, for each chain that gains by some of its words but not by all."""
+    if LOST in segment or quoted_only(segment):
+        return {}
+    words = segment.split(" ")
+    beyond = [i for i, w in enumerate(words) if not w.isascii()]
+    options = {i: _gains(words[i], model) for i in beyond}
+    around, examples = set(_WORDS.findall(segment)), {i for i in beyond if quoted_only(words[i])}
+    for i, o in options.items():
+        if any(CHAINS[c].startswith("utf-8") and sum(map(str.isalpha, t)) < 3 and around.issuperset(_WORDS.findall(t) or [""]) for c, (t, _) in o.items()):
+            options[i] = {}
+            examples.add(i)  # "Ã© instead of é" tells of such characters
+    out: dict[str, list[int]] = {}
+    for chain in sorted({c for o in options.values() for c, (_, gain) in o.items() if gain > 0}):
+        total, run = 0.0, []
+        best: tuple[float, list[int]] = (0.0, [])
+        for i in beyond:
+            if i not in examples and chain not in options[i]:
+                options[i][chain] = _passing(words[i], chain, model)
+            gain = options[i].get(chain, (words[i], -np.inf))[1]
+            total, run = (total + gain, [*run, i]) if total > 0 else (gain, [i])
+            if total > best[0]:
+                best = (total, run)
+            if total <= 0:
+                total, run = 0.0, []
+        chosen = {i: options[i][chain][0] for i in best[1]}
+        if best[0] > PART and len(chosen) < len(beyond):
+            out.setdefault(" ".join(chosen.get(i, w) for i, w in enumerate(words)), []).append(chain)
+    return out
 
 
 def _posterior(texts: list[str], kinds: list[list[int]], model: Trigrams, shares: np.ndarray) -> np.ndarray:
@@ -296,6 +340,8 @@ def _count_start(documents: DataFrame, first: np.ndarray) -> np.ndarray:
 def _doubtful(text: str, model: Trigrams) -> tuple[str, list[str], list[list[int]]] | None:
     """The text with the candidates worth following, or None if no chain comes near the text as it is."""
     found = candidates(text, model)
+    for t, chains in _in_part(text, model).items():
+        found.setdefault(t, chains)
     if LOST in text:
         return text, list(found), list(found.values())
     if len(found) == 1:
@@ -331,7 +377,7 @@ def _suspects(documents: DataFrame, counts: np.ndarray, turn: int, corpus: float
                     verdicts = []
                     if key not in clear:
                         if not quoted_only(segment):
-                            verdicts = [v for s in _stretches(segment, model) if (v := _doubtful(s, model))]
+                            verdicts = [v] if (v := _doubtful(segment, model)) else []
                         if not verdicts and len(clear) < 200_000:  # a memory of clean surroundings, not a limit on what is looked at
                             clear.add(key)
                     out += [(doc, source, n, *v) for v in verdicts]
