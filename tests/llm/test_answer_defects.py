@@ -61,3 +61,9 @@ def test_length_limits(spark):
 
 def test_empty_tables(spark):
     assert A.defective_answers(spark.createDataFrame([], FORGED), spark.createDataFrame([], EXAMPLES)).count() == 0
+
+
+def test_long_placeholders_are_empty():
+    for answer in ("null" + " " * 500, "TODO" + "\n" * 500, "none" + "\u200b" * 500, "<answer>\n```\nTODO\n```\n</answer>\n" * 40):
+        assert A.is_empty(answer)
+    assert not A.is_empty("TODO " * 200 + "return the sum")

@@ -64,9 +64,7 @@ def is_empty(answer: str | None) -> bool:
     """Null, blank or only placeholders and markup."""
     if answer is None:
         return True
-    if len(answer) > 400:
-        return not _WORD.search(_MARK.sub(" ", _INVISIBLE.sub("", answer)))
-    return all(w in PLACEHOLDERS for w in _words(_MARK.sub(" ", _INVISIBLE.sub("", answer))))
+    return all(m.group() in PLACEHOLDERS for m in _WORD.finditer(_MARK.sub(" ", _INVISIBLE.sub("", answer)).casefold()))
 
 
 def copies_prompt(answer: str, prompt: str) -> bool:
