@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from weftline.functions import text as T
 from weftline.plans.tables import on
 
-_SEMANTIC = r"(?i)\b(null|nullable|spec|group|port|precision|rounding|counter|emits?|routes?|wrong)\b"
-_SYNTAX = r"(?i)\b(typo|semicolon|syntax|brace|keyword)\b"
+#: Words of the test tables' remarks that speak of data, and words that only speak of the feed.
+_ABOUT_DATA = r"(?i)\b(comparison|scale|missing|compared|default)\b"
+_ABOUT_FEED = r"(?i)\b(guard|graph|feed)\b"
 _SPACE_SQL = T.SPACE.replace("'", "''")
 
 
@@ -48,7 +49,7 @@ def task_classes(s: DataFrame) -> DataFrame:
     p, r = F.col("prompt"), F.coalesce("reference", F.lit(""))
     task = F.when(r.rlike(r"(?im)^\s*VERDICT\s*:"), "validate").when(~r.contains("function "), "other").when(p.contains("$out."), "fix").otherwise("generate")
     named = F.upper(F.regexp_extract(p, r"(?i)(?:component: |for |\"component\": \")([a-z_]+)", 1))
-    return s.select("rec_id", task.alias("task"), F.nullif(named, F.lit("")).alias("component"), T.lexicon_score(r, _SEMANTIC, _SYNTAX).cast("bigint").alias("score"))
+    return s.select("rec_id", task.alias("task"), F.nullif(named, F.lit("")).alias("component"), T.lexicon_score(r, _ABOUT_DATA, _ABOUT_FEED).cast("bigint").alias("score"))
 
 
 @on("source_examples")
@@ -164,13 +165,13 @@ ORACLES = {
                length(regexp_replace(coalesce(chosen, ''), '{_FENCE_SQL}', ' ', 'g')) AS prose_len FROM c""",
     "called_functions": rf"""
         WITH b AS (SELECT pair_id, {_BARE} AS t FROM forged),
-        c AS (SELECT pair_id, list_distinct(regexp_extract_all(t, '([A-Za-z_][A-Za-z0-9_]*)[ \t\n]*\(', 1)) AS calls, regexp_extract_all(t, 'function[^()]*?([A-Za-z_][A-Za-z0-9_]*)[ \t\n]*\(', 1) AS own FROM b)
+        c AS (SELECT pair_id, list_distinct(regexp_extract_all(t, '([A-Za-z_][A-Za-z0-9_]*)[ \t\n]*\(', 1)) AS calls, list_transform(regexp_extract_all(t, '{T.HEADER}', 1), lambda h: list_extract(regexp_split_to_array(trim(h), '[^A-Za-z0-9_]+'), -1)) AS own FROM b)
         SELECT pair_id, array_to_string(list_sort(list_filter(calls, lambda x: NOT list_contains(own, x) AND x NOT IN ({_NO_CALLS}))), ',') AS calls FROM c""",
     "task_classes": rf"""
         SELECT rec_id, CASE WHEN regexp_matches(coalesce(reference, ''), '(?im)^\s*VERDICT\s*:') THEN 'validate' WHEN NOT contains(coalesce(reference, ''), 'function ') THEN 'other'
                WHEN contains(prompt, '$out.') THEN 'fix' ELSE 'generate' END AS task,
                nullif(upper(regexp_extract(prompt, '(?i)(?:component: |for |"component": ")([a-z_]+)', 1)), '') AS component,
-               len(regexp_extract_all(t, '{_SEMANTIC}')) - 2 * len(regexp_extract_all(t, '{_SYNTAX}')) AS score
+               len(regexp_extract_all(t, '{_ABOUT_DATA}')) - 2 * len(regexp_extract_all(t, '{_ABOUT_FEED}')) AS score
         FROM (SELECT *, regexp_replace(coalesce(reference, ''), '{_FENCE_SQL}', ' ', 'g') AS t FROM source_examples)""",
     "think_split": rf"""
         WITH r AS (SELECT rec_id, coalesce(CASE WHEN rec_id % 3 = 0 THEN '<think>a</think> b ' || coalesce(reference, '') WHEN rec_id % 3 = 1 THEN '<think>' || prompt || '</think>' || chr(10) || chr(10) || coalesce(reference, '') ELSE reference END, '') AS t FROM source_examples),

@@ -21,6 +21,7 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
@@ -30,12 +31,18 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where the setting is absent (tests, local runs)."""
+    """The folder of ``spark.checkpoint.dir``; a temporary one only in local mode, where the setting may be absent.
+
+    On a cluster a machine's own folder would lose data with its executor, so a missing setting raises there. Sessions of
+    ``build_session`` remove checkpoints that nothing refers to any more.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not configured and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     folder = configured or tempfile.mkdtemp(prefix="weftline-checkpoint-")
     context.setCheckpointDir(folder)
     return folder
