@@ -1,5 +1,8 @@
+import re
+
 import pytest
 from helpers import rows
+from pyspark.sql import functions as F
 
 from weftline.llm import answer_defects as A
 from weftline.llm.language import language_of
@@ -22,7 +25,8 @@ CODE = '//#CTL2\nfunction integer transform() {\n    // a lone { or " in the fee
     ],
 )
 def test_rules(answer, defect):
-    assert A.defect_of(answer, PROMPT, "en")[0] == defect
+    rule, closing, _, foreign = A.rules_of(answer, PROMPT, "en")
+    assert (rule or {"open": "truncated"}.get(closing) or ("other_language" if foreign else None)) == defect
 
 
 @pytest.mark.parametrize(("text", "language"), [("The row is left as it is.", "en"), ("Die Zeile bleibt, wie sie ist.", "de"), ("La ligne reste comme elle est.", "fr"), ("La fila se queda como está, porque el valor no se puede comparar.", "es"), ("A linha não muda e fica como está.", "pt"), ("Řádek zůstává, jak je, a už se nemění.", "cs"), ("Строка остаётся как есть.", "ru"), ("tram_no kiln_amt 12", None), ("", None)])
@@ -44,17 +48,30 @@ def test_sorted_neighbours_and_hot_answers(spark):
     assert [r for r in got if r[2] != "rejected"] == [("forged", 7, "chosen", "truncated"), ("source_examples", 2, "reference", "truncated"), ("source_examples", 3, "reference", "truncated")]
 
 
-def test_boundaries_skip_partitions_of_one_text():
-    import pandas as pd
+def test_units_against_brute_force(spark):
+    texts = ["The check on a_b runs first. Then 12 rows go", "The check on c_d runs first. Then 7 rows go on.", "$in.0.x = 1;\n$in.0", "$out.1.y = 22;\nend", "Hope", "Hope so", "It is so. Done", "It is", "Then 3 rows gather.\nok.", "Then 4 rows g", "The check on harv", "- done", "- e_f goes.\nok.", ""]
+    forged = spark.createDataFrame([(i, PROMPT, t, None, None, 0) for i, t in enumerate(texts)], FORGED)
+    got = {r[0] for r in A.shortened_units(A.answers(forged, spark.createDataFrame([], EXAMPLES))).collect()}
+    cut_up = [r[0] for r in forged.select(A.units(F.col("chosen"))).collect()]
+    complete = {u for us in cut_up for u in us[:-1]}
+    last = {us[-1] for us in cut_up if us} - complete
+    head = lambda u: re.sub(r"\w+$", "", u)
+    named = lambda u, c: head(u) != u and len(re.findall(r"[\w¤]+", head(u))) > 1 and c.startswith(head(u) + "¤")
+    want = {u for u in last if u[-1] not in ".;}" and any(c.startswith(u) or named(u, c) for c in complete)}
+    assert got == want == {"Then 0 rows g", "¤", "It is", "The check on harv"}
+
 
-    g = pd.DataFrame({"pid": [0, 1, 2, 3], "first": ["a", "b", "b", "b"], "second": ["b", None, None, "bc"], "last": ["b", "b", "b", "bd"]})
-    assert dict(A._boundaries(g).values.tolist()) == {0: True, 1: True, 2: True, 3: False}
+def test_steps_are_told_apart(spark):
+    whole = CODE + "\n\nRemarks:\n- the first is kept\n- the second is kept too\n- done"
+    forged = spark.createDataFrame([(1, PROMPT, whole, whole[: whole.index(" kept too")], None, 0), (2, PROMPT, CODE[:-2], None, None, 0)], FORGED)
+    got = {(r["row_id"], r["field_name"]): (r["defect"], r["found_by"]) for r in A.judged_answers(forged, spark.createDataFrame([], EXAMPLES)).collect()}
+    assert got == {(1, "rejected"): ("truncated", "neighbour"), (2, "chosen"): ("truncated", "neighbour"), (2, "rejected"): ("empty", "rule")}
 
 
 def test_length_limits(spark):
     ends = spark.createDataFrame([(i, PROMPT, CODE + f"\n- {i:04} item" + "z" * (i % 90 if i % 4 == 0 else 95)) for i in range(800)], EXAMPLES)
     limits = A.length_limits(A.answers(spark.createDataFrame([], FORGED), ends))
-    assert limits == {("source_examples", "reference"): {len(CODE) + 12 + 95}}
+    assert rows(limits) == [("source_examples", "reference", len(CODE) + 12 + 95)]
     got = A.defective_answers(spark.createDataFrame([], FORGED), ends)
     assert got.where("defect = 'truncated'").count() >= 200
 

@@ -1,9 +1,10 @@
 """Problem 4: broken prompt and response pairs.
 
-Responses are sorted by text over the cluster, so that the shortened version of a response stands next to it: a response that
-is a proper prefix of its successor and does not close properly breaks off. Spikes in the histogram of lengths show
-length limits. Rules on the text itself decide the rest: nothing but placeholders, the task's own words, words of refusal,
-structure left open, and prose in another language than the prompt's.
+Responses are sorted by text and each is compared with its neighbours, whole and in units (lines and sentences, names and
+numbers masked). A response whose text another one carries on, or whose last unit is the beginning of a unit that other
+responses have in full and that never stands complete itself, is a shortened version. Spikes in the histogram of lengths show
+length limits. Rules decide the rest: nothing but placeholders, the task's own words, words of refusal, structure left
+open, and prose in another language than the prompt's.
 """
 
 from __future__ import annotations
@@ -12,18 +13,20 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.language import FUNCTION_WORDS, language_of
-from weftline.session import cut
+from weftline.operators.neighbours import sorted_neighbours
+from weftline.operators.scale import salted_join
+from weftline.session import cut, widen
 
 #: Words of a shingle and the share of an answer's shingles that must be the prompt's for a copy.
 SHINGLE, COPIED = 5, 0.6
 #: A length is a limit if it has this share of a field's answers and so many times its neighbours' mean.
 SPIKE_SHARE, SPIKE_TIMES, SPIKE_REACH = 0.005, 6.0, 16
-#: Shortest text that counts as the beginning of another.
-LEAST_PREFIX = 20
+#: Shortest text that counts as the beginning of another, and the share of it that a longer neighbour must have in common.
+LEAST_PREFIX, SIBLING = 20, 0.9
 #: Words that stand for a missing answer. Fixed values.
 PLACEHOLDERS = {"null", "none", "nil", "na", "n", "a", "todo", "tbd", "undefined", "empty", "nan", "placeholder", "answer", "ctl", "ctl2", "code", "think"}
 
@@ -122,81 +125,73 @@ def ending(answer: str) -> str:
     return "open"
 
 
-def defect_of(answer: str | None, prompt: str | None, prompt_language: str | None) -> tuple[str | None, bool]:
-    """(the defect or None, whether being a shortened version of another answer would make it truncated)."""
+def rules_of(answer: str | None, prompt: str | None, prompt_language: str | None) -> tuple[str | None, str, bool, bool]:
+    """(empty, copies_prompt, refusal or None; how the text ends; whether it holds a solution; whether its language is another)."""
     if is_empty(answer):
-        return "empty", False
+        return "empty", "closed", False, False
     code, prose, comments, _ = split_answer(answer)
     solved = bool(_SOLUTION.search(code)) or bool(_SOLUTION.search(answer))
     if not solved and prompt and copies_prompt(answer, prompt):
-        return "copies_prompt", False
+        return "copies_prompt", "closed", solved, False
     if not solved and _REFUSAL.search(prose + "\n" + comments):
-        return "refusal", False
-    end = ending(answer)
-    if end == "open":
-        return "truncated", False
-    if prompt_language and (own := language_of(prose) or language_of(prose + "\n" + comments)) and own != prompt_language:
-        return "other_language", False
-    return None, end == "vague" or not solved
+        return "refusal", "closed", solved, False
+    own = (language_of(prose) or language_of(prose + "\n" + comments)) if prompt_language else None
+    return None, ending(answer), solved, own is not None and own != prompt_language
 
 
 _TAG = re.compile(r"<[^>\n]*>")
+_KEPT = ["table_name", "row_id", "field_name", "h", "n", "unit"]
 
 
-def _judge(limits: dict[tuple[str, str], set[int]]):
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # Rows come sorted by text. Of each run of equal texts the verdict 'shortened' waits for the next text.
-        waiting: list[tuple] = []
-        text = first = second = None
-        part, seen, language = -1, None, None
-
-        def close(successor: str | None) -> list[tuple]:
-            known = successor is not None
-            short = known and len(text) >= LEAST_PREFIX and successor.startswith(text)
-            return [(t, r, f, "truncated" if unsure and (short or at_limit) else d, bool(unsure and not known and not at_limit and len(text) >= LEAST_PREFIX)) for t, r, f, d, unsure, at_limit in waiting]
-
-        for batch in batches:
-            out: list[tuple] = []
-            for table, row, field, prompt, answer, pid in zip(*(batch[c] for c in ("table_name", "row_id", "field_name", "prompt", "answer", "pid"))):
-                part = pid
-                if answer != text:
-                    out += close(answer) if waiting else []
-                    waiting = []
-                    if first is None:
-                        first = answer
-                    elif second is None:
-                        second = answer
-                    text = answer
-                if prompt != seen:
-                    seen, language = prompt, language_of(_TAG.sub(" ", prompt)) if prompt else None
-                defect, unsure = defect_of(answer, prompt, language)
-                waiting.append((table, row, field, defect, unsure and defect is None, len(answer) in limits.get((table, field), ())))
-            yield _frame([(*o, part if o[4] else None, None, None, None) for o in out if o[3] or o[4]])
-        if part >= 0:
-            rows = [(*o, part if o[4] else None, None, None, None) for o in close(None) if o[3] or o[4]]
-            yield _frame([*rows, (None, None, None, None, False, part, first, second, text)])
-
-    return judge
-
-
-_COLUMNS = ["table_name", "row_id", "field_name", "defect", "pending", "pid", "first", "second", "last"]
-_SCHEMA = "table_name string, row_id bigint, field_name string, defect string, pending boolean, pid int, first string, second string, last string"
-
-
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=_COLUMNS).astype({"row_id": "Int64", "pid": "Int32", "pending": "bool"})
-
-
-def _boundaries(group: pd.DataFrame) -> pd.DataFrame:
-    """Whether the last text of each partition begins the next different text, which may be partitions away."""
-    rows = group.sort_values("pid", ascending=False)
-    out, ahead = [], []  # ahead: the first two different texts of what follows
-    for pid, first, second, last in zip(rows["pid"], rows["first"], rows["second"], rows["last"]):
-        later = next((t for t in ahead if t != last), None)
-        out.append((pid, later is not None and later.startswith(last)))
-        here = [t for t in (first, second) if isinstance(t, str)]
-        ahead = (here + [t for t in ahead if t not in here])[:2]
-    return pd.DataFrame(out, columns=["pid", "shortened"])
+def _apply_rules(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    seen, language = None, None
+    for batch in batches:
+        out = []
+        for prompt, answer in zip(batch["prompt"], batch["answer"]):
+            if prompt != seen:
+                seen, language = prompt, language_of(_TAG.sub(" ", prompt)) if prompt else None
+            out.append(rules_of(answer, prompt, language))
+        told = pd.DataFrame(out, columns=["rule", "closing", "solved", "foreign"], index=batch.index)
+        yield pd.concat([batch[_KEPT], told], axis=1)
+
+
+#: What is masked in units, in this order: places of records, names of several words, numbers.
+_MASKS = ((r"\$[\w.]*", "¤"), (r"(?U)\b[^\W\d]+(?:_\w*)+", "¤"), (r"(?U)\b\w{0,60}?[a-z][A-Z]\w*", "¤"), (r"[0-9]+", "0"))
+#: Ends of a unit after which nothing is missing.
+_COMPLETE = r"[.!?…。;}][\"'”’»)\]*_`]*$"
+
+
+def units(answer: Column) -> Column:
+    """Lines and sentences of a text in masked form, without blank ones and fences."""
+    text = F.rtrim(answer)
+    for pattern, mask in _MASKS:
+        text = F.regexp_replace(text, pattern, mask)
+    return F.filter(F.split(text, r"\n+|(?<=[.!?…。]) +"), lambda u: (F.trim(u) != "") & ~u.startswith("```"))
+
+
+def shortened_units(rows: DataFrame) -> DataFrame:
+    """(unit): last units that break off where other answers go on.
+
+    A unit is complete if it stands somewhere with another one behind it. A last unit that is never complete is shortened
+    if a neighbour among the complete ones begins with it, or has a name where it breaks off in a word, after two equal words.
+    """
+    cut_up = rows.where("answer is not null").select(units(F.col("answer")).alias("u"))
+    told = cut_up.select(F.explode(F.transform("u", lambda u, i: F.struct(u.alias("unit"), (i < F.size("u") - 1).alias("inner")))).alias("x")).groupBy("x.unit").agg(F.bool_or("x.inner").alias("complete"))
+    last = sorted_neighbours(told, "unit", "complete").where(~F.col("complete") & ~F.col("unit").rlike(_COMPLETE))
+    head = F.regexp_replace("unit", r"(?U)\w+$", "")
+    goes_on = F.startswith(F.coalesce("after", F.lit("")), F.col("unit"))
+    name = F.concat(head, F.lit("¤"))
+    shares = head.rlike(r"(?U)[\w¤]+\W+[\w¤]+\W+$") & (head != F.col("unit")) & (F.startswith(F.coalesce("after", F.lit("")), name) | F.startswith(F.coalesce("before", F.lit("")), name))
+    return last.where(goes_on | shares).select("unit")
+
+
+def shortened_answers(rows: DataFrame) -> DataFrame:
+    """(h, n): hash and length of the different answers of which a longer neighbour in the order of texts has SIBLING of the length in common."""
+    texts = rows.where("answer is not null").select("answer").distinct().withColumn("mark", F.lit(True))
+    common = F.ceil(F.length("answer") * SIBLING).cast("int")
+    beside = lambda c: (F.length(c) > F.length("answer")) & (F.left(F.col(c), common) == F.left("answer", common))
+    longer = sorted_neighbours(texts, "answer", "mark").where((F.length("answer") >= LEAST_PREFIX) & (F.coalesce(beside("after"), F.lit(False)) | F.coalesce(beside("before"), F.lit(False))))
+    return longer.select(F.xxhash64("answer").alias("h"), F.length("answer").alias("n")).distinct()
 
 
 def answers(forged: DataFrame, examples: DataFrame) -> DataFrame:
@@ -207,42 +202,58 @@ def answers(forged: DataFrame, examples: DataFrame) -> DataFrame:
     return pairs.unionByName(own).where("row_id is not null")
 
 
-def length_limits(rows: DataFrame) -> dict[tuple[str, str], set[int]]:
-    """Lengths that far more different answers have than the lengths around them: at most 1 / SPIKE_SHARE for each field."""
+def length_limits(rows: DataFrame) -> DataFrame:
+    """(table_name, field_name, n): lengths that far more different answers have than the lengths around them.
+
+    At most 1 / SPIKE_SHARE for each field, whatever the number of answers.
+    """
     counted = rows.where("answer is not null").groupBy("table_name", "field_name", F.length("answer").alias("n")).agg(F.countDistinct(F.xxhash64("answer")).alias("c"))
     field = Window.partitionBy("table_name", "field_name")
     near = field.orderBy("n").rangeBetween(-SPIKE_REACH, SPIKE_REACH)
     marked = counted.withColumn("all", F.sum("c").over(field)).withColumn("mean", (F.sum("c").over(near) - F.col("c")) / (2 * SPIKE_REACH))
-    out: dict[tuple[str, str], set[int]] = {}
-    for r in marked.where((F.col("c") >= F.greatest(F.lit(20.0), F.col("all") * SPIKE_SHARE)) & (F.col("c") > F.col("mean") * SPIKE_TIMES)).select("table_name", "field_name", "n").collect():
-        out.setdefault((r[0], r[1]), set()).add(r[2])
-    return out
+    return marked.where((F.col("c") >= F.greatest(F.lit(20.0), F.col("all") * SPIKE_SHARE)) & (F.col("c") > F.col("mean") * SPIKE_TIMES)).select("table_name", "field_name", "n")
 
 
-def defective_answers(forged: DataFrame, examples: DataFrame) -> DataFrame:
-    """(table_name, row_id, field_name, defect): each broken answer with its one defect, in the order of the rules.
+def judged_answers(forged: DataFrame, examples: DataFrame) -> DataFrame:
+    """(table_name, row_id, field_name, defect, found_by): each broken answer with the step that decides.
 
-    A null answer is empty; with a null prompt an answer can neither copy it nor be in another language. Equal answers, even a third
-    of all, are spread over tasks by row and judged each with its own prompt. Very short and very long texts are
-    judged whole. Empty tables give no rows, repeated rows one result, other columns are ignored.
+    found_by is 'neighbour' for shortened versions found by comparing whole texts or units in sort order, 'limit' for
+    lengths at a spike, else 'rule'. Cases and order as in defective_answers.
     """
     rows = answers(forged, examples)
-    limits = length_limits(rows)
-    nothing = rows.where("answer is null").select("table_name", "row_id", "field_name", F.lit("empty").alias("defect"))
-    sorted_rows = (
-        rows.where("answer is not null")
-        .repartitionByRange("answer", F.xxhash64("table_name", "row_id", "field_name"))
-        .sortWithinPartitions("answer")
-        .withColumn("pid", F.spark_partition_id())
+    last = F.coalesce(F.try_element_at(units(F.col("answer")), F.lit(-1)), F.lit(""))
+    facts = widen(rows).withColumns({"h": F.xxhash64("answer"), "n": F.length("answer"), "unit": last})
+    facts = cut(facts.mapInPandas(_apply_rules, "table_name string, row_id bigint, field_name string, h bigint, n int, unit string, rule string, closing string, solved boolean, foreign boolean"))
+    limits = length_limits(rows).withColumn("limit", F.lit(True))
+    own = F.xxhash64("table_name", "row_id", "field_name")
+    open_ones = facts.where("rule is null")
+    met = salted_join(open_ones, cut(shortened_units(rows)).withColumn("cut", F.lit(True)), ["unit"], "left", own)
+    met = salted_join(met, cut(shortened_answers(rows)).withColumn("sibling", F.lit(True)), ["h", "n"], "left", own)
+    # Spikes are bounded by 1 / SPIKE_SHARE for each of three fields.
+    met = met.join(F.broadcast(limits), ["table_name", "field_name", "n"], "left")
+    unclear = (F.col("closing") != "closed") | ~F.col("solved")
+    step = (
+        F.when(F.col("cut") | (F.col("sibling") & unclear), F.struct(F.lit("truncated").alias("defect"), F.lit("neighbour").alias("found_by")))
+        .when(F.col("closing") == "open", F.struct(F.lit("truncated").alias("defect"), F.lit("rule").alias("found_by")))
+        .when(F.col("foreign"), F.struct(F.lit("other_language").alias("defect"), F.lit("rule").alias("found_by")))
+        .when(F.col("limit") & unclear, F.struct(F.lit("truncated").alias("defect"), F.lit("limit").alias("found_by")))
     )
-    judged = cut(sorted_rows.mapInPandas(_judge(limits), _SCHEMA))
-    decided = judged.where("table_name is not null and defect is not null").select("table_name", "row_id", "field_name", "defect")
-    # One row for each partition; at most as many as there are tasks.
-    edges = judged.where("table_name is null").select("pid", "first", "second", "last", F.lit(1).alias("all")).groupBy("all").applyInPandas(_boundaries, "pid int, shortened boolean")
-    late = judged.where("pending and defect is null").join(F.broadcast(edges.where("shortened")), "pid", "left_semi").select("table_name", "row_id", "field_name", F.lit("truncated").alias("defect"))
-    return nothing.unionByName(decided).unionByName(late).distinct()
+    late = met.withColumn("d", step).where("d is not null").select("table_name", "row_id", "field_name", "d.defect", "d.found_by")
+    return facts.where("rule is not null").select("table_name", "row_id", "field_name", F.col("rule").alias("defect"), F.lit("rule").alias("found_by")).unionByName(late).distinct()
+
+
+def defective_answers(forged: DataFrame, examples: DataFrame) -> DataFrame:
+    """(table_name, row_id, field_name, defect): each broken answer with its one defect.
+
+    What is empty, a copy or a refusal stays so even where it breaks off; then come shortened versions, open structure, other
+    languages and lengths at a limit. A null answer is empty; with a null prompt an answer can neither copy it nor be in another
+    language. A complete answer that is the beginning of another is no defect. Texts are compared once for all their copies, a text
+    or unit that a third of all answers share is joined in salted parts. Very short and very long texts are judged whole.
+    Empty tables give no rows, repeated rows one result, other columns are ignored.
+    """
+    return judged_answers(forged, examples).drop("found_by").distinct()
 
 
 def defect_report(forged: DataFrame, examples: DataFrame) -> DataFrame:
-    """(table_name, field_name, defect, answers): number of answers for each defect."""
-    return defective_answers(forged, examples).groupBy("table_name", "field_name", "defect").agg(F.count(F.lit(1)).alias("answers"))
+    """(table_name, field_name, defect, found_by, answers): number of answers for each defect and step."""
+    return judged_answers(forged, examples).groupBy("table_name", "field_name", "defect", "found_by").agg(F.count(F.lit(1)).alias("answers"))
