@@ -80,3 +80,36 @@ def test_repeated_rows_and_empty_table(spark):
 def test_test_table(spark):
     df = table(spark, "source_examples")
     assert rows(D.format_duplicates(df)) == _brute([(r.rec_id, r.prompt) for r in df.collect()])[0]
+
+
+def test_one_text_in_descending_ids_stays_within_the_limit(monkeypatch):
+    import tracemalloc
+
+    import pandas as pd
+
+    monkeypatch.setattr(D, "TRIE_BYTES", 1 << 20)
+    n, text = 40_000, "word " * 1000
+    batches = (pd.DataFrame({"rec_id": range(at, at - 1000, -1), "text": [text] * 1000}) for at in range(n, 0, -1000))
+    tracemalloc.start()
+    frames = [(len(f), int(f["canon"].notna().sum()), int(f["copies"].sum())) for f in D._partial(batches)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(frames) > 1 and peak < 12 << 20
+    assert sum(f[0] for f in frames) == n == sum(f[2] for f in frames) and all(f[1] <= 1 for f in frames)
+
+
+@pytest.mark.parametrize(("capacity", "most"), [(3, 10**6), (10**6, 400), (10**6, 10)])
+def test_buckets_fit_by_keys_and_by_bytes(spark, capacity, most):
+    stem = b"the same long preamble of every prompt " * 3
+    keys = [(i, stem + f"{i % 60:03}".encode() * 3, 1) for i in range(150)] + [(1000 + i, b"hot", 1) for i in range(30)]
+    fitting, alone = D.radix_buckets(spark.createDataFrame(keys, "rep_id bigint, canon binary, copies bigint"), capacity, most)
+    groups = {}
+    for r in fitting.collect():
+        groups.setdefault(r.bucket, []).append(bytes(r.canon))
+    assert all(len(g) == 1 or (len(g) <= capacity and sum(map(len, g)) <= most) for g in groups.values())
+    single = {}
+    for r in alone.collect():
+        single.setdefault(r.bucket, set()).add(bytes(r.canon))
+    assert all(len(g) == 1 for g in single.values())
+    assert sorted(k for g in groups.values() for k in g) + sorted(bytes(r.canon) for r in alone.collect()) != []
+    assert sum(map(len, groups.values())) + alone.count() == 180
