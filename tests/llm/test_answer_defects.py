@@ -53,6 +53,7 @@ def test_units_against_brute_force(spark):
     forged = spark.createDataFrame([(i, PROMPT, t, None, None, 0) for i, t in enumerate(texts)], FORGED)
     got = {r[0] for r in A.shortened_units(A.answers(forged, spark.createDataFrame([], EXAMPLES))).collect()}
     cut_up = [r[0] for r in forged.select(A.units(F.col("chosen"))).collect()]
+    assert [r[0] for r in forged.select(A.last_unit(F.concat("chosen", F.lit("\n\n\n```\n")))).collect()] == [us[-1] if us else "" for us in cut_up]
     complete = {u for us in cut_up for u in us[:-1]}
     last = {us[-1] for us in cut_up if us} - complete
     head = lambda u: re.sub(r"\w+$", "", u)

@@ -155,8 +155,8 @@ def _apply_rules(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.concat([batch[_KEPT], told], axis=1)
 
 
-#: What is masked in units, in this order: places of records, names of several words, numbers.
-_MASKS = ((r"\$[\w.]*", "¤"), (r"(?U)\b[^\W\d]+(?:_\w*)+", "¤"), (r"(?U)\b\w{0,60}?[a-z][A-Z]\w*", "¤"), (r"[0-9]+", "0"))
+#: What is masked in units: places of records, names of several words; then numbers. ASCII, as names in code are.
+_MASKS = ((r"\$[\w.]*|\b[A-Za-z][A-Za-z0-9]*_\w*|\b[A-Za-z]?[a-z0-9]+[A-Z][A-Za-z0-9]*", "¤"), (r"[0-9]+", "0"))
 #: Ends of a unit after which nothing is missing.
 _COMPLETE = r"[.!?…。;}][\"'”’»)\]*_`]*$"
 
@@ -169,6 +169,12 @@ def units(answer: Column) -> Column:
     return F.filter(F.split(text, r"\n+|(?<=[.!?…。]) +"), lambda u: (F.trim(u) != "") & ~u.startswith("```"))
 
 
+def last_unit(answer: Column) -> Column:
+    """The last of ``units``, from the last lines if they hold one; an empty text if there is none."""
+    tail = F.substring_index(F.rtrim(answer), "\n", -3)
+    return F.coalesce(F.try_element_at(units(tail), F.lit(-1)), F.try_element_at(units(answer), F.lit(-1)), F.lit(""))
+
+
 def shortened_units(rows: DataFrame) -> DataFrame:
     """(unit): last units that break off where other answers go on.
 
@@ -221,8 +227,7 @@ def judged_answers(forged: DataFrame, examples: DataFrame) -> DataFrame:
     lengths at a spike, else 'rule'. Cases and order as in defective_answers.
     """
     rows = answers(forged, examples)
-    last = F.coalesce(F.try_element_at(units(F.col("answer")), F.lit(-1)), F.lit(""))
-    facts = widen(rows).withColumns({"h": F.xxhash64("answer"), "n": F.length("answer"), "unit": last})
+    facts = widen(rows).withColumns({"h": F.xxhash64("answer"), "n": F.length("answer"), "unit": last_unit(F.col("answer"))})
     facts = cut(facts.mapInPandas(_apply_rules, "table_name string, row_id bigint, field_name string, h bigint, n int, unit string, rule string, closing string, solved boolean, foreign boolean"))
     limits = length_limits(rows).withColumn("limit", F.lit(True))
     own = F.xxhash64("table_name", "row_id", "field_name")
