@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftline.session import cut
+
 #: A hot-key list holds at most this many keys, so that broadcasting it is bounded.
 MAX_HOT_KEYS = 1000
 
@@ -74,6 +76,19 @@ def distributed_row_number(df: DataFrame, part: Sequence[str], order: Sequence[C
     )
 
 
+def global_row_number(df: DataFrame, order: Sequence[Column], out: str = "rn") -> DataFrame:
+    """``row_number() over (order by order)`` over all rows without a task that holds them all.
+
+    Rows are cut into ranges of the order by a sample, numbered inside them and shifted by the sizes of the earlier ranges, one
+    number for each. The order should end with a unique column, so that ties do not fill a range. No rows give none.
+    """
+    placed = cut(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
+    sizes = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    numbered = placed.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
+    return numbered.join(before, "_p").select(*df.columns, (F.col("_before") + F.col("_i")).alias(out))
+
+
 def hash_bucket(buckets: int, *cols: Column | str, seed: str = "") -> Column:
     """An even int bucket in [0, buckets) that follows the order of the row's 63-bit hash, for random order."""
     h = F.xxhash64(F.lit(seed), *cols)
