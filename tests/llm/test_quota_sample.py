@@ -1,3 +1,4 @@
+import numpy as np
 from helpers import rows, table
 
 from weftline.llm import quota_sample as Q
@@ -44,10 +45,32 @@ def test_floor_records_come_first(spark):
 
 
 def test_rake_follows_counts():
-    seats = Q.rake([(("a=1",), 100), (("a=2",), 4), ((), 50)], {"a=1": 20.0, "a=2": 10.0}, 40)
+    inside = np.array([[1, 0], [0, 1], [0, 0]], bool)
+    seats = Q.rake(inside, np.array([100.0, 4.0, 50.0]), np.array([20.0, 10.0]), 40)
     assert abs(seats[0] - 20) < 2 and seats[1] == 4.0
 
 
+def test_seats_meet_what_can_be_met():
+    rng = np.random.default_rng(5)
+    for _ in range(30):
+        inside = np.unique(rng.random((40, 7)) < 0.4, axis=0)
+        counts = rng.integers(1, 9, len(inside)).astype(float)
+        size = int(counts.sum()) // 3
+        possible = np.floor(counts * rng.random(len(counts)))  # some allotment shows that goals below can be met
+        while possible.sum() > size:
+            possible[rng.choice(np.flatnonzero(possible))] -= 1
+        goals = np.floor(possible @ inside * 0.9)
+        whole = Q.allot(inside, counts, goals, size)
+        assert whole.sum() == size and (whole >= 0).all() and (whole <= counts).all() and (whole == np.floor(whole)).all()
+        assert (goals - whole @ inside).clip(0).sum() <= 1
+
+
+def test_nothing_reported_as_met_is_missed(spark):
+    for r in Q.sample_report(*_inputs(spark)).collect():
+        assert r.missed == (r.drawn < r.required) and (r.missed or not r.short)
+        assert r.missed == r.short, r
+
+
 def test_empty_inputs(spark):
     prov, bundles, targets = _inputs(spark)
     assert Q.draw_sample(prov.where("false"), bundles, targets).count() == 0

@@ -1,23 +1,27 @@
 """Problem 5: a sample that matches target category proportions, by divisor-method priorities.
 
-Pairs fall into cells of equal categories. Raking over the cells' counts gives each cell its expected seats; a pair at
-random rank r of its cell has the priority (r - 0.5) / seats. Records that secure a category's minimum come
-first, then the globally smallest priorities; a cell that runs out simply has no further priorities, so its seats go to others.
+Pairs fall into cells of equal targeted categories. Raking over the cells' counts gives each cell its expected seats, rounded by the
+divisor method and shifted between cells until each target that can be met is met. A pair at random rank r of its cell has
+the priority (r - 0.5) / seats. Records that secure a category's minimum come first, then the globally smallest
+priorities; a cell that runs out has no further priorities, so its seats go to others.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.group_split import type_label
-from weftline.operators.scale import distributed_row_number, hash_bucket, salted_join
+from weftline.operators.scale import distributed_row_number, global_row_number, hash_bucket, salted_join
 from weftline.session import cut
 
 #: Share of the pairs that is drawn, as 1 / DRAW. Fixed by the task.
 DRAW = 5
 #: Raking stops after so many rounds over all categories.
 ROUNDS = 60
+#: Cells that are tried at once as takers of a seat.
+TAKERS = 64
 BUCKETS = 256
 
 
@@ -58,73 +62,126 @@ def _available(pairs: DataFrame) -> DataFrame:
 
 
 def unmet_targets(provenance: DataFrame, bundles: DataFrame, sample_targets: DataFrame) -> DataFrame:
-    """(category_kind, category_value) of the targets that the pairs at hand cannot meet; nulls as in categories."""
-    pairs = cut(categories(provenance, bundles))
-    return shortfalls(sample_targets, _available(pairs), pairs.count()).where("short").select("category_kind", "category_value").distinct()
-
-
-def rake(cells: list[tuple[tuple[str, ...], int]], wanted: dict[str, float], size: int) -> list[float]:
-    """Expected seats per cell such that the categories' sums follow ``wanted`` as far as the counts allow."""
-    total = sum(n for _, n in cells)
-    seats = [n * size / total for _, n in cells]
-    members: dict[str, list[int]] = {}
-    for i, (cats, _) in enumerate(cells):
-        for c in cats:
-            if c in wanted:
-                members.setdefault(c, []).append(i)
-    groups = [(list(range(len(cells))), float(size)), *((m, wanted[c]) for c, m in sorted(members.items()))]
+    """(category_kind, category_value) of the targets that the pairs at hand cannot meet; nulls as in categories.
+
+    The drawn sample shows the targets it misses; the exact counts then tell those that no sample could meet.
+    """
+    return sample_report(provenance, bundles, sample_targets).where("drawn < required and short").select("category_kind", "category_value").distinct()
+
+
+def rake(inside: np.ndarray, counts: np.ndarray, goals: np.ndarray, size: int) -> np.ndarray:
+    """Expected seats for each cell such that the targets' sums follow ``goals`` as far as the counts allow.
+
+    ``inside`` is cells x targets. A group's sum is brought to its goal by one factor, cells that would exceed their
+    count are filled and the others share the rest.
+    """
+    seats = counts * size / max(1.0, counts.sum())
+    groups = [(np.arange(len(counts)), float(size)), *((np.flatnonzero(inside[:, t]), float(g)) for t, g in enumerate(goals))]
     for _ in range(ROUNDS):
-        for inside, goal in groups:
-            free, rest = inside, goal
-            while free:
-                now = sum(seats[i] for i in free)
+        for members, goal in groups:
+            free, rest = members, goal
+            while len(free):
+                now = seats[free].sum()
                 factor = rest / now if now > 0 else 0.0
-                over = [i for i in free if seats[i] * factor > cells[i][1]]
-                if not over:
-                    for i in free:
-                        seats[i] *= factor
+                over = seats[free] * factor > counts[free]
+                if not over.any():
+                    seats[free] *= factor
                     break
-                for i in over:
-                    seats[i] = float(cells[i][1])
-                rest = max(0.0, rest - sum(cells[i][1] for i in over))
-                full = set(over)
-                free = [i for i in free if i not in full]
-    return [max(s, 1e-9) for s in seats]
+                seats[free[over]] = counts[free[over]]
+                rest = max(0.0, rest - counts[free[over]].sum())
+                free = free[~over]
+    return seats
+
+
+def _rounded(seats: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
+    """Whole seats by the divisor method: the threshold is moved until they sum to ``size``."""
+    low, high = 0.0, 2.0
+    at = lambda t: np.minimum(counts, np.floor(seats * t + 0.5))
+    while at(high).sum() < size and high < 1e12:
+        high *= 2
+    for _ in range(80):
+        middle = (low + high) / 2
+        low, high = (middle, high) if at(middle).sum() < size else (low, middle)
+    whole = at(high)
+    spare = int(whole.sum() - size)
+    if spare > 0:  # cells that reach a seat at the same threshold: the last ones give it back
+        gone = np.flatnonzero(whole > at(low))[-spare:]
+        whole[gone] -= 1
+    return whole
+
+
+def allot(inside: np.ndarray, counts: np.ndarray, goals: np.ndarray, size: int) -> np.ndarray:
+    """Whole seats for each cell: raked, rounded, then moved between cells as long as that lessens what targets lack.
+
+    A seat that moves helps the targets of the taker that lack some, and harms those of the giver that have no more than
+    their goal; targets of both stay as they are. The TAKERS cells that would help most are tried against all others.
+    """
+    whole = _rounded(np.maximum(rake(inside, counts, goals, size), 1e-9), counts, size)
+    member = inside.astype(float)
+    while True:
+        lacking = goals - whole @ member
+        short, tight = lacking > 0, lacking >= 0
+        helps = np.where(whole < counts, member @ short, 0.0)
+        takers = np.argsort(-helps, kind="stable")[:TAKERS]
+        net = helps[takers][:, None] - (member @ tight)[None, :] + (member[takers] * (tight & ~short)) @ member.T
+        net[:, whole <= 0] = -np.inf
+        net[helps[takers] <= 0] = -np.inf
+        at = int(np.argmax(net)) if net.size else 0
+        if not net.size or net.flat[at] <= 0:
+            return whole
+        to, giver = int(takers[at // net.shape[1]]), at % net.shape[1]
+        gained, lost = inside[to] & ~inside[giver], inside[giver] & ~inside[to]
+        n = min(counts[to] - whole[to], whole[giver], *lacking[gained & short], *-lacking[lost & ~tight])
+        whole[to] += n
+        whole[giver] -= n
 
 
 def draw_sample(provenance: DataFrame, bundles: DataFrame, sample_targets: DataFrame, seed: str = "sample") -> DataFrame:
     """(pair_id, cats, floor, priority, seat): as many pairs as a fifth of all, seats numbered from 1.
 
-    Distinct cells number at most as many as the label combinations in use, whatever the number of pairs, so raking is
-    done on the driver; pairs never go there. Ties are broken by pair_id. Without pairs or without targets the result
-    is empty or a plain random sample. Nulls as in categories.
+    Cells are the combinations of targeted categories in use; the targets are some dozens at any scale, so the number of cells
+    does not grow with the pairs, and seats are worked out on the driver; pairs never go there. Ties are broken by pair_id.
+    Without pairs or without targets the result is empty or a plain random sample. Nulls as in categories.
     """
-    pairs = cut(categories(provenance, bundles).withColumn("cell", F.array_join("cats", "|")))
-    total = pairs.count()
-    size = total // DRAW
+    return _drawn(cut(categories(provenance, bundles)), sample_targets, seed)
+
+
+def _drawn(pairs: DataFrame, sample_targets: DataFrame, seed: str) -> DataFrame:
     goals = _targets(sample_targets)
-    cells = [(tuple(r[0].split("|")) if r[0] else (), r[1]) for r in pairs.groupBy("cell").agg(F.count(F.lit(1))).collect()]
-    wanted = {c: float(max(least, size * pm // 1000)) for c, (_, _, pm, least) in goals.items()}
-    seats = rake(cells, wanted, size) if total else []
+    names = sorted(goals)
+    known = F.array(*map(F.lit, names)).cast("array<string>")
+    pairs = pairs.withColumn("cell", F.array_join(F.array_intersect("cats", known), "|"))
+    counted = pairs.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).orderBy("cell").collect()
+    counts = np.array([r["n"] for r in counted], float)
+    size = int(counts.sum()) // DRAW
+    inside = np.array([[n in cats for n in names] for cats in (set(r["cell"].split("|")) for r in counted)], bool).reshape(len(counted), len(names))
+    wanted = np.array([max(goals[n][3], size * goals[n][2] // 1000) for n in names], float)
+    whole = allot(inside, counts, np.minimum(wanted, counts @ inside), size) if size else np.zeros(len(counted))
     spark = pairs.sparkSession
-    shares = spark.createDataFrame([("|".join(c), s) for (c, _), s in zip(cells, seats)] or [("", 1.0)], "cell string, seats double")
+    shares = spark.createDataFrame([(r["cell"], float(w)) for r, w in zip(counted, whole)] or [("", 0.0)], "cell string, seats double")
     random = F.xxhash64(F.lit(seed), "pair_id")
-    ranked = distributed_row_number(pairs, ["cell"], [F.shiftrightunsigned(random, 1), F.col("pair_id")], hash_bucket(BUCKETS, "pair_id", seed=seed), BUCKETS)
-    # One row for each combination of labels.
-    ranked = cut(ranked.join(F.broadcast(shares), "cell").withColumn("priority", (F.col("rn") - 0.5) / F.col("seats")))
-    floors = spark.createDataFrame([(c, least) for c, (_, _, _, least) in goals.items()] or [("", 0)], "cat string, least int")
-    inside = ranked.select("pair_id", "priority", F.explode("cats").alias("cat")).join(F.broadcast(floors), "cat")
-    spread = F.least(F.floor(F.col("priority") / 8.0 * BUCKETS), F.lit(BUCKETS - 1))
-    first = distributed_row_number(inside, ["cat"], [F.col("priority"), F.col("pair_id")], spread, BUCKETS).where("rn <= least").select("pair_id").distinct().withColumn("floor", F.lit(True))
-    marked = ranked.join(first, "pair_id", "left").withColumn("floor", F.coalesce("floor", F.lit(False))).select("pair_id", "cats", "floor", "priority")
-    bucket = F.when(F.col("floor"), 0).otherwise(1 + spread)
-    return distributed_row_number(marked, [], [F.col("priority"), F.col("pair_id")], bucket, BUCKETS + 1, "seat").where(F.col("seat") <= size)
+    # One row for each combination of targeted labels.
+    open_cells = pairs.join(F.broadcast(shares.where("seats > 0")), "cell")
+    ranked = distributed_row_number(open_cells, ["cell"], [F.shiftrightunsigned(random, 1), F.col("pair_id")], hash_bucket(BUCKETS, "pair_id", seed=seed), BUCKETS)
+    # Seats sum to the sample's size, so the globally smallest priorities are those below 1.
+    chosen = cut(ranked.withColumn("priority", (F.col("rn") - 0.5) / F.col("seats")).where("priority < 1").select("pair_id", "cats", "priority"))
+    most = max([goals[n][3] for n in names], default=0)
+    floors = spark.createDataFrame([(n, goals[n][3]) for n in names] or [("", 0)], "cat string, least int")
+    first = Window.partitionBy("cat").orderBy("priority", "pair_id")
+    # The limit on the rank goes into the scan of each task, so a category sends no more than its minimum from anywhere.
+    kept = chosen.select("pair_id", "priority", F.explode("cats").alias("cat")).withColumn("_rn", F.row_number().over(first)).where(F.col("_rn") <= F.lit(most))
+    kept = kept.join(F.broadcast(floors), "cat").where("_rn <= least").select("pair_id").distinct().withColumn("floor", F.lit(True))
+    marked = chosen.join(kept, "pair_id", "left").withColumn("floor", F.coalesce("floor", F.lit(False))).select("pair_id", "cats", "floor", "priority")
+    return global_row_number(marked, [F.col("floor").desc(), F.col("priority"), F.xxhash64(F.lit(seed), "pair_id"), F.col("pair_id")], "seat")
 
 
 def sample_report(provenance: DataFrame, bundles: DataFrame, sample_targets: DataFrame) -> DataFrame:
-    """(category_kind, category_value, available, required, drawn, short): each target with what the sample gives it."""
+    """(category_kind, category_value, available, required, drawn, short, missed): each target with what the sample gives it.
+
+    short tells that too few pairs belong to the category, missed that the sample holds fewer than required, for that or
+    because other targets stand against it.
+    """
     pairs = cut(categories(provenance, bundles))
-    drawn = draw_sample(provenance, bundles, sample_targets)
-    got = drawn.select(F.explode("cats").alias("cat")).groupBy("cat").agg(F.count(F.lit(1)).alias("drawn"))
-    told = shortfalls(sample_targets, _available(pairs), pairs.count())
-    return told.join(got, "cat", "left").select("category_kind", "category_value", "available", "required", F.coalesce("drawn", F.lit(0)).alias("drawn"), "short")
+    got = _drawn(pairs, sample_targets, "sample").select(F.explode("cats").alias("cat")).groupBy("cat").agg(F.count(F.lit(1)).alias("drawn"))
+    told = shortfalls(sample_targets, _available(pairs), pairs.count()).join(got, "cat", "left").withColumn("drawn", F.coalesce("drawn", F.lit(0)))
+    return told.select("category_kind", "category_value", "available", "required", "drawn", "short", (F.col("drawn") < F.col("required")).alias("missed"))
