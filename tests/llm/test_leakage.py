@@ -42,6 +42,8 @@ def test_planted_runs_of_every_length(spark, monkeypatch):
     suite = spark.createDataFrame([(*x, "clash") for x in items], SUITE)
     want = _brute(docs, [x for x in items if x[0] is not None])
     assert rows(L.leaked_tests(df, suite)) == want
+    by_cosine = rows(L.leaked_tests(df, suite, rest=False))
+    assert set(by_cosine) <= set(want) and len(by_cosine) >= 0.9 * len(want)
     monkeypatch.setattr(L, "BLOCK_CHARS", 1500)  # several blocks of the query set
     assert rows(L.leaked_tests(df, suite)) == want
 
@@ -76,3 +78,41 @@ def test_paraphrases(spark):
     docs = [(1, " ".join(swapped)), (2, " ".join(words[100:160])), (3, item)]
     got = rows(L.paraphrased_tests(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(7, item, " ".join(words[200:220]), "")], SUITE)))
     assert [(d, i, a) for d, i, _, a in got] == [(1, 7, False), (3, 7, False)] and got[1][2] == L.LENGTH
+
+
+def test_common_words_do_not_hide_runs(spark):
+    """Passages of twelve everyday words among rare ones are far apart in the latent space; hashes find them all the same."""
+    common = [f"the{i}" for i in range(12)]
+    docs = [(d, " ".join([*(f"rare{d}x{i}" for i in range(8)), *common, *(f"rare{d}y{i}" for i in range(8))])) for d in range(80)]
+    items = [(1, " ".join(["odd1", "odd2", *common, "odd3", "odd4"]), None, "")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    assert rows(L.leaked_tests(df, spark.createDataFrame(items, SUITE), cosine=0.99)) == [(d, 1) for d in range(80)]
+
+
+def test_paraphrases_against_all_pairs(spark):
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(500)]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(40)), None, "") for i in range(20)]
+    docs = []
+    for d in range(200):
+        own = items[rng.randrange(20)][1].split()
+        docs.append((d, " ".join(rng.choice(vocabulary) if rng.random() < rng.choice([0.0, 0.05, 0.1, 0.6]) else w for w in own)))
+    df, suite = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, SUITE)
+    every, found = {(r.doc_id, r.item_id) for r in L.paraphrased_tests(df, suite, cosine=-1.0).collect()}, {(r.doc_id, r.item_id) for r in L.paraphrased_tests(df, suite).collect()}
+    assert found <= every and len(found) >= 0.9 * len(every) > 0
+
+
+def test_sums_of_pieces(spark):
+    import numpy as np
+
+    from weftline.llm import array_sums
+
+    def write(batches):
+        for b in batches:
+            for i in b["id"]:
+                a = np.zeros(3 * array_sums.PIECE + 5, np.int64)
+                a[i], a[-1] = i, 1
+                yield array_sums.pieces(a)
+
+    got = array_sums.total(spark.range(0, 60, 1, 7).mapInPandas(write, array_sums.SCHEMA), "int64", 3 * array_sums.PIECE + 5)
+    assert got[:60].tolist() == list(range(60)) and got[-1] == 60 and got[60:-1].sum() == 0

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.leakage import _sum
+from weftline.llm import array_sums
 from weftline.operators.scale import salted_join
 from weftline.session import cut, share, widen
 
@@ -292,9 +292,9 @@ def _count_corpus(documents: DataFrame) -> np.ndarray:
             lines = [t for t in batch["text"] if not t.isascii()]
             for at in range(0, len(lines), 64):
                 _tally(counts, "\n\n".join(lines[at : at + 64]), 1.0)
-        yield pd.DataFrame({"w": [counts.tobytes()]})
+        yield array_sums.pieces(counts)
 
-    return _sum(documents.select("text").mapInPandas(tally, "w binary"), "float64", sum(SIZES))
+    return array_sums.total(documents.select("text").mapInPandas(tally, array_sums.SCHEMA), "float64", sum(SIZES))
 
 
 def _undoable(segment: str, model: Trigrams, known: dict[str, bool]) -> bool:
@@ -331,10 +331,10 @@ def _count_start(documents: DataFrame, first: np.ndarray) -> np.ndarray:
                 lines = list(texts)
                 for at in range(0, len(lines), 64):
                     _tally(counts, "\n\n".join(lines[at : at + 64]), float(n) ** 0.5)
-        yield pd.DataFrame({"w": [counts.tobytes()]})
+        yield array_sums.pieces(counts)
 
     copies = documents.select("text").mapInPandas(split, "text string, n bigint").groupBy("text").agg(F.sum("n").alias("n"))
-    return _sum(copies.mapInPandas(tally, "w binary"), "float64", sum(SIZES))
+    return array_sums.total(copies.mapInPandas(tally, array_sums.SCHEMA), "float64", sum(SIZES))
 
 
 def _doubtful(text: str, model: Trigrams) -> tuple[str, list[str], list[list[int]]] | None:
@@ -396,7 +396,7 @@ def _with_shares(suspects: DataFrame, masses: DataFrame) -> DataFrame:
 
 
 def _round(suspects: DataFrame, masses: DataFrame, everywhere: np.ndarray, counts: np.ndarray, turn: int, corpus: float) -> DataFrame:
-    """Expected chain masses by source (chain >= 0) and changes of the trigram counts (w) of one E-step."""
+    """Expected chain masses by source (chain >= 0) and pieces of the changes of the trigram counts of one E-step."""
     shared = share(suspects.sparkSession, (everywhere, counts))
 
     def expect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -415,9 +415,11 @@ def _round(suspects: DataFrame, masses: DataFrame, everywhere: np.ndarray, count
                         _tally(change, text, -float(weight))
                     elif kind == [1]:
                         _tally(change, text, -float(weight))
-        yield pd.DataFrame([(*k, m, None) for k, m in sums.items()] + [(None, -1, 0.0, change.tobytes())], columns=["source", "chain", "mass", "w"])
+        told = array_sums.pieces(change)
+        rows = [(*k, m, None, None) for k, m in sums.items()] + [(None, -1, 0.0, p, w) for p, w in zip(told["part"], told["w"])]
+        yield pd.DataFrame(rows, columns=["source", "chain", "mass", "part", "w"]).astype({"part": "Int32"})
 
-    return cut(_with_shares(suspects, masses).mapInPandas(expect, "source string, chain int, mass double, w binary"))
+    return cut(_with_shares(suspects, masses).mapInPandas(expect, "source string, chain int, mass double, part int, w binary"))
 
 
 def _learn(documents: DataFrame) -> tuple[DataFrame, DataFrame, np.ndarray, np.ndarray, float]:
@@ -435,7 +437,7 @@ def _learn(documents: DataFrame) -> tuple[DataFrame, DataFrame, np.ndarray, np.n
         for chain, mass in totals.items():
             everywhere[chain] += mass
         everywhere /= everywhere.sum()
-        counts = np.maximum(first + _sum(expected.where("chain < 0").select("w"), "float64", sum(SIZES)), 0.0)
+        counts = np.maximum(first + array_sums.total(expected.where("chain < 0").select("part", "w"), "float64", sum(SIZES)), 0.0)
     return _split(_suspects(documents, counts, ROUNDS, corpus))[0], masses, everywhere, counts, corpus
 
 

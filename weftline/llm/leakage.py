@@ -4,7 +4,8 @@ The held-out items are the stated query set; they come in blocks of bounded size
 passages of LENGTH words. A passage with too few words known to any item of the block cannot hold a leak and is left out;
 frequencies are counted over all documents all the same. A randomised SVD of the TF-IDF passages, summed over all tasks,
 gives the latent space; item passages within a cosine of COSINE are candidates, of which exact comparison keeps runs of
-equal words, and the longest common subsequence keeps paraphrases.
+equal words, and the longest common subsequence keeps paraphrases. Runs between passages of a lesser cosine are looked up
+by their hashes, so that the threshold loses none.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm import array_sums
 from weftline.session import cut, share, widen
 
 #: Words that a document and an item must have in common, one after the other. Fixed by the task.
@@ -28,8 +30,10 @@ LENGTH, STEP = 16, 4
 RANK, OVERSAMPLE, COSINE = 64, 16, 0.5
 #: Least cosine and least share of a passage's words in common order for a paraphrase.
 PARAPHRASE_COSINE, PARAPHRASE_SHARE = 0.8, 0.8
-#: Characters of item text in a block; it bounds what is broadcast, some megabytes.
-BLOCK_CHARS = 4_000_000
+#: Characters of item text in a block; it bounds the vocabulary and so what is broadcast, some dozens of megabytes.
+BLOCK_CHARS = 1_000_000
+#: Document passages and item passages that are compared at once.
+ROWS, TILE = 512, 4096
 _WORD = re.compile(r"\w+")
 
 
@@ -79,18 +83,25 @@ class Block:
         self.unknown = 1.0
         self.basis = np.zeros((len(self.vocabulary), 0), np.float32)
 
-    def weigh(self, windows: np.ndarray) -> np.ndarray:
-        """Unit TF-IDF rows; unknown words count in the length only."""
-        rows = np.zeros((len(windows), len(self.vocabulary)), np.float32)
+    def weigh(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(words, unit TF-IDF rows over these words); unknown words count in the length only.
+
+        The words are those of ``windows``, so the rows stay small whatever the vocabulary.
+        """
+        used, at = np.unique(np.where(windows >= 0, windows, 0), return_inverse=True)
+        rows = np.zeros((len(windows), len(used)), np.float32)
         r, c = np.nonzero(windows >= 0)
-        np.add.at(rows, (r, windows[r, c]), 1)
-        rows *= self.idf
+        np.add.at(rows, (r, at.reshape(windows.shape)[r, c]), 1)
+        rows *= self.idf[used]
         lengths = np.sqrt((rows**2).sum(1) + (windows < 0).sum(1) * self.unknown**2)
-        return rows / np.maximum(lengths, 1e-9)[:, None]
+        return used, rows / np.maximum(lengths, 1e-9)[:, None]
 
     def latent(self, windows: np.ndarray) -> np.ndarray:
-        rows = self.weigh(windows) @ self.basis
-        return rows / np.maximum(np.linalg.norm(rows, axis=1), 1e-9)[:, None]
+        out = np.zeros((len(windows), self.basis.shape[1]), np.float32)
+        for n in range(0, len(windows), ROWS):
+            used, rows = self.weigh(windows[n : n + ROWS])
+            out[n : n + ROWS] = rows @ self.basis[used]
+        return out / np.maximum(np.linalg.norm(out, axis=1), 1e-9)[:, None]
 
 
 def _read(batch: pd.DataFrame) -> np.ndarray:
@@ -98,7 +109,7 @@ def _read(batch: pd.DataFrame) -> np.ndarray:
 
 
 def _passage_table(documents: DataFrame, block: Block) -> DataFrame:
-    """(doc_id, w) of passages with RUN known words or more; rows with a null doc_id carry a task's document frequencies."""
+    """(doc_id, w) of passages with RUN known words or more; rows with a null doc_id carry pieces of a task's document frequencies."""
     vocabulary = block.vocabulary
 
     def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -116,24 +127,11 @@ def _passage_table(documents: DataFrame, block: Block) -> DataFrame:
                 for w in windows[(windows >= 0).sum(1) >= RUN]:
                     ids_out.append(doc)
                     w_out.append(w.tobytes())
-            yield pd.DataFrame({"doc_id": pd.array(ids_out, "Int64"), "w": w_out})
-        yield pd.DataFrame({"doc_id": pd.array([None], "Int64"), "w": [counts.tobytes()]})
-
-    return cut(widen(documents).mapInPandas(cut_up, "doc_id bigint, w binary"))
-
-
-def _sum(blobs: DataFrame, kind: str, size: int) -> np.ndarray:
-    """The elementwise sum of a column of arrays of ``size``, in two levels; the driver gets 16 of them at most."""
-
-    def total(group: pd.DataFrame) -> pd.DataFrame:
-        acc = np.frombuffer(group["w"].iloc[0], kind).copy()
-        for b in group["w"].iloc[1:]:
-            acc += np.frombuffer(b, kind)
-        return pd.DataFrame({"slot": [group["slot"].iloc[0]], "w": [acc.tobytes()]})
+            yield pd.DataFrame({"doc_id": pd.array(ids_out, "Int64"), "w": w_out, "part": pd.array([None] * len(w_out), "Int32")})
+        told = array_sums.pieces(counts)
+        yield pd.DataFrame({"doc_id": pd.array([None] * len(told), "Int64"), "w": told["w"], "part": told["part"].astype("Int32")})
 
-    first = blobs.withColumn("slot", F.pmod(F.spark_partition_id(), F.lit(1024))).groupBy("slot").applyInPandas(total, "slot int, w binary")
-    second = first.withColumn("slot", F.pmod("slot", F.lit(16))).groupBy("slot").applyInPandas(total, "slot int, w binary").collect()
-    return np.sum([np.zeros(size, kind), *(np.frombuffer(r["w"], kind) for r in second)], axis=0)
+    return cut(widen(documents).mapInPandas(cut_up, "doc_id bigint, w binary, part int"))
 
 
 def _fit(block: Block, table: DataFrame) -> Block:
@@ -144,21 +142,25 @@ def _fit(block: Block, table: DataFrame) -> Block:
     def through(q: np.ndarray, gram: bool) -> np.ndarray:
         shared = share(spark, (block, q))
 
+        def add(own: Block, side: np.ndarray, windows: np.ndarray, acc: np.ndarray) -> None:
+            for at in range(0, len(windows), ROWS):
+                used, rows = own.weigh(windows[at : at + ROWS])
+                seen = rows @ side[used]
+                if gram:
+                    acc += seen.T @ seen
+                else:
+                    acc[used] += rows.T @ seen
+
         def accumulate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             own, side = shared()
             acc = np.zeros((width, width) if gram else (size, width), np.float64)
             for batch in batches:
-                windows = _read(batch)
-                for at in range(0, len(windows), 512):
-                    rows = own.weigh(windows[at : at + 512])
-                    seen = rows @ side
-                    acc += seen.T @ seen if gram else rows.T @ seen
-            yield pd.DataFrame({"w": [acc.tobytes()]})
-
-        acc = _sum(table.select("w").mapInPandas(accumulate, "w binary"), "float64", width * (width if gram else size)).reshape(-1, width).copy()
-        rows = block.weigh(block.windows)
-        seen = rows @ q
-        return acc + (seen.T @ seen if gram else rows.T @ seen)
+                add(own, side, _read(batch), acc)
+            yield array_sums.pieces(acc)
+
+        acc = array_sums.total(table.select("w").mapInPandas(accumulate, array_sums.SCHEMA), "float64", width * (width if gram else size)).reshape(-1, width)
+        add(block, q, block.windows, acc)
+        return acc
 
     q = np.random.default_rng(0).standard_normal((size, width)).astype(np.float32)
     for _ in range(2):
@@ -181,43 +183,60 @@ def common_subsequence(a: list[int], b: list[int]) -> int:
     return row.bit_count()
 
 
-def _search(table: DataFrame, block: Block, paraphrases: bool) -> DataFrame:
+def _search(table: DataFrame, block: Block, paraphrases: bool, cosine: float, rest: bool) -> DataFrame:
     shared = share(table.sparkSession, block)
     least = math.ceil(PARAPHRASE_SHARE * LENGTH)
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = shared()
         queries, hashes = own.latent(own.windows), run_hashes(own.windows)
+        order = np.argsort(hashes.ravel(), kind="stable")
+        ordered = hashes.ravel()[order]
+
+        def by_hash(mine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Pairs of passages, without regard to their cosine, that have the hash of a run in common."""
+            low, high = np.searchsorted(ordered, mine.ravel(), "left"), np.searchsorted(ordered, mine.ravel(), "right")
+            hit = np.flatnonzero(high > low)
+            i = np.repeat(hit // mine.shape[1], high[hit] - low[hit])
+            j = np.concatenate([order[low[h] : high[h]] // hashes.shape[1] for h in hit]) if len(hit) else np.zeros(0, np.int64)
+            return i, j
+
         for batch in batches:
             windows, docs, out = _read(batch), batch["doc_id"].to_numpy(np.int64), {}
-            for at in range(0, len(windows), 512):
-                some = windows[at : at + 512]
-                cosines = own.latent(some) @ queries.T
-                if not paraphrases:
-                    i, j = np.nonzero(cosines >= COSINE)
-                    mine = run_hashes(some)
-                    hit = np.zeros(len(i), bool)
-                    for a in range(LENGTH - RUN + 1):
-                        left = mine[i, a]
-                        for b in range(LENGTH - RUN + 1):
-                            hit |= left == hashes[j, b]
-                    for x, y in zip(i[hit], j[hit]):
-                        key = (int(docs[at + x]), int(own.owners[y]), int(own.parts[y]))
-                        if key not in out and _share_run(some[x], own.windows[y]):
-                            out[key] = RUN
-                    continue
-                i, j = np.nonzero(cosines >= PARAPHRASE_COSINE)
-                common = np.zeros(len(i), np.int16)
-                for a in range(LENGTH):
-                    one = some[i, a]
-                    common += ((own.windows[j] == one[:, None]).any(1) & (one >= 0)).astype(np.int16)
-                for x, y in zip(i[common >= least], j[common >= least]):
-                    other = own.windows[y]
-                    n = common_subsequence(some[x].tolist(), other.tolist())
-                    known = own.idf[other[other >= 0]]
-                    if n >= least and own.idf[other[(other >= 0) & np.isin(other, some[x])]].sum() >= PARAPHRASE_SHARE * known.sum():
-                        key = (int(docs[at + x]), int(own.owners[y]), int(own.parts[y]))
-                        out[key] = max(n, out.get(key, 0))
+            for at in range(0, len(windows), ROWS):
+                some = windows[at : at + ROWS]
+                seen, mine = own.latent(some), run_hashes(some)
+
+                def keep(i: np.ndarray, j: np.ndarray) -> None:
+                    for x, y in zip(i, j):
+                        key = (int(docs[at + x]), int(own.owners[y]), int(own.parts[y]))  # noqa: B023
+                        if key not in out and _share_run(some[x], own.windows[y]):  # noqa: B023
+                            out[key] = RUN  # noqa: B023
+
+                for n in range(0, len(queries), TILE):
+                    i, j = np.nonzero(seen @ queries[n : n + TILE].T >= cosine)
+                    j = j + n
+                    if not paraphrases:
+                        hit = np.zeros(len(i), bool)
+                        for a in range(mine.shape[1]):
+                            left = mine[i, a]
+                            for b in range(hashes.shape[1]):
+                                hit |= left == hashes[j, b]
+                        keep(i[hit], j[hit])
+                        continue
+                    common = np.zeros(len(i), np.int16)
+                    for a in range(LENGTH):
+                        one = some[i, a]
+                        common += ((own.windows[j] == one[:, None]).any(1) & (one >= 0)).astype(np.int16)
+                    for x, y in zip(i[common >= least], j[common >= least]):
+                        other = own.windows[y]
+                        k = common_subsequence(some[x].tolist(), other.tolist())
+                        known = own.idf[other[other >= 0]]
+                        if k >= least and own.idf[other[(other >= 0) & np.isin(other, some[x])]].sum() >= PARAPHRASE_SHARE * known.sum():
+                            key = (int(docs[at + x]), int(own.owners[y]), int(own.parts[y]))
+                            out[key] = max(k, out.get(key, 0))
+                if rest and not paraphrases:
+                    keep(*by_hash(mine))
             yield pd.DataFrame([(*k, n) for k, n in out.items()], columns=["doc_id", "item_id", "part", "common"])
 
     return table.mapInPandas(look, "doc_id bigint, item_id bigint, part int, common int")
@@ -228,7 +247,7 @@ def _share_run(a: np.ndarray, b: np.ndarray) -> bool:
     return any(tuple(a[k : k + RUN]) in runs for k in range(LENGTH - RUN + 1))
 
 
-def _matches(documents: DataFrame, suite: DataFrame, paraphrases: bool) -> DataFrame:
+def _matches(documents: DataFrame, suite: DataFrame, paraphrases: bool, cosine: float, rest: bool = False) -> DataFrame:
     documents = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     items = suite.select(F.col("item_id").cast("bigint").alias("item_id"), F.explode(F.array(F.struct(F.lit(0).alias("part"), F.col("prompt").alias("text")), F.struct(F.lit(1).alias("part"), F.col("rubric").alias("text")))).alias("p")).select("item_id", "p.part", "p.text").where("item_id is not null and text is not null")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -240,29 +259,34 @@ def _matches(documents: DataFrame, suite: DataFrame, paraphrases: bool) -> DataF
         if not len(block.windows):
             continue
         table = _passage_table(documents, block)
-        counts = _sum(table.where("doc_id is null").select("w"), "int64", len(block.vocabulary) + 1)
+        counts = array_sums.total(table.where("doc_id is null").select("part", "w"), "int64", len(block.vocabulary) + 1)
         block.idf = (np.log((counts[-1] + 1) / (counts[:-1] + 1)) + 1).astype(np.float32)
         block.unknown = float(block.idf.mean())
-        hits = _search(table.where("doc_id is not null"), _fit(block, table.where("doc_id is not null")), paraphrases)
+        hits = _search(table.where("doc_id is not null"), _fit(block, table.where("doc_id is not null")), paraphrases, cosine, rest)
         found = hits if found is None else found.unionByName(hits)
     if found is None:
         return documents.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint, part int, common int")
     return found
 
 
-def leaked_tests(documents: DataFrame, suite: DataFrame) -> DataFrame:
+def leaked_tests(documents: DataFrame, suite: DataFrame, cosine: float = COSINE, rest: bool = True) -> DataFrame:
     """(doc_id, item_id): the document has RUN consecutive words in common with the item's prompt or rubric.
 
-    A word is a run of letters, digits and underscores in lower case. Null texts, null ids and texts of fewer than RUN words
-    match nothing; repeated rows give the same pair once; empty tables give no rows. Other columns are ignored.
+    Passages within ``cosine`` in the latent space are compared; with ``rest`` runs between other passages are looked up too, so
+    that the result is exact. A word is a run of letters, digits and underscores in lower case. Null texts, null ids and texts of
+    fewer than RUN words match nothing; repeated rows give the same pair once; empty tables give no rows. Other columns
+    are ignored.
     """
-    return _matches(documents, suite, False).select("doc_id", "item_id").distinct()
+    return _matches(documents, suite, False, cosine, rest).select("doc_id", "item_id").distinct()
 
 
-def paraphrased_tests(documents: DataFrame, suite: DataFrame) -> DataFrame:
+def paraphrased_tests(documents: DataFrame, suite: DataFrame, cosine: float = PARAPHRASE_COSINE) -> DataFrame:
     """(doc_id, item_id, common_words, answer_leaked): passages that keep most words of an item's passage in their order.
 
     common_words is the longest common subsequence of two passages of LENGTH words, PARAPHRASE_SHARE of them at least; so is
-    their share by inverse document frequency, so that passages which only follow the same pattern do not count. answer_leaked tells whether a passage of the rubric is among them. Nulls as in leaked_tests.
+    their share by inverse document frequency, so that passages which only follow the same pattern do not count. Passages below
+    ``cosine`` in the latent space are not compared; -1 compares all. answer_leaked tells whether a passage of the rubric is
+    among them. Items of fewer than RUN words have no passage that could keep enough words, and give nothing. Nulls as in
+    leaked_tests.
     """
-    return _matches(documents, suite, True).groupBy("doc_id", "item_id").agg(F.max("common").alias("common_words"), F.max("part").cast("boolean").alias("answer_leaked"))
+    return _matches(documents, suite, True, cosine).groupBy("doc_id", "item_id").agg(F.max("common").alias("common_words"), F.max("part").cast("boolean").alias("answer_leaked"))
