@@ -3,7 +3,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from weftline.operators.components import contract
-from weftline.operators.scale import distributed_row_number, distributed_running_sum, hash_bucket, hot_keys, salted_join
+from weftline.operators.scale import distributed_row_number, distributed_running_sum, global_row_number, hash_bucket, hot_keys, is_small, salted_join, sized_join
 
 
 def test_salted_join_equals_plain_join(spark):
@@ -14,6 +14,20 @@ def test_salted_join_equals_plain_join(spark):
     assert hot_keys(many, ["k"], least=100).count() == 1
 
 
+def test_sized_join_either_way(spark):
+    many, one = spark.range(100).select((F.col("id") % 7).alias("k"), "id"), spark.range(5).select(F.col("id").alias("k"), F.lit("t").alias("v"))
+    assert is_small(one) and is_small(one.where("false")) and not is_small(one.withColumn("v", F.repeat(F.lit("x"), 3 << 20)))
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        assert rows(sized_join(many, one, ["k"], how, small=True).fillna("")) == rows(sized_join(many, one, ["k"], how, small=False).fillna(""))
+
+
+def test_global_row_number(spark):
+    df = spark.range(500).select(F.when(F.col("id") % 3 > 0, F.lit(0)).otherwise(F.col("id") % 11).alias("v"), "id", F.lit(1).alias("_p0")).repartition(5)
+    got = rows(global_row_number(df, [F.col("v").desc(), F.col("id")]), "id", "rn")
+    assert got == rows(df.select("id", F.row_number().over(Window.orderBy(F.col("v").desc(), "id")).alias("rn")))
+    assert rows(global_row_number(df.where("false"), [F.col("id")])) == []
+
+
 def test_distributed_ranks_equal_windows(spark):
     df = spark.range(2000).select("id", F.when(F.col("id") % 3 == 0, None).otherwise(F.col("id") % 4).alias("p"), (F.col("id") * 37 % 101).alias("v"))
     got = distributed_row_number(df, ["p"], [F.col("v"), F.col("id")], F.floor(F.col("v") / 10).cast("int"), 11)

@@ -10,36 +10,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.operators.scale import salted_join
+from weftline.operators.scale import is_small, sized_join
 from weftline.session import cut
 
-#: From this many edges on, the joins of a round are salted; below, one task takes a whole vertex with ease.
-SALT_FROM = 1_000_000
-
 
 def contract(edges: DataFrame) -> DataFrame:
-    """(vertex, root) for every vertex that random-mate contraction merged; ``edges`` has u and v."""
+    """(vertex, root) for every vertex that random-mate contraction merged; ``edges`` has u and v.
+
+    Each round costs one shuffle for the merges and one for the renamed edges; merges are broadcast while they are few, else
+    joined in salted parts. Null ends and loops are ignored, repeated edges count once, no edges give no rows.
+    """
     edges = cut(edges.where("u is not null and v is not null and u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     merges: DataFrame | None = None
-    left, turn = edges.count(), 0
-    while left:
+    turn = 0
+    while not edges.isEmpty():
         heads = lambda c: F.pmod(F.xxhash64(F.lit(turn), c), F.lit(2)) == 1  # noqa: B023, E731
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         merged = cut(both.where(~heads("u") & heads("v")).groupBy("u").agg(F.min("v").alias("into")))
         merges = merged if merges is None else merges.unionByName(merged)
-        renamed = edges
+        renamed, small = edges, is_small(merged)
         for side in ("u", "v"):
-            table = merged.select(F.col("u").alias(side), F.col("into").alias("_into"))
-            renamed = salted_join(renamed, table, [side], "left") if left >= SALT_FROM else renamed.join(table, side, "left")
+            renamed = sized_join(renamed, merged.select(F.col("u").alias(side), F.col("into").alias("_into")), [side], "left", small=small)
             renamed = renamed.withColumn(side, F.coalesce("_into", side)).drop("_into")
         edges = cut(renamed.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-        left, turn = edges.count(), turn + 1
+        turn += 1
     if merges is None:
         return edges.select(F.col("u").alias("vertex"), F.col("v").alias("root"))
     forest = cut(merges.select(F.col("u").alias("vertex"), F.col("into").alias("root")))
     depth = 1
     while depth < turn:  # a path has one level for each round at most
         up = forest.select(F.col("vertex").alias("root"), F.col("root").alias("_up"))
-        forest = cut(salted_join(forest, up, ["root"], "left", F.xxhash64("vertex")).select("vertex", F.coalesce("_up", "root").alias("root")))
+        forest = cut(sized_join(forest, up, ["root"], "left", F.xxhash64("vertex")).select("vertex", F.coalesce("_up", "root").alias("root")))
         depth *= 2
     return forest

@@ -12,6 +12,8 @@ from weftline.session import cut
 
 #: A hot-key list holds at most this many keys, so that broadcasting it is bounded.
 MAX_HOT_KEYS = 1000
+#: Largest table that ``sized_join`` broadcasts.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 8 << 20
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], share: float = 1.0 / MAX_HOT_KEYS, least: int = 20_000) -> DataFrame:
@@ -49,6 +51,20 @@ def salted_join(many: DataFrame, one: DataFrame, keys: Sequence[str], how: str =
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
+def is_small(df: DataFrame) -> bool:
+    """Whether ``df``, measured, has at most BROADCAST_ROWS rows and BROADCAST_BYTES of text."""
+    texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "binary")]
+    rows, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(sum(texts, F.lit(0))), F.lit(0))).first()
+    return rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES
+
+
+def sized_join(many: DataFrame, one: DataFrame, keys: Sequence[str], how: str = "inner", spread: Column | None = None, small: bool | None = None) -> DataFrame:
+    """A broadcast of ``one`` if it ``is_small``, else salted_join; ``one`` is read twice, so it should be a table or cut."""
+    if is_small(one) if small is None else small:
+        return many.join(F.broadcast(one), list(keys), how)
+    return salted_join(many, one, keys, how, spread)
+
+
 def _unhashable(df: DataFrame, name: str) -> bool:
     return "map<" in dict(df.dtypes)[name] or "variant" in dict(df.dtypes)[name]
 
