@@ -23,11 +23,11 @@ def test_related_rows(spark):
 
 
 def test_salted_rounds_give_the_same(spark, monkeypatch):
-    from weftline.operators import components
+    from weftline.operators import scale
 
     df = table(spark, "source_examples")
     want = rows(G.group_files(df))
-    monkeypatch.setattr(components, "SALT_FROM", 0)
+    monkeypatch.setattr(scale, "BROADCAST_ROWS", -1)
     assert rows(G.group_files(df)) == want
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.operators.components import contract
-from weftline.operators.scale import distributed_running_sum, hash_bucket, salted_join
+from weftline.operators.scale import distributed_running_sum, hash_bucket, salted_join, sized_join
 from weftline.session import cut
 
 #: A component is heavy from this share of all rows on; hence there are at most 1 / HEAVY of them.
@@ -48,11 +48,11 @@ def related_rows(rows: DataFrame) -> DataFrame:
     named = rows.select("rec_id", "id", F.concat(F.lit("f:"), file_name(F.col("source_file"))).alias("f"), F.concat(F.lit("a:"), author_name(F.col("meta"))).alias("a")).where("rec_id is not null")
     named = cut(named.withColumn("vertex", F.coalesce("f", "a", F.concat(F.lit("r:"), F.col("rec_id").cast("string")))))
     forest = contract(named.select(F.col("f").alias("u"), F.col("a").alias("v")))
-    vertices = named.select(F.explode(F.array_compact(F.array("f", "a"))).alias("vertex")).distinct().join(forest, "vertex", "left").withColumn("root", F.coalesce("root", "vertex"))
-    vertices = cut(vertices)
-    files = vertices.where("startswith(vertex, 'f:')").groupBy("root").agg(F.min(F.expr("substring(vertex, 3)")).alias("group_file"))
-    labels = salted_join(vertices, files, ["root"], "left", F.xxhash64("vertex"))
-    joined = salted_join(named.select("rec_id", "id", "vertex"), labels, ["vertex"], "left", F.xxhash64("rec_id"))
+    vertices = named.select(F.explode(F.array_compact(F.array("f", "a"))).alias("vertex")).distinct()
+    vertices = cut(sized_join(vertices, forest, ["vertex"], "left").withColumn("root", F.coalesce("root", "vertex")))
+    files = cut(vertices.where("startswith(vertex, 'f:')").groupBy("root").agg(F.min(F.expr("substring(vertex, 3)")).alias("group_file")))
+    labels = cut(sized_join(vertices, files, ["root"], "left", F.xxhash64("vertex")))
+    joined = sized_join(named.select("rec_id", "id", "vertex"), labels, ["vertex"], "left", F.xxhash64("rec_id"))
     return joined.select("rec_id", "id", "vertex", F.coalesce("root", "vertex").alias("root"), "group_file")
 
 
