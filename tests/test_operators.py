@@ -191,8 +191,13 @@ def test_clipped_level_in_blocks(spark):
         level[k] = min(max(raw, 0.0), 10.0)
         want.append((k, i, level[k], max(0.0, raw - 10.0)))
     df = spark.createDataFrame(data, "k string, i int, x double, y double")
-    for block in (7, 10_000):
-        assert rows(records.clipped_level(df, "k", ["i"], "x", "y", 10.0, block)) == sorted(want)
+    for n in (1, 5):  # ranges over which a key goes on
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", str(n == 1).lower())
+        assert rows(records.clipped_level(df.repartition(n), "k", ["i"], "x", "y", 10.0)) == sorted(want)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    numbered = df.select(F.when(F.col("k") == "a", 7).cast("bigint").alias("k"), "i", "x", "y")
+    got = records.clipped_level(numbered, "k", ["i"], "x", "y", 10.0)
+    assert rows(got.select(F.when(F.col("k") == 7, "a").otherwise("b"), "i", "level", "spill")) == sorted(want)
 
 
 def test_results_do_not_depend_on_partitions(spark):

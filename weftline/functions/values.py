@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _NUMBER = r"(?U)^\s*([+-]?)(?:([0-9]+)(?:\.([0-9]*))?|\.([0-9]+))(?:[eE]([+-]?[0-9]{1,18}))?\s*$"
+#: A whole number without a sign and without zeros at either end.
+_PLAIN = r"^[1-9](?:[0-9]*[1-9])?\z"
 
 
 def canonical_value(value: Column) -> Column:
@@ -23,7 +25,8 @@ def canonical_value(value: Column) -> Column:
         F.concat(F.lit("#"), F.when(part(1) == "-", "-").otherwise(""), kept, F.lit("E"), (exponent + F.length(digits) - F.length(kept)).cast("string"))
     )
     return (
-        F.when(value.rlike(_NUMBER), number)
+        F.when(value.rlike(_PLAIN), F.concat(F.lit("#"), value, F.lit("E0")))  # the commonest numbers, already in that form
+        .when(value.rlike(_NUMBER), number)
         .when(value.rlike(r"(?U)^\s*$"), F.lit(""))
         .when(value.startswith("#"), F.concat(F.lit("#"), value))
         .otherwise(value)

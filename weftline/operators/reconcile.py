@@ -117,10 +117,16 @@ def roots(a: list[int]) -> list[int] | None:
 def decode(ratios: list[int], surplus: int, bound: int) -> tuple[list[int], list[int]] | None:
     """(left-only hashes, right-only hashes) from L(x)/R(x) at P-1, P-2, ...; None if ``bound`` is too small.
 
-    ``surplus`` is the number of left rows less that of right rows. The first ``bound`` points are solved, the rest check.
+    ``surplus`` is the number of left rows less that of right rows. Of the least degree that it allows one is tried first, as most
+    buckets differ in a row or two; then ``bound`` points are solved. All other points check.
     """
-    if abs(surplus) > bound:
-        return None
+    least = abs(surplus) or 2
+    if least < bound and (found := _solved(ratios, surplus, least)) is not None:
+        return found
+    return _solved(ratios, surplus, bound) if abs(surplus) <= bound else None
+
+
+def _solved(ratios: list[int], surplus: int, bound: int) -> tuple[list[int], list[int]] | None:
     b = (bound - surplus) // 2
     a = b + surplus
     n = a + b
@@ -162,20 +168,20 @@ def _decode_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         out = []
         for r in batch.itertuples(index=False):
-            values = [int(x) * pow(int(y), -1, P) % P for x, y in zip(r.le, r.re)]
+            values = [int(x) * pow(int(y), -1, P) % P for x, y in zip(r.le, r.re)]  # the row hashes avoid all points, so no value is 0
             found = decode(values, int(r.ln) - int(r.rn), int(r.bound))
             if found is None:
-                out.append((r.pair_id, r.left_id, r.right_id, r.bucket, False, -1, False))
+                out.append((r.pair_id, r.left_id, r.right_id, r.bucket, False, -1, False, r.le, r.re))
             else:
-                out += [(r.pair_id, r.left_id, r.right_id, r.bucket, True, h, side) for side, hs in ((True, found[0]), (False, found[1])) for h in hs]
+                out += [(r.pair_id, r.left_id, r.right_id, r.bucket, True, h, side, None, None) for side, hs in ((True, found[0]), (False, found[1])) for h in hs]
                 if not found[0] and not found[1]:  # equal in the field, unlike in the checksum: fetch the whole bucket
-                    out.append((r.pair_id, r.left_id, r.right_id, r.bucket, True, -1, False))
-        yield pd.DataFrame(out, columns=["pair_id", "left_id", "right_id", "bucket", "solved", "h", "on_left"])
+                    out.append((r.pair_id, r.left_id, r.right_id, r.bucket, True, -1, False, None, None))
+        yield pd.DataFrame(out, columns=["pair_id", "left_id", "right_id", "bucket", "solved", "h", "on_left", "le", "re"])
 
 
-def _values(hashes: Column, points: int) -> Column:
-    """The characteristic polynomial at the first ``points`` points."""
-    spots = F.array(*[F.lit(P - 1 - i) for i in range(points)]).cast("array<bigint>")
+def _values(hashes: Column, points: range) -> Column:
+    """The characteristic polynomial at the points of these numbers."""
+    spots = F.array(*[F.lit(P - 1 - i) for i in points]).cast("array<bigint>")
     return F.transform(spots, lambda x: F.aggregate(hashes, F.lit(1).cast("bigint"), lambda acc, h: (acc * (x - h)) % F.lit(P).cast("bigint")))
 
 
@@ -195,8 +201,11 @@ def _renamed(hot: list[Row], name: str) -> list[Row]:
 
 
 def _bucketed(rows: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(set_id, bucket, h, x64) of rows; sizes has the sets of more than one bucket with their number."""
-    slim = rows.select("set_id", "h", "x64", F.xxhash64(F.lit("bucket"), "row_key").alias("_k"))
+    """(set_id, bucket, h, x64) of rows; sizes has the sets of more than one bucket with their number.
+
+    Buckets go by contents, so that a row key that many rows share does not fill one.
+    """
+    slim = rows.select("set_id", "h", "x64", F.xxhash64(F.lit("bucket"), "x64").alias("_k"))
     placed = salted_join(slim, sizes, ["set_id"], "left", F.col("x64"), hot=None)
     return placed.select("set_id", F.pmod("_k", F.coalesce("buckets", F.lit(1))).cast("int").alias("bucket"), "h", "x64")
 
@@ -228,24 +237,29 @@ def reconcile(pairs: DataFrame, left: DataFrame, right: DataFrame, ignored: tupl
     rs = cut(_sketches(_bucketed(right, right_sizes)))
 
     spots = spots.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.coalesce("buckets", F.lit(1)) - 1))).drop("buckets")
-    pending, bound, solved = spots, FIRST_BOUND, []
+    # Only buckets that are not solved are evaluated again, and only at points that are new.
+    pending, bound, seen, solved = spots, FIRST_BOUND, 0, []
     while True:
-        points = bound + CHECKS
+        points = range(seen, bound + CHECKS)
         sides = []
         for name, table in (("l", ls), ("r", rs)):
-            sides.append(table.select(F.col("set_id").alias("left_id" if name == "l" else "right_id"), "bucket", F.size("hs").alias(name + "n"), F.col("x").alias(name + "x"), _values(F.col("hs"), points).alias(name + "e")))
-        one = F.array(*[F.lit(1)] * points).cast("array<bigint>")
+            keys = ["left_id" if name == "l" else "right_id", "bucket"]
+            table = table.withColumnRenamed("set_id", keys[0])
+            table = table.join(pending.select(*keys).distinct(), keys, "left_semi") if seen else table
+            sides.append(table.select(*keys, F.size("hs").alias(name + "n"), F.col("x").alias(name + "x"), _values(F.col("hs"), points).alias(name + "v")))
+        one = F.array(*[F.lit(1)] * len(points)).cast("array<bigint>")
         met = salted_join(pending, sides[0], ["left_id", "bucket"], "left", F.xxhash64("right_id"), hot=hot).join(sides[1], ["right_id", "bucket"], "left")
+        values = {v: F.coalesce(v, one) for v in ("lv", "rv")}
         met = met.select(
             "pair_id", "left_id", "right_id", "bucket", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("ln", "rn", "lx", "rx")],
-            F.coalesce("le", one).alias("le"), F.coalesce("re", one).alias("re"), F.lit(bound).alias("bound"),
+            *[(F.concat(old, values[v]) if seen else values[v]).alias(old) for old, v in (("le", "lv"), ("re", "rv"))], F.lit(bound).alias("bound"),
         ).where("ln <> rn or lx <> rx or le <> re")
         result = cut(met.drop("lx", "rx").mapInPandas(_decode_batches, _schema(pairs)))
-        solved.append(result.where("solved"))
-        pending = result.where("not solved").select("pair_id", "left_id", "right_id", "bucket")
+        solved.append(result.where("solved").drop("le", "re"))
+        pending = result.where("not solved").select("pair_id", "left_id", "right_id", "bucket", "le", "re")
         if pending.isEmpty():
             break
-        bound *= 2
+        seen, bound = bound + CHECKS, bound * 2
     found = solved[0]
     for more in solved[1:]:
         found = found.unionByName(more)
@@ -254,7 +268,7 @@ def reconcile(pairs: DataFrame, left: DataFrame, right: DataFrame, ignored: tupl
 
 def _schema(pairs: DataFrame) -> str:
     kinds = dict(pairs.dtypes)
-    return f"pair_id {kinds['pair_id']}, left_id {kinds['left_id']}, right_id {kinds['right_id']}, bucket int, solved boolean, h bigint, on_left boolean"
+    return f"pair_id {kinds['pair_id']}, left_id {kinds['left_id']}, right_id {kinds['right_id']}, bucket int, solved boolean, h bigint, on_left boolean, le array<bigint>, re array<bigint>"
 
 
 def _fetch(found: DataFrame, rows: DataFrame, side: str, hot: list[Row]) -> DataFrame:

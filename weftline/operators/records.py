@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.session import cut
-
-#: Rows of a key that one task folds at once in ``clipped_level``.
-BLOCK = 50_000
-
+from weftline.operators.scale import global_row_number
+from weftline.session import cut, share
 
 def route(df: DataFrame, rules: Sequence[tuple[Column, int]], otherwise: int, out: str = "port") -> DataFrame:
     """The port of the first rule that holds; a null condition does not hold. Later rules are not looked at."""
@@ -107,14 +105,8 @@ def hash_join(driver: DataFrame, slave: DataFrame, keys: Sequence[tuple[str, str
 
 
 def combine(a: DataFrame, b: DataFrame, order_a: Sequence[str], order_b: Sequence[str]) -> DataFrame:
-    """The i-th rows of two flows side by side; the longer one goes on with nulls. Numbers are distributed by value range."""
-    from weftline.operators.scale import distributed_row_number
-
-    def numbered(df: DataFrame, order: Sequence[str]) -> DataFrame:
-        low, high = df.agg(F.min(order[0]), F.max(order[0])).first()
-        width = max(1, ((high or 0) - (low or 0)) // 256 + 1)
-        return distributed_row_number(df, [], [F.col(o) for o in order], F.floor((F.col(order[0]) - F.lit(low or 0)) / width).cast("int"), 257, "_rn")
-
+    """The i-th rows of two flows side by side; the longer one goes on with nulls. Numbers are given over ranges."""
+    numbered = lambda df, order: global_row_number(df, [F.col(o) for o in order], "_rn")
     return numbered(a, order_a).join(numbered(b, order_b), "_rn", "full").drop("_rn")
 
 
@@ -125,7 +117,7 @@ def cascade_lookup(df: DataFrame, rules: DataFrame, levels: Sequence[Sequence[tu
     ``level`` (1 for the most exact) with it; rows without any rule keep nulls.
     """
     named = sorted({r for level in levels for _, r in level})
-    out = df.withColumn("_row", F.monotonically_increasing_id())
+    out = cut(df.withColumn("_row", F.monotonically_increasing_id()))  # written, so that a row keeps its number however often it is read
     found: DataFrame | None = None
     for number, level in enumerate(levels, 1):
         exact = dict((r, d) for d, r in level)
@@ -155,50 +147,70 @@ def survivors(df: DataFrame, key: Sequence[str], slot: str, order: str, removal:
     return df.withColumn("_removed", F.max(F.when(removal, F.col(order))).over(w)).where(~removal & (F.col("_removed").isNull() | (F.col("_removed") < F.col(order)))).drop("_removed")
 
 
-def _clip_chain(steps: Sequence[float], cap: float) -> tuple[float, float, float]:
-    """The composite of x -> min(max(x + d, 0), cap) as (shift, low, high): x -> min(max(x + shift, low), high)."""
-    shift, low, high = 0.0, float("-inf"), float("inf")
+def _clip_chain(steps: Sequence[float], cap: float, after: tuple[float, float, float] = (0.0, float("-inf"), float("inf"))) -> tuple[float, float, float]:
+    """The composite of x -> min(max(x + d, 0), cap) ``after`` another, as (shift, low, high): x -> min(max(x + shift, low), high)."""
+    shift, low, high = after
     for d in steps:
         shift, low, high = shift + d, min(max(low + d, 0.0), cap), min(max(high + d, 0.0), cap)
     return shift, low, high
 
 
-def clipped_level(df: DataFrame, key: str, order: Sequence[str], inflow: str, outflow: str, cap: float, block: int = BLOCK) -> DataFrame:
+def clipped_level(df: DataFrame, key: str, order: Sequence[str], inflow: str, outflow: str, cap: float) -> DataFrame:
     """(key, order..., level, spill): level = clip(previous + inflow - outflow, 0, cap) from 0, spill what exceeds the cap.
 
-    Clipping is not a sum, yet its composites have three numbers, so a key's rows are folded in blocks: first each
-    block's composite, then the level at each block's start, then the rows; no task sees more than a block. Nulls count 0.
+    Clipping is not a sum, yet its composites have three numbers. Rows are cut into ranges of key and order, a key with many rows
+    over several of them. Each range gives the composites of its first and last key, from which follows the level that its
+    first key begins with; then every range is replayed on its own. Nulls count 0, rows with a null key are one key.
     """
-    w = Window.partitionBy(key).orderBy(*order)
-    rows = df.select(key, *order, F.coalesce(F.col(inflow), F.lit(0.0)).cast("double").alias("_in"), F.coalesce(F.col(outflow), F.lit(0.0)).cast("double").alias("_out")).withColumn("_rn", F.row_number().over(w)).withColumn("_block", F.floor((F.col("_rn") - 1) / block))
-    rows = cut(rows)
-    kind = dict(df.dtypes)[key]
-
-    def composite(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("_rn")
-        shift, low, high = _clip_chain((g["_in"] - g["_out"]).tolist(), cap)
-        return pd.DataFrame({key: [g[key].iloc[0]], "_block": [g["_block"].iloc[0]], "shift": [shift], "low": [low], "high": [high]})
-
-    def starts(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("_block")
-        level, out = 0.0, []
-        for shift, low, high in zip(g["shift"], g["low"], g["high"]):
-            out.append(level)
-            level = min(max(level + shift, low), high)
-        return pd.DataFrame({key: g[key], "_block": g["_block"], "start": out})
-
-    fields = ", ".join(f"{o} {dict(df.dtypes)[o]}" for o in order)
-
-    def replay(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("_rn")
-        level, levels, spills = float(g["start"].iloc[0]), [], []
-        for d in (g["_in"] - g["_out"]).tolist():
-            raw = level + d
-            level = min(max(raw, 0.0), cap)
-            levels.append(level)
-            spills.append(max(0.0, raw - cap))
-        return pd.DataFrame({key: g[key], **{o: g[o] for o in order}, "level": levels, "spill": spills})
-
-    parts = rows.groupBy(key, "_block").applyInPandas(composite, f"{key} {kind}, _block bigint, shift double, low double, high double")
-    begun = parts.groupBy(key).applyInPandas(starts, f"{key} {kind}, _block bigint, start double")
-    return rows.join(begun, [key, "_block"]).groupBy(key, "_block").applyInPandas(replay, f"{key} {kind}, {fields}, level double, spill double")
+    rows = df.select(key, *order, F.coalesce(F.col(inflow), F.lit(0.0)).cast("double").alias("_in"), F.coalesce(F.col(outflow), F.lit(0.0)).cast("double").alias("_out"))
+    rows = cut(rows.repartitionByRange(key, *order).sortWithinPartitions(key, *order).withColumn("_p", F.spark_partition_id()))
+    kinds = dict(df.dtypes)
+
+    def runs(batch: pd.DataFrame) -> list[tuple[object, int, int]]:
+        """(key, start, end) of the runs of equal keys; all nulls are equal."""
+        codes = pd.factorize(batch[key], use_na_sentinel=True)[0]
+        at = [0, *(np.flatnonzero(codes[1:] != codes[:-1]) + 1).tolist(), len(codes)]
+        return [(None if codes[a] < 0 else batch[key].iloc[a], a, b) for a, b in zip(at, at[1:]) if b > a]
+
+    def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, found = None, []  # the composites of the first and of the latest key
+        for batch in batches:
+            steps = (batch["_in"] - batch["_out"]).tolist()
+            for k, a, b in runs(batch):
+                part = int(batch["_p"].iloc[a])
+                if found and found[-1][0] == k:
+                    found[-1] = (k, _clip_chain(steps[a:b], cap, found[-1][1]))
+                else:
+                    found = [*found[:1], (k, _clip_chain(steps[a:b], cap))]
+        for n, (k, (shift, low, high)) in enumerate(found):
+            yield pd.DataFrame({"p": [part], "n": [n], key: pd.Series([k], dtype=object), "shift": [shift], "low": [low], "high": [high]})
+
+    told = rows.mapInPandas(ends, f"p int, n int, {key} {kinds[key]}, shift double, low double, high double").orderBy("p", "n").collect()  # two rows for each range
+    begin: dict[int, float] = {}
+    last, level = None, 0.0
+    for r in told:
+        start = level if last is not None and r[key] == last[0] else 0.0
+        if r["n"] == 0:
+            begin[r["p"]] = start
+        last, level = (r[key],), min(max(start + r["shift"], r["low"]), r["high"])
+    known = share(df.sparkSession, begin)
+
+    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current: tuple | None = None
+        level = 0.0
+        for batch in batches:
+            steps, levels, spills = (batch["_in"] - batch["_out"]).tolist(), [], []
+            for k, a, b in runs(batch):
+                if current is None:
+                    level = known().get(int(batch["_p"].iloc[a]), 0.0)
+                elif current[0] != k:
+                    level = 0.0
+                current = (k,)
+                for d in steps[a:b]:
+                    raw = level + d
+                    level = min(max(raw, 0.0), cap)
+                    levels.append(level)
+                    spills.append(max(0.0, raw - cap))
+            yield batch[[key, *order]].assign(level=levels, spill=spills)
+
+    return rows.mapInPandas(replay, ", ".join(f"{c} {kinds[c]}" for c in (key, *order)) + ", level double, spill double")

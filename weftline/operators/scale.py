@@ -92,17 +92,33 @@ def distributed_row_number(df: DataFrame, part: Sequence[str], order: Sequence[C
     )
 
 
-def global_row_number(df: DataFrame, order: Sequence[Column], out: str = "rn") -> DataFrame:
-    """``row_number() over (order by order)`` over all rows without a task that holds them all.
+def global_row_number(df: DataFrame, order: Sequence[Column], out: str = "rn", part: Sequence[str] = ()) -> DataFrame:
+    """``row_number() over (partition by part order by order)`` without a task that holds all rows of a part.
 
-    Rows are cut into ranges of the order by a sample, numbered inside them and shifted by the sizes of the earlier ranges, one
-    number for each. The order should end with a unique column, so that ties do not fill a range. No rows give none.
+    Rows are cut into ranges of part and order by a sample, numbered inside them and shifted by the sizes of the earlier ranges:
+    one number for each part in each range that holds it. The order should end with a unique column, so that ties do not fill a
+    range. Null parts are one part. No rows give none.
     """
-    placed = cut(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
-    sizes = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    numbered = placed.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
-    return numbered.join(before, "_p").select(*df.columns, (F.col("_before") + F.col("_i")).alias(out))
+    return _over_ranges(df, order, part, out, None)
+
+
+def global_running_sum(df: DataFrame, order: Sequence[Column], value: str, out: str = "running", part: Sequence[str] = ()) -> DataFrame:
+    """``sum(value) over (partition by part order by order rows unbounded preceding)``, as in global_row_number; nulls add nothing."""
+    return _over_ranges(df, order, part, out, value)
+
+
+def _over_ranges(df: DataFrame, order: Sequence[Column], part: Sequence[str], out: str, value: str | None) -> DataFrame:
+    part = list(part)
+    placed = cut(df.repartitionByRange(*[F.col(p) for p in part], *order).withColumn("_p", F.spark_partition_id()))
+    sizes = placed.groupBy(*part, "_p").agg((F.count(F.lit(1)) if value is None else F.coalesce(F.sum(value), F.lit(0))).alias("_n"))
+    earlier = Window.partitionBy(*part).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(*[F.col(p).alias(f"_r_{p}") for p in part], F.col("_p").alias("_r_p"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*part, "_p").orderBy(*order)
+    own = F.row_number().over(inside) if value is None else F.coalesce(F.sum(value).over(inside.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
+    condition = F.col("_p") == F.col("_r_p")
+    for p in part:
+        condition = condition & F.col(p).eqNullSafe(F.col(f"_r_{p}"))
+    return placed.withColumn("_i", own).join(before, condition).select(*df.columns, (F.col("_before") + F.col("_i")).alias(out))
 
 
 def hash_bucket(buckets: int, *cols: Column | str, seed: str = "") -> Column:
