@@ -10,9 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.functions.text import shingles, word_form, word_list
+from weftline.functions.text import masked_words, shingles, word_form, word_list
 from weftline.operators.components import contract
-from weftline.operators.scale import MAX_HOT_KEYS, salted_join
+from weftline.operators.scale import BROADCAST_ROWS, MAX_HOT_KEYS, global_running_sum, salted_join, sized_join
 from weftline.session import cut
 
 #: Words of a shingle and least Jaccard similarity of near-duplicates.
@@ -30,21 +30,34 @@ def jaccard(a: Column, b: Column, empty: float = 0.0) -> Column:
     return F.when(union == 0, F.lit(empty)).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
-def nearest(texts: DataFrame, references: DataFrame, key: str, ref_key: str, text: str = "text", ref_text: str = "text", least: float = 0.0) -> DataFrame:
+def nearest(texts: DataFrame, references: DataFrame, key: str, ref_key: str, text: str = "text", ref_text: str = "text", least: float = 0.0, masked: bool = False, n: int = WORDS) -> DataFrame:
     """(key, ref_key, shared, jaccard, contained): for each text the reference of greatest Jaccard similarity above 0.
 
-    Ties go to the smallest ref_key. contained is the share of the reference's shingles. One equi-join on shingles of both
-    sides; null and short texts have no shingles and no row.
+    Ties go to the smallest ref_key. contained is the share of the reference's shingles; ``masked`` takes identifiers as equal.
+    The references' shingles form an index with one row for each, which is broadcast if it is small by measure; a text's shingles
+    then meet it where the text is read and only counts are shuffled. A larger index is joined in salted parts. Null and short texts
+    have no shingles and no row.
     """
-    left = texts.select(key, shingle_set(F.col(text)).alias("s")).withColumn("n1", F.size("s"))
-    right = references.select(ref_key, shingle_set(F.col(ref_text)).alias("s")).withColumn("n2", F.size("s"))
-    met = left.select(key, "n1", F.explode("s").alias("g")).join(right.select(ref_key, "n2", F.explode("s").alias("g")), "g")
-    shared = met.groupBy(key, ref_key, "n1", "n2").agg(F.count(F.lit(1)).alias("shared"))
-    scored = shared.withColumn("jaccard", F.col("shared") / (F.col("n1") + F.col("n2") - F.col("shared"))).withColumn("contained", F.col("shared") / F.col("n2")).where(F.col("jaccard") >= least)
+    words = (lambda c: masked_words(F.col(c))) if masked else (lambda c: word_list(F.col(c)))
+    hashed = lambda c: F.array_distinct(F.transform(shingles(words(c), n), lambda s: F.xxhash64(s)))
+    right = references.select(F.col(ref_key).alias("_r"), hashed(ref_text).alias("_s")).withColumn("_n2", F.size("_s"))
+    index = cut(right.select("_r", "_n2", F.explode("_s").alias("_g")).groupBy("_g").agg(F.collect_list(F.struct("_r", "_n2")).alias("_refs")))
+    postings = index.agg(F.coalesce(F.sum(F.size("_refs")), F.lit(0))).first()[0]
+    left = texts.select(key, hashed(text).alias("_s")).select(key, F.size("_s").alias("_n1"), F.explode("_s").alias("_g"))
+    met = sized_join(left, index, ["_g"], "inner", F.xxhash64(key), postings <= BROADCAST_ROWS).select(key, "_n1", F.explode("_refs").alias("_x"))
+    shared = met.groupBy(key, F.col("_x._r").alias(ref_key), "_n1", F.col("_x._n2").alias("_n2")).agg(F.count(F.lit(1)).alias("shared"))
+    scored = shared.withColumn("jaccard", F.col("shared") / (F.col("_n1") + F.col("_n2") - F.col("shared"))).withColumn("contained", F.col("shared") / F.col("_n2")).where(F.col("jaccard") >= least)
     best = scored.groupBy(key).agg(F.min_by(F.struct(ref_key, "shared", "jaccard", "contained"), F.struct(-F.col("jaccard"), F.col(ref_key))).alias("b"))
     return best.select(key, "b.*")
 
 
+def gate(texts: DataFrame, references: DataFrame, key: str, ref_key: str, text: str, ref_text: str, limit: float, masked: bool = False) -> DataFrame:
+    """(checked, with_neighbour, closest, over, passed): how similar any text is to any reference, and whether all stay below ``limit``."""
+    found = nearest(texts, references, key, ref_key, text, ref_text, masked=masked)
+    told = found.agg(F.count(F.lit(1)).alias("with_neighbour"), F.coalesce(F.max("jaccard"), F.lit(0.0)).alias("closest"), F.count_if(F.col("jaccard") >= limit).alias("over"))
+    return texts.agg(F.count(F.lit(1)).alias("checked")).join(told).select("checked", "with_neighbour", "closest", "over", (F.col("over") == 0).alias("passed"))
+
+
 def similar_pairs(sets: DataFrame, key: str, least: float = SIMILAR) -> DataFrame:
     """(a, b) with a < b of all pairs of ``sets`` (key, s ARRAY<BIGINT>) whose Jaccard similarity reaches ``least``."""
     grams = sets.where(F.size("s") > 0).select(key, F.size("s").alias("n"), F.explode("s").alias("g"))
@@ -55,10 +68,12 @@ def similar_pairs(sets: DataFrame, key: str, least: float = SIMILAR) -> DataFram
     ranked = salted_join(grams, frequency, ["g"], "left", F.xxhash64(key), hot=hot).withColumn("df", F.coalesce("df", F.lit(1)))
     order = Window.partitionBy(key).orderBy("df", "g")
     prefix = ranked.withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).where("df > 1")
+    prefix = cut(prefix)
     a = prefix.select(F.col(key).alias("a"), F.col("n").alias("na"), "g")
     b = prefix.select(F.col(key).alias("b"), F.col("n").alias("nb"), "g")
     close = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * least - 1e-9)
-    met = a.join(b, "g").where(close).select("a", "b").distinct()
+    # A shingle that many prefixes share is split over salts on one side and repeated on the other.
+    met = salted_join(a, b, ["g"], "inner", F.xxhash64("a")).where(close).select("a", "b").distinct()
     whole = sets.select(F.col(key).alias("a"), F.col("s").alias("sa"))
     other = sets.select(F.col(key).alias("b"), F.col("s").alias("sb"))
     return met.join(whole, "a").join(other, "b").where(jaccard(F.col("sa"), F.col("sb")) >= least - 1e-9).select("a", "b")
@@ -88,17 +103,49 @@ def near_duplicate_classes(texts: DataFrame, key: str = "doc_id", text: str = "t
     return salted_join(sets.select(key, "same"), told, ["same"], "inner", F.xxhash64(key)).select(key, "class_id", "links")
 
 
+def take_fitting(items: DataFrame, budget: DataFrame, part: str, key: str, size: str, order: Column) -> DataFrame:
+    """(key, part, size) of the items that one takes going through ``order`` in each part, skipping those that no longer fit.
+
+    ``budget`` has part and left. Each round takes the items before the first that overshoots, all parts at once, and drops those
+    that are larger than what is left; what remains comes behind that item, so a next round goes on there.
+    """
+    open_ = items.select(key, part, size, order.alias("_o")).join(budget.select(part, F.col("left").alias("_left")), part)
+    taken: DataFrame | None = None
+    while True:
+        open_ = cut(open_.where(F.col(size) <= F.col("_left")))
+        if open_.isEmpty():
+            return open_.select(key, part, size) if taken is None else taken
+        run = cut(global_running_sum(open_, [F.col("_o"), F.col(key)], size, "_sum", [part]))
+        got = run.where(F.col("_sum") <= F.col("_left")).select(key, part, size)
+        taken = got if taken is None else taken.unionByName(got)
+        used = got.groupBy(part).agg(F.sum(size).alias("_used"))
+        open_ = run.where(F.col("_sum") > F.col("_left")).drop("_sum").join(used, part, "left").withColumn("_left", F.col("_left") - F.coalesce("_used", F.lit(0))).drop("_used")
+
+
 def holdout(classes: DataFrame, strata: DataFrame, key: str = "doc_id", stratum: str = "component", per_mille: int = 100, seed: str = "holdout") -> DataFrame:
-    """(key, stratum, held): whole classes in hash order go to the holdout while their stratum's quota lasts.
+    """(key, stratum, held): whole classes go to the holdout in hash order while they fit their stratum's quota.
 
-    A class belongs to the stratum of its smallest member; the quota is that share of the stratum's rows, rounded half up.
+    A class belongs to the stratum of its smallest member. The holdout has that share of all rows, rounded half up; quotas are
+    proportional, their rounding made up by largest remainder. A class that overshoots is skipped, later ones that fit
+    are taken; what the strata leave unused is filled with the smallest classes left over, of any stratum.
     """
-    rows = classes.join(strata.select(key, F.coalesce(F.col(stratum), F.lit("")).alias(stratum)), key)
-    sized = rows.groupBy("class_id").agg(F.count(F.lit(1)).alias("n"), F.min_by(stratum, key).alias(stratum))
-    whole = Window.partitionBy(stratum)
-    order = whole.orderBy(F.sha2(F.concat_ws("|", F.lit(seed), F.col("class_id").cast("string")), 256)).rowsBetween(Window.unboundedPreceding, 0)
-    marked = sized.withColumn("held", F.sum("n").over(order) <= F.floor(F.sum("n").over(whole) * per_mille / 1000.0 + 0.5))
-    return rows.select(key, "class_id").join(marked.select("class_id", stratum, "held"), "class_id").select(key, stratum, "held")
+    rows = cut(classes.join(strata.select(key, F.coalesce(F.col(stratum), F.lit("")).alias(stratum)), key))
+    sized = cut(rows.groupBy("class_id").agg(F.count(F.lit(1)).alias("n"), F.min_by(stratum, key).alias(stratum)))
+    whole = sized.groupBy(stratum).agg(F.sum("n").alias("_n"))  # one row for each label
+    total = sized.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    wanted = int(total * per_mille / 1000 + 0.5)
+    exact = F.col("_n") * F.lit(wanted) / F.lit(max(1, total))
+    spare = F.lit(wanted) - F.sum(F.floor(exact)).over(Window.partitionBy())
+    by_rest = F.row_number().over(Window.orderBy((exact - F.floor(exact)).desc(), stratum))
+    quotas = whole.select(stratum, (F.floor(exact) + (by_rest <= spare).cast("int")).alias("left"))
+    order = F.sha2(F.concat_ws("|", F.lit(seed), F.col("class_id").cast("string")), 256)
+    taken = cut(take_fitting(sized, quotas, stratum, "class_id", "n", order))
+    left = wanted - (taken.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    rest = sized.join(taken.select("class_id"), "class_id", "left_anti").withColumn("_all", F.lit(1))
+    filled = take_fitting(rest, rest.sparkSession.createDataFrame([(1, left)], "_all int, left bigint"), "_all", "class_id", "n", F.col("n"))
+    held = taken.select("class_id").unionByName(filled.select("class_id")).withColumn("held", F.lit(True))
+    marked = sized.join(held, "class_id", "left").select("class_id", stratum, F.coalesce("held", F.lit(False)).alias("held"))
+    return salted_join(rows.select(key, "class_id"), marked, ["class_id"], "inner", F.xxhash64(key)).select(key, stratum, "held")
 
 
 def edit_similarity(a: Column, b: Column) -> Column:

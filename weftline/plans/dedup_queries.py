@@ -9,7 +9,8 @@ from weftline.functions.text import content_id, folded
 from weftline.operators import identity as I
 from weftline.operators import similarity as S
 from weftline.plans.tables import on
-from weftline.plans.text_queries import _norm
+from weftline.plans.text_queries import _WORDS, _norm
+from weftline.session import cut
 
 
 @on("source_examples")
@@ -75,6 +76,22 @@ def safe_holdout(d: DataFrame) -> DataFrame:
     return S.holdout(S.near_duplicate_classes(d), d)
 
 
+@on("documents")
+def holdout_gate(d: DataFrame) -> DataFrame:
+    """How close the holdout comes to the pool: no text of it may be a near-duplicate of one left in."""
+    held = cut(S.holdout(S.near_duplicate_classes(d), d))
+    part = lambda h: d.join(held.where(h).select("doc_id"), "doc_id", "left_semi")
+    pool = part(~F.col("held")).select(F.col("doc_id").alias("other"), F.col("text").alias("other_text"))
+    return S.gate(part(F.col("held")), pool, "doc_id", "other", "text", "other_text", S.SIMILAR).withColumn("closest", F.round("closest", 6))
+
+
+@on("suite_tests")
+def suite_gate(t: DataFrame) -> DataFrame:
+    """Tests of one component against all others, names masked: none may reach 0.3."""
+    other = t.where("test_component <> 'REFORMAT'").select(F.col("item_id").alias("other"), F.col("prompt").alias("other_text"))
+    return S.gate(t.where("test_component = 'REFORMAT'"), other, "item_id", "other", "prompt", "other_text", 0.3, masked=True).withColumn("closest", F.round("closest", 6))
+
+
 @on("forged")
 def edit_ratio(f: DataFrame) -> DataFrame:
     """Pairs of similar length whose sides differ by few edits."""
@@ -94,7 +111,7 @@ def tuple_digests(e: DataFrame) -> DataFrame:
     return e.select("exec_id", I.digest(F.col("exec_level"), F.col("run_id"), F.col("run_status")).alias("digest")).distinct()
 
 
-QUERIES = {f.__name__: f for f in (first_seen, last_write, pair_digests, equal_sides, code_cache, lost_variants, nearest_test, clean_pool, near_duplicates, safe_holdout, edit_ratio, multiset_rows, tuple_digests)}
+QUERIES = {f.__name__: f for f in (first_seen, last_write, pair_digests, equal_sides, code_cache, lost_variants, nearest_test, clean_pool, near_duplicates, safe_holdout, holdout_gate, suite_gate, edit_ratio, multiset_rows, tuple_digests)}
 
 _PID = f"substr(sha256({_norm('prompt')}), 1, 16)"
 
@@ -120,6 +137,17 @@ _CLASSES = rf"""
     r(u, v) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.u, e.v FROM r JOIN e ON r.v = e.u),
     c AS (SELECT r.u AS doc_id, min(r.v) AS class_id FROM r GROUP BY r.u)"""
 
+_HOLDOUT = f"""WITH RECURSIVE {_CLASSES},
+    z AS MATERIALIZED (SELECT class_id, count(*) AS n, arg_min(coalesce(component, ''), doc_id) AS component FROM c JOIN documents USING (doc_id) GROUP BY class_id),
+    t AS (SELECT sum(n) AS total, CAST(floor(sum(n) * 100 / 1000 + 0.5) AS BIGINT) AS wanted FROM z),
+    q0 AS (SELECT component, sum(n) * any_value(wanted) / any_value(total) AS exact FROM z CROSS JOIN t GROUP BY component),
+    q AS (SELECT component, floor(exact) + CASE WHEN row_number() OVER (ORDER BY exact - floor(exact) DESC, component) <= (SELECT wanted FROM t) - sum(floor(exact)) OVER () THEN 1 ELSE 0 END AS quota FROM q0),
+    o AS MATERIALIZED (SELECT z.*, quota, row_number() OVER (PARTITION BY component ORDER BY sha256('holdout|' || class_id), class_id) AS rn FROM z JOIN q USING (component)),
+    gr AS (SELECT component, class_id, n, rn, n <= quota AS held, CASE WHEN n <= quota THEN n ELSE 0 END AS got FROM o WHERE rn = 1
+           UNION ALL SELECT o.component, o.class_id, o.n, o.rn, gr.got + o.n <= quota, gr.got + CASE WHEN gr.got + o.n <= quota THEN o.n ELSE 0 END FROM gr JOIN o ON o.component = gr.component AND o.rn = gr.rn + 1),
+    f AS (SELECT class_id, sum(n) OVER (ORDER BY n, class_id ROWS UNBOUNDED PRECEDING) <= (SELECT wanted FROM t) - (SELECT coalesce(sum(n), 0) FROM gr WHERE held) AS held FROM gr WHERE NOT held),
+    h AS MATERIALIZED (SELECT doc_id, gr.component, gr.held OR coalesce(f.held, false) AS held FROM c JOIN gr USING (class_id) LEFT JOIN f USING (class_id))"""
+
 # edit_ratio has none: the oracle's edit distance counts bytes, not characters. It is tested against brute force.
 ORACLES = {
     "first_seen": f"SELECT pid, rec_id FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY source_file NULLS FIRST, source_index, rec_id) AS rn FROM (SELECT *, {_PID} AS pid FROM source_examples)) WHERE rn = 1",
@@ -133,10 +161,17 @@ ORACLES = {
     + _nearest(_grams("f", "rec_id", "prompt"), "rec_id")
     + " SELECT rec_id, pid FROM f WHERE rec_id NOT IN (SELECT rec_id FROM j WHERE jaccard >= 0.3)",
     "near_duplicates": f"WITH RECURSIVE {_CLASSES} SELECT doc_id, class_id, (SELECT count(*) FROM e WHERE e.u = c.doc_id) AS links FROM c",
-    "safe_holdout": f"""WITH RECURSIVE {_CLASSES},
-        z AS (SELECT class_id, count(*) AS n, arg_min(coalesce(component, ''), doc_id) AS component FROM c JOIN documents USING (doc_id) GROUP BY class_id),
-        q AS (SELECT *, sum(n) OVER (PARTITION BY component ORDER BY sha256('holdout|' || class_id) ROWS UNBOUNDED PRECEDING) <= floor(sum(n) OVER (PARTITION BY component) * 100 / 1000 + 0.5) AS held FROM z)
-        SELECT doc_id, component, held FROM c JOIN q USING (class_id)""",
+    "safe_holdout": _HOLDOUT + " SELECT doc_id, component, held FROM h",
+    "holdout_gate": _HOLDOUT + f""", a AS (SELECT doc_id, s, len(s) AS n FROM g), tr AS (SELECT a.* FROM a JOIN h USING (doc_id) WHERE held), po AS (SELECT a.* FROM a JOIN h USING (doc_id) WHERE NOT held),
+        mm AS (SELECT x.doc_id, y.doc_id AS other, x.n AS n1, y.n AS n2, count(*) AS shared FROM (SELECT doc_id, n, unnest(s) AS k FROM tr) x JOIN (SELECT doc_id, n, unnest(s) AS k FROM po) y USING (k) GROUP BY ALL),
+        jj AS (SELECT doc_id, max(shared / (n1 + n2 - shared)) AS j FROM mm GROUP BY doc_id)
+        SELECT (SELECT count(*) FROM h WHERE held) AS checked, count(*) AS with_neighbour, round(coalesce(max(j), 0), 6) AS closest, count(*) FILTER (j >= 0.8) AS over, count(*) FILTER (j >= 0.8) = 0 AS passed FROM jj""",
+    "suite_gate": f"""WITH a AS (SELECT item_id, test_component, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) ELSE [] END) AS s
+                    FROM (SELECT item_id, test_component, list_transform({_WORDS.format('prompt')}, lambda w: CASE WHEN contains(w, '_') THEN 'F' ELSE w END) AS w FROM suite_tests)),
+        e AS (SELECT item_id, test_component, len(s) AS n, unnest(s) AS k FROM a),
+        m AS (SELECT x.item_id, y.item_id AS other, x.n AS n1, y.n AS n2, count(*) AS shared FROM e x JOIN e y ON x.k = y.k AND x.test_component = 'REFORMAT' AND y.test_component <> 'REFORMAT' GROUP BY ALL),
+        j AS (SELECT item_id, max(shared / (n1 + n2 - shared)) AS j FROM m GROUP BY 1)
+        SELECT (SELECT count(*) FROM a WHERE test_component = 'REFORMAT') AS checked, count(*) AS with_neighbour, round(coalesce(max(j), 0), 6) AS closest, count(*) FILTER (j >= 0.3) AS over, count(*) FILTER (j >= 0.3) = 0 AS passed FROM j""",
     "multiset_rows": """SELECT example_id, CASE WHEN n > 0 THEN 'left' ELSE 'right' END AS side, CAST(abs(n) AS BIGINT) AS surplus
         FROM (SELECT example_id, sum(n) AS n FROM (SELECT example_id, 1 AS n FROM setup_bundles UNION ALL SELECT example_id, -1 FROM exec_results) GROUP BY example_id) WHERE n <> 0""",
     "tuple_digests": """WITH m AS (SELECT exec_id, 'V' || exec_level AS a, CASE WHEN run_id IS NULL THEN 'N' ELSE 'V' || run_id END AS b, 'V' || run_status AS c FROM exec_results)

@@ -241,6 +241,10 @@ ORACLES = {
     "lookup_chain": "SELECT c_custkey, n_name, upper(r_name) AS region FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN region ON r_regionkey = n_regionkey",
     "type_versions": f"WITH {_ISLANDS}, v AS (SELECT user_id, island, event_type, arg_min(event_id, (ts, event_id)) AS valid_from, min((ts, event_id)) AS o FROM i GROUP BY 1, 2, 3) SELECT user_id, event_type, valid_from, lead(valid_from) OVER (PARTITION BY user_id ORDER BY island) AS valid_to, CAST(row_number() OVER (PARTITION BY user_id ORDER BY island) AS INT) AS version FROM v",
     "close_and_open": "WITH d AS (SELECT *, lag(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS was FROM orders), x AS (SELECT * FROM d WHERE was IS DISTINCT FROM o_orderstatus) SELECT o_orderkey, 'CLOSE' AS op, was AS status FROM x WHERE was IS NOT NULL UNION ALL SELECT o_orderkey, 'OPEN', o_orderstatus FROM x",
+    "clipped_levels": """WITH RECURSIVE x AS MATERIALIZED (SELECT user_id, event_id, CASE WHEN event_type = 'purchase' THEN -round(value) ELSE round(value) END AS d, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events),
+        t AS (SELECT user_id, event_id, rn, least(greatest(coalesce(d, 0), 0), 100) AS level, greatest(coalesce(d, 0) - 100, 0) AS spill FROM x WHERE rn = 1
+              UNION ALL SELECT x.user_id, x.event_id, x.rn, least(greatest(t.level + coalesce(x.d, 0), 0), 100), greatest(t.level + coalesce(x.d, 0) - 100, 0) FROM t JOIN x ON x.user_id = t.user_id AND x.rn = t.rn + 1)
+        SELECT user_id, event_id, level, spill FROM t""",
     "generated_discounts": "SELECT id, CASE WHEN id % 2 = 0 THEN id % 10 ELSE -(id % 7) END AS discount FROM (SELECT unnest(range(1000)) AS id)",
     "numbered_output": "SELECT o_orderkey, CAST(100 + 10 * (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1) AS INT) AS seq FROM orders WHERE o_orderstatus = 'F'",
     "json_entries": "WITH k AS (SELECT event_id, props, list_sort(json_keys(props)) AS ks FROM events), u AS (SELECT event_id, props, unnest(ks) AS key, generate_subscripts(ks, 1) AS i FROM k) SELECT event_id, key, CAST(i AS INT) AS ordinal, json_extract_string(props, '$.\"' || key || '\"') AS value FROM u WHERE coalesce(json_extract_string(props, '$.\"' || key || '\"'), '') <> ''",
