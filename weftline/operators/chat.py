@@ -39,6 +39,12 @@ def single_exchange(messages: Column) -> Column:
     return F.struct(F.try_element_at(of_role(messages, "system"), F.lit(-1)).content.alias("system"), F.get(users, 0).content.alias("user"), F.get(answers, 0).content.alias("assistant"), skip.alias("skip"))
 
 
+def user_texts(df: DataFrame, messages: str = "messages", key: str = "id") -> DataFrame:
+    """(id, user): the first user turn of each id; records without one give none, of repeated ids the first text by order counts."""
+    d = df.select(key, F.get(F.transform(F.filter(messages, lambda m: m.role == "user"), lambda m: m.content), 0).alias("user")).where("user is not null")
+    return d.groupBy(key).agg(F.min("user").alias("user"))
+
+
 def prompt_key(messages: Column) -> Column:
     """All user turns, stripped, as a groupable key."""
     return F.transform(of_role(messages, "user"), lambda m: _strip(m.content))

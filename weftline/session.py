@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pickle
 import tempfile
+import uuid
 from collections.abc import Callable
 from typing import TypeVar
 
@@ -48,6 +49,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder name below the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and drop its lineage; survives the loss of executors.
 

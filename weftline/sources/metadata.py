@@ -57,6 +57,40 @@ def to_xml(schema: T.StructType, name: str) -> str:
     return ET.tostring(root, encoding="unicode")
 
 
+#: A port's record in a prompt: its number, its direction and the record's element.
+PORT = r"Port (\d+) (reads|writes):\s*(<Record[\s\S]*?</Record>)"
+#: Types of text records for values as they are found. Fixed values.
+_TEXT = {"int": "integer", "bigint": "long", "double": "number", "boolean": "boolean", "timestamp": "date", "string": "string"}
+
+
+def port_records(text: Column) -> Column:
+    """array(struct(port, role, record, fields)) of the records that a text describes, in order; fields are the names of its fields."""
+    t = F.coalesce(text, F.lit(""))
+    zipped = F.arrays_zip(*[F.regexp_extract_all(t, F.lit(PORT), i).alias(n) for i, n in ((1, "port"), (2, "role"), (3, "xml"))])
+    name = lambda xml: F.regexp_extract(xml, '<Record[^>]*name="([^"]*)"', 1)
+    fields = lambda xml: F.regexp_extract_all(xml, F.lit('<Field[^>]*name="([^"]*)"'), 1)
+    return F.transform(zipped, lambda z: F.struct(z.port.cast("int").alias("port"), z.role.alias("role"), name(z.xml).alias("record"), fields(z.xml).alias("fields")))
+
+
+def described(df: DataFrame, name: str) -> str:
+    """The Record element that describes a table's columns."""
+    root = ET.Element("Record", name=name, type="delimited")
+    for column, kind in df.dtypes:
+        ET.SubElement(root, "Field", name=column, type=_TEXT.get(kind, "string"))
+    return ET.tostring(root, encoding="unicode")
+
+
+def filled(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """Text columns for a record: absent ones null, whole numbers in date fields read as milliseconds since 1970 in UTC."""
+    out = []
+    for f in schema.fields:
+        c = F.col(f.name).cast("string") if f.name in df.columns else F.lit(None).cast("string")
+        if isinstance(f.dataType, T.TimestampType):
+            c = F.when(c.rlike(r"^-?\d{9,16}\z"), F.date_format(F.timestamp_millis(c.try_cast("bigint")), "yyyy-MM-dd HH:mm:ss.SSS")).otherwise(c)
+        out.append(c.alias(f.name))
+    return df.select(*out)
+
+
 def cast_cell(cell: Column, field: T.StructField, pattern: str = "yyyy-MM-dd HH:mm:ss.SSS") -> Column:
     """A text cell in its field's type; text that does not parse gives null (see ``typed`` for rejects)."""
     if isinstance(field.dataType, T.TimestampType):
@@ -79,6 +113,6 @@ def encode_cells(df: DataFrame, null: str = "__NULL__", pattern: str = "yyyy-MM-
     """Every column as text: nulls as a mark, times in a fixed pattern, decimals at their scale."""
     out = []
     for name, kind in df.dtypes:
-        c = F.date_format(name, pattern) if kind == "timestamp" else F.col(name).cast("string")
+        c = F.date_format(name, pattern) if kind.startswith("timestamp") else F.col(name).cast("string")
         out.append(F.coalesce(c, F.lit(null)).alias(name))
     return df.select(*out)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import glob
 import json
 import os
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -17,15 +17,23 @@ from weftline.operators.identity import keep_first
 _CORRUPT = "_corrupt_record"
 
 
-def list_inputs(patterns: Iterable[str], recursive: bool = False) -> list[str]:
-    """Local paths of glob patterns in order, each file once however it is named; patterns without a file raise."""
+def list_inputs(patterns: Iterable[str], recursive: bool = False, spark: SparkSession | None = None) -> list[str]:
+    """Paths of glob patterns in order, each file once however it is named; patterns without a file raise.
+
+    With a session the patterns may be on any file system it knows, else they are local.
+    """
     out: dict[str, None] = {}
     for pattern in patterns:
-        found = sorted(glob.glob(pattern, recursive=recursive))
+        if spark is None:
+            found = [os.path.realpath(p) for p in sorted(glob.glob(pattern, recursive=recursive))]
+        else:
+            path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+            system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+            found = sorted(system.makeQualified(f.getPath()).toString() for f in system.globStatus(path) or [])
         if not found:
             raise FileNotFoundError(pattern)
         for path in found:
-            out.setdefault(os.path.realpath(path))
+            out.setdefault(path)
     return list(out)
 
 
@@ -74,10 +82,72 @@ def is_training_set(df: DataFrame) -> bool:
     return any(isinstance(f.dataType, T.ArrayType) and f.name in ("messages", "conversations", "conversation") for f in df.schema.fields)
 
 
-def read_delimited(spark: SparkSession, path: str, schema: T.StructType, sep: str = "|", null: str = "__NULL__", header: bool = True, policy: str = "controlled", skip: int = 0, most: int | None = None) -> tuple[DataFrame, DataFrame]:
+def training_sets(spark: SparkSession, paths: Iterable[str]) -> list[str]:
+    """Those of the JSON files that hold conversations; only schemas are looked at."""
+    return [p for p in paths if is_training_set(read_records(spark, p)[0])]
+
+
+def read_prompts(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
+    """A prompt set of JSON lines, all of it or the rows of one split."""
+    rows = read_records(spark, path)[0]
+    return rows if split is None else rows.where(F.col("split") == split)
+
+
+def read_sqlite(spark: SparkSession, path: str, table: str, schema: str, parts: int = 8) -> DataFrame:
+    """A table of an SQLite file that all executors can open, by ranges of row ids in parallel; read only, nothing is locked."""
+    names = [f.name for f in T.StructType.fromDDL(schema).fields]
+    wanted = ", ".join(f'"{n}"' for n in names)
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import sqlite3
+
+        with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
+            low, high = db.execute(f'SELECT coalesce(min(rowid), 0), coalesce(max(rowid), -1) FROM "{table}"').fetchone()
+            step = max(1, -(-(high - low + 1) // parts))
+            for batch in batches:
+                for part in batch["id"]:
+                    cursor = db.execute(f'SELECT {wanted} FROM "{table}" WHERE rowid >= ? AND rowid < ?', (low + part * step, low + (part + 1) * step))
+                    while rows := cursor.fetchmany(10_000):
+                        yield pd.DataFrame(rows, columns=names)
+
+    return spark.range(0, parts, 1, parts).mapInPandas(read, schema)
+
+
+def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The entries of a run log, a YAML list of maps; it is small by nature and read on the driver. An absent or empty log has none."""
+    try:
+        import yaml
+    except ImportError as e:
+        raise RuntimeError("run logs in YAML need the yaml package") from e
+    text = "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect()) if _exists(spark, path) else ""
+    names = [f.name for f in T.StructType.fromDDL(schema).fields]
+    return spark.createDataFrame([tuple(e.get(n) for n in names) for e in yaml.safe_load(text) or []], schema)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def log_history(spark: SparkSession, path: str, entry: str) -> DataFrame:
+    """(place, fields of ``entry``) of the log history in a trainer's state file."""
+    state = spark.read.schema(f"log_history array<struct<{entry}>>").option("multiLine", "true").json(path)
+    return state.select(F.posexplode("log_history").alias("place", "e")).select("place", "e.*")
+
+
+def read_revision(spark: SparkSession, repository: str, revision: str, path: str) -> DataFrame:
+    """(line, value) of a text file as it was at a revision of a version-controlled folder on the driver."""
+    import subprocess
+
+    text = subprocess.run(["git", "-C", repository, "show", f"{revision}:{path}"], check=True, capture_output=True).stdout.decode("utf-8", "replace")
+    return spark.createDataFrame(list(enumerate(text.splitlines(), 1)), "line int, value string")
+
+
+def read_delimited(spark: SparkSession, path: str, schema: T.StructType, sep: str = "|", null: str = "__NULL__", header: bool = True, policy: str = "controlled", skip: int = 0, most: int | None = None, most_errors: int | None = None, after: tuple[str, object] | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows, rejects) of quoted text. Policies: strict raises at a bad cell, controlled puts the row among the rejects, lenient makes it null.
 
-    Empty text stays empty, only the mark is null; ``skip`` and ``most`` cut the good rows in file order.
+    Empty text stays empty, only the mark is null; ``skip`` and ``most`` cut the good rows in file order. More than ``most_errors``
+    bad rows raise; ``after``, a column and a value, reads on from where an earlier reading ended.
     """
     from weftline.sources.metadata import typed
 
@@ -91,6 +161,9 @@ def read_delimited(spark: SparkSession, path: str, schema: T.StructType, sep: st
         good = rows.where(F.when(bad, F.raise_error(F.concat(F.lit("bad cells: "), F.array_join("_bad", ",")))).otherwise(F.lit(True))).drop("_bad")
     else:
         good = (rows.where(~bad) if policy == "controlled" else rows).drop("_bad")
+    if most_errors is not None and (errors := rows.where(bad).count()) > most_errors:
+        raise ValueError(f"{path}: {errors} bad rows, at most {most_errors} allowed")
+    good = good.where(F.col(after[0]) > F.lit(after[1])) if after else good
     good = good.offset(skip) if skip else good
     rejects = rows.where(bad) if policy == "controlled" else rows.where("false")
     return (good if most is None else good.limit(most)), rejects

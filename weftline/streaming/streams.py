@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.operators.identity import upsert
-from weftline.session import ensure_checkpoint_dir
+from weftline.session import scratch
 
 
 def file_stream(spark: SparkSession, path: str, like: DataFrame, files: int = 16) -> DataFrame:
@@ -56,10 +56,8 @@ def upsert_into(stream: DataFrame, path: str, keys: Sequence[str], order: str, c
 
 def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Runs a stream over what is available now into a folder of the shared checkpoint directory and reads that."""
-    import uuid
-
     spark = stream.sparkSession
-    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    folder = scratch(spark, name)
     query = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
