@@ -75,6 +75,16 @@ def widen(df: DataFrame) -> DataFrame:
     return df.repartition(wanted) if df._jdf.queryExecution().toRdd().getNumPartitions() < wanted else df
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` hashed over as many partitions as shuffles have, or cores if these are more; adaptive execution does not merge them.
+
+    For rows that are few in bytes but costly in Python.
+    """
+    spark = df.sparkSession
+    number = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(number, *keys)
+
+
 T = TypeVar("T")
 
 
