@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from helpers import rows, table
 
@@ -97,5 +98,19 @@ def test_garbled_parts_of_a_sentence_are_found(spark):
     assert fixed == {3000: head + tail, 3001: head + tail, 3002: LINES[3][:-1] + ", " + tail}
 
 
-def test_surroundings_hold_overlapping_contexts():
-    assert E._surroundings("xéaéyz") != E._surroundings("xéaévw") and E._surroundings("é 12 abc") == E._surroundings("é 34 xyz")
+def test_cores():
+    assert E.core("xéaéyz") != E.core("xéaévw") and E.core("é 12 abc") == E.core("é 34 xyz".replace("xyz", "abc"))
+    assert E.core("The Größe of a Prüfung über all") == "e Größe o \n a Prüfung über a"
+    model = E.Trigrams(np.ones(sum(E.SIZES)), 0)
+    for text in ("The Größe of a Prüfung über all", "é", "a é b è c", "été", "x  é  y", "Er läuft."):
+        assert abs(model.loglik(text) - model.loglik(E.core(text))) < 1e-9
+    texts = ["été", "", "plain", "Größe über", "é"]
+    assert np.allclose(model.logliks(texts), [model.loglik(t) for t in texts])
+
+
+def test_repair_keeps_a_quoted_twin(spark):
+    bad = _garble("ü", ("utf-8", "cp1252"))
+    text = f'The file once showed "{bad}" here.\n' + _garble(LINES[0], ("utf-8", "cp1252")) + "\n" + _garble("Das Wort über steht da.", ("utf-8", "cp1252"))
+    docs = [*_corpus(), (4000, "s1", text)]
+    fixed = E.repair_documents(spark.createDataFrame(docs, "doc_id bigint, source string, text string")).collect()
+    assert [(r.doc_id, r.repaired_text) for r in fixed] == [(4000, f'The file once showed "{bad}" here.\n{LINES[0]}\nDas Wort über steht da.')]

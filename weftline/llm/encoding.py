@@ -7,6 +7,9 @@ by the share each has in the segment's source and field; the M-step re-estimates
 all sources, and the trigram counts, in which garbled segments count with their repaired text. Evidence too weak in one record
 so gains from other records of its source. The first counts leave out what UTF-8 can have given and
 damp copies, so that those of a garbled text do not pass for language; each round looks at all segments anew.
+
+A verdict depends only on a segment's words beyond ASCII with two characters on either side, its core. Segments are grouped by
+core, so each different core is judged once a round, and weighted by the numbers of its segments in each source.
 """
 
 from __future__ import annotations
@@ -21,8 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import array_sums
-from weftline.operators.scale import salted_join
-from weftline.session import cut, share, widen
+from weftline.operators.scale import salted_join, sized_join
+from weftline.session import cut, share, spread, widen
 
 #: Encodings that texts were written in and encodings that they were wrongly read with. Fixed values.
 WRITTEN = ("utf-8", "cp1252", "cp1250", "iso8859-2", "cp1251", "koi8-r", "cp866", "mac_roman", "cp850", "cp852", "cp437")
@@ -45,9 +48,9 @@ KEEP = 25.0
 #: What a run of words must gain, in logarithms, to be undone without the rest of its segment.
 PART = 6.0
 _SPLIT = re.compile(r"\n+|(?<=[.!?]) +")
+_SPLIT_KEPT = re.compile(r"(\n+|(?<=[.!?]) +)")
 _BEYOND = re.compile(r"[^\x00-\x7f]")
 _LONE = re.compile(r"(?<![^\x00-\x7f])[^\x00-\x7f](?![^\x00-\x7f])")
-_NEAR = re.compile(r"[^ ]*[^\x00-\x7f][^ ]*")
 _RUNS = re.compile(r"[^\x00-\x7f]+")
 _WORDS = re.compile(r"\w+")
 _DIGITS = re.compile("[0-9]")
@@ -168,36 +171,57 @@ class Trigrams:
         return bool((self.parts[4][(_fold((np.fromiter(map(ord, chars), np.uint64, len(chars)),)) % np.uint64(SIZES[4])).astype(np.int64)] >= 1).all())
 
     @staticmethod
-    def slots(text: str) -> tuple[np.ndarray, ...]:
-        codes = np.frombuffer(("\n\n" + text + "\n\n").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    def slots(texts: list[str]) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
+        """The slots of all places of several texts, and the number of the text that each place belongs to."""
+        codes = np.frombuffer(("\n\n" + "\n\n".join(texts) + "\n\n").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
         codes = np.where((codes >= 48) & (codes <= 57), 48, codes).astype(np.uint64)
-        a, b, c = codes[:-2], codes[1:-1], codes[2:]
-        use = (a > 127) | (b > 127) | (c > 127)
-        a, b, c = a[use], b[use], c[use]
-        mix = lambda *xs: _fold(xs)
-        return tuple((h % np.uint64(n)).astype(np.int64) for h, n in zip((mix(a, b, c), mix(a, b), mix(b, c), mix(b), mix(c)), SIZES))
-
-    def loglik(self, text: str) -> float:
-        t3, c3, t2, c2, t1 = (part[slot] for part, slot in zip(self.parts, self.slots(text)))
+        beyond = codes > 127
+        at = np.flatnonzero(beyond[:-2] | beyond[1:-1] | beyond[2:])
+        starts = np.concatenate([[0], np.cumsum([len(t) + 2 for t in texts])[:-1]])
+        owner = np.searchsorted(starts, at, "right") - 1
+        a, b, c = codes[at], codes[at + 1], codes[at + 2]
+        ab = _fold((a, b))
+        return tuple((h % np.uint64(n)).astype(np.int64) for h, n in zip((_fold_on(ab, c), ab, _fold((b, c)), _fold((b,)), _fold((c,))), SIZES)), owner
+
+    def logliks(self, texts: list[str]) -> np.ndarray:
+        slots, owner = self.slots(texts)
+        t3, c3, t2, c2, t1 = (part[slot] for part, slot in zip(self.parts, slots))
         p1 = (t1 + 0.05) / (self.places + 0.05 * 65536)
         p2 = (t2 + self.backoff * p1) / (c2 + self.backoff)
-        return float(np.log((t3 + self.backoff * p2) / (c3 + self.backoff)).sum())
+        return np.bincount(owner, np.log((t3 + self.backoff * p2) / (c3 + self.backoff)), len(texts))
+
+    def loglik(self, text: str) -> float:
+        return float(self.logliks([text])[0])
+
+
+def _fold_on(h: np.ndarray, x: np.ndarray) -> np.ndarray:
+    h = (h ^ x) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(31))
 
 
 def _fold(columns: tuple[np.ndarray, ...]) -> np.ndarray:
     h = np.full(len(columns[0]), 0x9E3779B97F4A7C15, np.uint64)
     for x in columns:
-        h = (h ^ x) * np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(31)
+        h = _fold_on(h, x)
     return h
 
 
 _OFFSETS = np.concatenate([[0], np.cumsum(SIZES)[:-1]])
 
 
-def _tally(counts: np.ndarray, text: str, weight: float) -> None:
-    for offset, slot in zip(_OFFSETS, Trigrams.slots(text)):
-        np.add.at(counts, offset + slot, weight)
+def _tally(counts: np.ndarray, texts: list[str], weights: list[float]) -> None:
+    """Adds each text's places with its weight."""
+    for n in range(0, len(texts), 256):
+        slots, owner = Trigrams.slots(texts[n : n + 256])
+        weight = np.asarray(weights[n : n + 256], float)[owner]
+        for offset, slot, size in zip(_OFFSETS, slots, SIZES):
+            counts[offset : offset + size] += np.bincount(slot, weight, size) if len(slot) > size // 8 else _scattered(slot, weight, size)
+
+
+def _scattered(slot: np.ndarray, weight: np.ndarray, size: int) -> np.ndarray:
+    out = np.zeros(size)
+    np.add.at(out, slot, weight)
+    return out
 
 
 def segments(text: str) -> list[str]:
@@ -205,22 +229,36 @@ def segments(text: str) -> list[str]:
     return [s for s in _SPLIT.split(text) if s]
 
 
-def _surroundings(segment: str) -> str:
-    """All that a verdict on the segment depends on: words with characters beyond ASCII and two characters on either side."""
-    text = "\n\n" + _DIGITS.sub("0", segment) + "\n\n"
-    return "|".join(text[max(0, m.start() - 2) : m.end() + 2] for m in _NEAR.finditer(text))
+def core(segment: str) -> str:
+    """All that a verdict on the segment depends on: its words beyond ASCII, neighbouring ones together, with two characters on either side.
+
+    The n-th word beyond ASCII of the core is that of the segment; digits are equal.
+    """
+    text = _DIGITS.sub("0", segment)
+    pieces, at, start, end = [], 0, -1, 0
+    for word in text.split(" "):
+        if not word.isascii():
+            start, end = (at if start < 0 else start), at + len(word)
+        elif start >= 0:
+            pieces.append(text[max(0, start - 2) : end + 2])
+            start = -1
+        at += len(word) + 1
+    if start >= 0:
+        pieces.append(text[max(0, start - 2) : end + 2])
+    return " \n ".join(pieces)
 
 
 def _gains(word: str, model: Trigrams) -> dict[int, tuple[str, float]]:
     """For each chain that can be undone in the word alone: the word it came from and what that gains in log-likelihood."""
     known = model.words.get(word)
     if known is None:
-        known, own = {}, model.loglik(f" {word} ")
+        known = {}
         if not quoted_only(word):
-            for text, chains in candidates(word, model).items():
-                if text != word:
-                    gain = model.loglik(f" {text} ") - own
-                    known.update((c, (text, gain)) for c in chains)
+            found = [(t, chains) for t, chains in candidates(word, model).items() if t != word]
+            if found:
+                own, *logs = model.logliks([f" {word} ", *(f" {t} " for t, _ in found)])
+                for (text, chains), log in zip(found, logs):
+                    known.update((c, (text, float(log - own))) for c in chains)
         if len(model.words) < 200_000:  # a memory, not a limit
             model.words[word] = known
     return known
@@ -232,22 +270,26 @@ def _passing(word: str, chain: int, model: Trigrams) -> tuple[str, float]:
     text = None if more or written == "utf-8" else undo(word, written, read)
     if text is None or not _plausible(text):
         return word, -np.inf
-    return text, 0.0 if text == word else model.loglik(f" {text} ") - model.loglik(f" {word} ")
+    if text == word:
+        return text, 0.0
+    own, log = model.logliks([f" {word} ", f" {text} "])
+    return text, float(log - own)
 
 
-def _in_part(segment: str, model: Trigrams) -> dict[str, list[int]]:
-    """The segment with its best run of words undone, for each chain that gains by some of its words but not by all."""
-    if LOST in segment or quoted_only(segment):
-        return {}
+def _in_part(segment: str, model: Trigrams) -> dict[str, tuple[list[int], list[int]]]:
+    """The segment with its best run of words undone, with the chains that give it and the numbers of these words among
+    those beyond ASCII, for each chain that gains by some of its words but not by all."""
     words = segment.split(" ")
     beyond = [i for i, w in enumerate(words) if not w.isascii()]
-    options = {i: _gains(words[i], model) for i in beyond}
+    if len(beyond) < 2 or LOST in segment or quoted_only(segment):
+        return {}
+    options = {i: dict(_gains(words[i], model)) for i in beyond}
     around, examples = set(_WORDS.findall(segment)), {i for i in beyond if quoted_only(words[i])}
     for i, o in options.items():
         if any(CHAINS[c].startswith("utf-8") and sum(map(str.isalpha, t)) < 3 and around.issuperset(_WORDS.findall(t) or [""]) for c, (t, _) in o.items()):
             options[i] = {}
             examples.add(i)  # "Ã© instead of é" tells of such characters
-    out: dict[str, list[int]] = {}
+    out: dict[str, tuple[list[int], list[int]]] = {}
     for chain in sorted({c for o in options.values() for c, (_, gain) in o.items() if gain > 0}):
         total, run = 0.0, []
         best: tuple[float, list[int]] = (0.0, [])
@@ -262,13 +304,35 @@ def _in_part(segment: str, model: Trigrams) -> dict[str, list[int]]:
                 total, run = 0.0, []
         chosen = {i: options[i][chain][0] for i in best[1]}
         if best[0] > PART and len(chosen) < len(beyond):
-            out.setdefault(" ".join(chosen.get(i, w) for i, w in enumerate(words)), []).append(chain)
+            text = " ".join(chosen.get(i, w) for i, w in enumerate(words))
+            out.setdefault(text, ([], [beyond.index(i) for i in best[1]]))[0].append(chain)
     return out
 
 
-def _posterior(texts: list[str], kinds: list[list[int]], model: Trigrams, shares: np.ndarray) -> np.ndarray:
-    logs = np.array([model.loglik(t) + np.log(shares[c].sum()) for t, c in zip(texts, kinds)])
-    p = np.exp(logs - logs.max())
+def repaired(segment: str, chain: str, numbers: list[int]) -> str | None:
+    """The segment with a chain undone, in all of it or only in its words beyond ASCII of these numbers; None if characters are lost."""
+    if chain in ("none", "lost"):
+        return segment if chain == "none" else None
+    written, read, *more = chain.split(">")
+
+    def back(text: str) -> str:
+        for _ in range(2 if more else 1):
+            text = undo(text, written, read) or text
+        return text
+
+    if not numbers:
+        return back(segment)
+    words, beyond = segment.split(" "), -1
+    for i, word in enumerate(words):
+        if not word.isascii():
+            beyond += 1
+            words[i] = back(word) if beyond in numbers else word
+    return " ".join(words)
+
+
+def _posterior(logs: np.ndarray, kinds: list[list[int]], shares: np.ndarray) -> np.ndarray:
+    at = np.asarray(logs, float) + np.log([shares[k].sum() for k in kinds])
+    p = np.exp(at - at.max())
     return p / p.sum()
 
 
@@ -285,16 +349,32 @@ def _shares(row_chains: list[int] | None, row_masses: list[float] | None, everyw
     return out / out.sum()
 
 
-def _count_corpus(documents: DataFrame) -> np.ndarray:
+def _cores(documents: DataFrame) -> DataFrame:
+    """(doc_id, source, seg, core, h) of all segments beyond ASCII; h tells different segments of one core apart."""
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for doc, source, text in zip(batch["doc_id"], batch["source"], batch["text"]):
+                if not text.isascii():
+                    out += [(doc, source, n, core(s), _DIGITS.sub("0", s)) for n, s in enumerate(segments(text)) if not s.isascii()]
+            yield pd.DataFrame(out, columns=["doc_id", "source", "seg", "core", "text"])
+
+    found = documents.mapInPandas(split, "doc_id bigint, source string, seg bigint, core string, text string")
+    return cut(found.withColumn("h", F.xxhash64("text")).drop("text"))
+
+
+def _counted(cores: DataFrame, column: str, keep=None) -> np.ndarray:
+    """Trigram counts of different cores, each with the weight in ``column``; ``keep`` makes a test for the cores that count."""
+
     def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = np.zeros(sum(SIZES))
+        counts, wanted = np.zeros(sum(SIZES)), keep() if keep else None
         for batch in batches:
-            lines = [t for t in batch["text"] if not t.isascii()]
-            for at in range(0, len(lines), 64):
-                _tally(counts, "\n\n".join(lines[at : at + 64]), 1.0)
+            rows = [(t, w) for t, w in zip(batch["core"], batch["w"]) if wanted is None or wanted(t)]
+            _tally(counts, [t for t, _ in rows], [w for _, w in rows])
         yield array_sums.pieces(counts)
 
-    return array_sums.total(documents.select("text").mapInPandas(tally, array_sums.SCHEMA), "float64", sum(SIZES))
+    return array_sums.total(cores.select("core", F.col(column).cast("double").alias("w")).mapInPandas(tally, array_sums.SCHEMA), "float64", sum(SIZES))
 
 
 def _undoable(segment: str, model: Trigrams, known: dict[str, bool]) -> bool:
@@ -309,128 +389,99 @@ def _undoable(segment: str, model: Trigrams, known: dict[str, bool]) -> bool:
     return False
 
 
-def _count_start(documents: DataFrame, first: np.ndarray) -> np.ndarray:
-    """Counts without segments that may have come from UTF-8, n copies of a segment counting as the root of n; digits are equal."""
-    shared = share(documents.sparkSession, first)
-
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, known = Trigrams(shared(), 0), {}
-        for batch in batches:
-            out: dict[str, int] = {}
-            for text in batch["text"]:
-                for s in segments(text) if not text.isascii() else ():
-                    if not s.isascii() and LOST not in s:
-                        s = _DIGITS.sub("0", s)
-                        out[s] = out.get(s, 0) + 1
-            yield pd.DataFrame([(s, n) for s, n in out.items() if not _undoable(s, model, known)], columns=["text", "n"])
-
-    def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = np.zeros(sum(SIZES))
-        for batch in batches:
-            for n, texts in batch.groupby("n")["text"]:
-                lines = list(texts)
-                for at in range(0, len(lines), 64):
-                    _tally(counts, "\n\n".join(lines[at : at + 64]), float(n) ** 0.5)
-        yield array_sums.pieces(counts)
-
-    copies = documents.select("text").mapInPandas(split, "text string, n bigint").groupBy("text").agg(F.sum("n").alias("n"))
-    return array_sums.total(copies.mapInPandas(tally, array_sums.SCHEMA), "float64", sum(SIZES))
-
-
-def _doubtful(text: str, model: Trigrams) -> tuple[str, list[str], list[list[int]]] | None:
-    """The text with the candidates worth following, or None if no chain comes near the text as it is."""
-    found = candidates(text, model)
-    for t, chains in _in_part(text, model).items():
-        found.setdefault(t, chains)
+def _doubtful(text: str, model: Trigrams) -> tuple[list[str], list[list[int]], list[list[int]], list[float]] | None:
+    """Candidates worth following with their chains, word numbers and log-likelihoods; None if no chain comes near the text as it is."""
+    if quoted_only(text):
+        return None
     if LOST in text:
-        return text, list(found), list(found.values())
+        return [text], [[1]], [[]], [0.0]
+    found = {t: (chains, []) for t, chains in candidates(text, model).items()}
+    for t, told in _in_part(text, model).items():
+        found.setdefault(t, told)
     if len(found) == 1:
         return None
-    logs = {t: model.loglik(t) for t in found}
-    best = max(v for t, v in logs.items() if t != text)
-    if best < logs[text] - MARGIN:
+    texts = list(found)  # the text itself comes first
+    logs = model.logliks(texts)
+    best = logs[1:].max()
+    if best < logs[0] - MARGIN:
         return None
-    kept = [t for t in found if t == text or logs[t] >= best - KEEP]
-    return text, kept, [found[t] for t in kept]
+    kept = [n for n in range(len(texts)) if n == 0 or logs[n] >= best - KEEP]
+    return [texts[n] for n in kept], [found[texts[n]][0] for n in kept], [found[texts[n]][1] for n in kept], [float(logs[n]) for n in kept]
 
 
-def _suspects(documents: DataFrame, counts: np.ndarray, turn: int, corpus: float) -> DataFrame:
-    """(doc_id, source, seg, text, texts, kinds) of doubtful stretches with their candidates and these one's chains.
+_SUSPECT = "core string, texts array<string>, kinds array<array<int>>, numbers array<array<int>>, logs array<double>"
 
-    Rows with a null doc_id count a source's other segments, in seg.
-    """
-    shared = share(documents.sparkSession, counts)
+
+def _suspects(cores: DataFrame, counts: np.ndarray, turn: int, corpus: float) -> DataFrame:
+    """Candidates of the different cores that are in doubt."""
+    shared = share(cores.sparkSession, counts)
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, clean = Trigrams(shared(), turn, corpus), {}
-        columns = ["doc_id", "source", "seg", "text", "texts", "kinds"]
-        clear: set[str] = set()
+        model = Trigrams(shared(), turn, corpus)
         for batch in batches:
-            out = []
-            for doc, source, text in zip(batch["doc_id"], batch["source"], batch["text"]):
-                if text.isascii():
-                    continue
-                for n, segment in enumerate(segments(text)):
-                    if segment.isascii():
-                        continue
-                    key = _surroundings(segment)
-                    verdicts = []
-                    if key not in clear:
-                        if not quoted_only(segment):
-                            verdicts = [v] if (v := _doubtful(segment, model)) else []
-                        if not verdicts and len(clear) < 200_000:  # a memory of clean surroundings, not a limit on what is looked at
-                            clear.add(key)
-                    out += [(doc, source, n, *v) for v in verdicts]
-                    if not verdicts:
-                        clean[source] = clean.get(source, 0) + 1
-            yield pd.DataFrame(out, columns=columns).astype({"doc_id": "Int64"})
-        yield pd.DataFrame([(None, s, n, None, None, None) for s, n in clean.items()], columns=columns).astype({"doc_id": "Int64"})
+            out = [(t, *v) for t in batch["core"] if (v := _doubtful(t, model)) is not None]
+            yield pd.DataFrame(out, columns=["core", "texts", "kinds", "numbers", "logs"])
 
-    found = documents.mapInPandas(look, "doc_id bigint, source string, seg bigint, text string, texts array<string>, kinds array<array<int>>")
-    return cut(found.repartition(F.xxhash64("doc_id", "seg", "source")))
+    return cut(cores.select("core").mapInPandas(look, _SUSPECT))
 
 
-def _with_shares(suspects: DataFrame, masses: DataFrame) -> DataFrame:
-    per_source = masses.groupBy("source").agg(F.collect_list(F.struct("chain", "mass")).alias("m")).select("source", F.col("m.chain").alias("chains"), F.col("m.mass").alias("masses"))
-    return salted_join(suspects, per_source, ["source"], "left", F.xxhash64("doc_id", "seg"))
+def _in_sources(suspects: DataFrame, places: DataFrame, masses: DataFrame | None) -> DataFrame:
+    """Suspects in each source that has them, with the number of segments and what is known of the source's chains."""
+    met = sized_join(places, suspects, ["core"], "inner", F.xxhash64("source"), small=False)
+    if masses is None:
+        return met.withColumns({"chains": F.array().cast("array<int>"), "masses": F.array().cast("array<double>")})
+    told = masses.groupBy("source").agg(F.collect_list(F.struct("chain", "mass")).alias("m")).select("source", F.col("m.chain").alias("chains"), F.col("m.mass").alias("masses"))
+    return salted_join(met, told, ["source"], "left", F.xxhash64("core"))
 
 
-def _round(suspects: DataFrame, masses: DataFrame, everywhere: np.ndarray, counts: np.ndarray, turn: int, corpus: float) -> DataFrame:
+def _round(met: DataFrame, everywhere: np.ndarray) -> DataFrame:
     """Expected chain masses by source (chain >= 0) and pieces of the changes of the trigram counts of one E-step."""
-    shared = share(suspects.sparkSession, (everywhere, counts))
+    shared = share(met.sparkSession, everywhere)
 
     def expect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        overall, current = shared()
-        model, change, sums = Trigrams(current, turn, corpus), np.zeros(sum(SIZES)), {}
+        overall, change, sums, moved = shared(), np.zeros(sum(SIZES)), {}, {}
         for batch in batches:
-            for source, text, texts, kinds, chains, masses in zip(*(batch[c] for c in ("source", "text", "texts", "kinds", "chains", "masses"))):
+            for source, n, texts, kinds, logs, chains, masses in zip(*(batch[c] for c in ("source", "n", "texts", "kinds", "logs", "chains", "masses"))):
                 kinds = [list(k) for k in kinds]
-                p = _posterior(texts, kinds, model, _shares(chains, masses, overall))
-                for t, kind, weight in zip(texts, kinds, p):
+                for t, kind, weight in zip(texts, kinds, _posterior(logs, kinds, _shares(chains, masses, overall))):
                     if weight < 1e-3:
                         continue
-                    sums[(source, kind[0])] = sums.get((source, kind[0]), 0.0) + float(weight)
-                    if t != text:
-                        _tally(change, t, float(weight))
-                        _tally(change, text, -float(weight))
-                    elif kind == [1]:
-                        _tally(change, text, -float(weight))
+                    sums[(source, kind[0])] = sums.get((source, kind[0]), 0.0) + float(weight) * n
+                    if kind == [1] or t != texts[0]:
+                        moved[texts[0]] = moved.get(texts[0], 0.0) - float(weight) * n
+                        if t != texts[0]:
+                            moved[t] = moved.get(t, 0.0) + float(weight) * n
+            if len(moved) > 10_000:
+                _tally(change, list(moved), list(moved.values()))
+                moved = {}
+        _tally(change, list(moved), list(moved.values()))
         told = array_sums.pieces(change)
         rows = [(*k, m, None, None) for k, m in sums.items()] + [(None, -1, 0.0, p, w) for p, w in zip(told["part"], told["w"])]
         yield pd.DataFrame(rows, columns=["source", "chain", "mass", "part", "w"]).astype({"part": "Int32"})
 
-    return cut(_with_shares(suspects, masses).mapInPandas(expect, "source string, chain int, mass double, part int, w binary"))
+    return cut(spread(met, "core", "source").mapInPandas(expect, "source string, chain int, mass double, part int, w binary"))
 
 
-def _learn(documents: DataFrame) -> tuple[DataFrame, DataFrame, np.ndarray, np.ndarray, float]:
-    """Suspects, masses by source and chain, shares over all sources and trigram counts after the last round, places in the corpus."""
-    first = _count_corpus(documents)
+def _learn(found: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """Suspects in each source with the source's chains, and shares over all sources, after the last round."""
+    places = cut(found.groupBy("core", "source").agg(F.count(F.lit(1)).alias("n")))
+    # n copies of a segment count as the root of n at the start.
+    cores = cut(spread(found.groupBy("core", "h").agg(F.count(F.lit(1)).alias("n")).groupBy("core").agg(F.sum("n").alias("n"), F.sum(F.sqrt("n")).alias("w")), "core"))
+    whole = cut(places.groupBy("source").agg(F.sum("n").alias("n")))
+    first = _counted(cores, "n")
     corpus = float(first[_OFFSETS[4] :].sum())
-    counts, everywhere, masses = _count_start(documents, first), _start(), None
+    shared = share(found.sparkSession, first)
+
+    def told_clean():
+        model, known = Trigrams(shared(), 0), {}
+        return lambda text: LOST not in text and not _undoable(text, model, known)
+
+    counts, everywhere, masses = _counted(cores, "w", told_clean), _start(), None
     for turn in range(ROUNDS):
-        suspects, clean = _split(_suspects(documents, counts, turn, corpus))
-        masses = clean.where("false") if masses is None else masses
-        expected = _round(suspects, masses, everywhere, counts, turn, corpus)
+        suspects = _suspects(cores, counts, turn, corpus)
+        expected = _round(_in_sources(suspects, places, masses), everywhere)
+        doubted = places.join(suspects.select("core"), "core", "left_semi").groupBy("source").agg(F.sum("n").alias("_doubted"))
+        clean = whole.join(doubted, "source", "left").select("source", F.lit(0).alias("chain"), (F.col("n") - F.coalesce("_doubted", F.lit(0))).cast("double").alias("mass"))
         masses = cut(expected.where("chain >= 0").select("source", "chain", "mass").unionByName(clean).groupBy("source", "chain").agg(F.sum("mass").alias("mass")))
         totals = dict(masses.groupBy("chain").agg(F.sum("mass")).collect())  # one row for each chain
         everywhere = _start()
@@ -438,13 +489,7 @@ def _learn(documents: DataFrame) -> tuple[DataFrame, DataFrame, np.ndarray, np.n
             everywhere[chain] += mass
         everywhere /= everywhere.sum()
         counts = np.maximum(first + array_sums.total(expected.where("chain < 0").select("part", "w"), "float64", sum(SIZES)), 0.0)
-    return _split(_suspects(documents, counts, ROUNDS, corpus))[0], masses, everywhere, counts, corpus
-
-
-def _split(table: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The suspects, and (source, chain, mass) of the other segments."""
-    clean = table.where("doc_id is null").groupBy("source").agg(F.sum("seg").cast("double").alias("mass")).select("source", F.lit(0).alias("chain"), "mass")
-    return table.where("doc_id is not null"), clean
+    return _in_sources(_suspects(cores, counts, ROUNDS, corpus), places, masses), everywhere
 
 
 def _usable(documents: DataFrame) -> DataFrame:
@@ -452,30 +497,32 @@ def _usable(documents: DataFrame) -> DataFrame:
 
 
 def garbled_segments(documents: DataFrame) -> DataFrame:
-    """(doc_id, seg, garbled, repaired, chain, probability) for each stretch whose chain is more likely than none.
+    """(doc_id, seg, chain, numbers, probability) for each stretch whose chain is more likely than none.
 
-    ``seg`` numbers the sentences and lines of the text; repaired is null where characters are lost. A run of such
-    characters that is itself put in quotes is an example, not a case. Null texts and null ids give nothing, a null source
-    is one of its own, texts in ASCII are clean; repeated rows are looked at one by one, empty tables give no rows.
+    ``seg`` numbers the sentences and lines of the text; ``numbers`` are those of the words concerned among its words beyond ASCII, none
+    if it is all of it. A run of such characters that is itself put in quotes is an example, not a case. Null texts and null ids
+    give nothing, a null source is one of its own, texts in ASCII are clean; repeated rows are looked at one by one, empty
+    tables give no rows.
     """
-    suspects, masses, everywhere, counts, corpus = _learn(_usable(documents))
-    shared = share(suspects.sparkSession, (everywhere, counts))
+    found = _cores(_usable(documents))
+    met, everywhere = _learn(found)
+    shared = share(found.sparkSession, everywhere)
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        overall, current = shared()
-        model = Trigrams(current, ROUNDS, corpus)
+        overall = shared()
         for batch in batches:
             out = []
-            for doc, seg, text, texts, kinds, chains, mass in zip(*(batch[c] for c in ("doc_id", "seg", "text", "texts", "kinds", "chains", "masses"))):
+            for text, source, kinds, numbers, logs, chains, mass in zip(*(batch[c] for c in ("core", "source", "kinds", "numbers", "logs", "chains", "masses"))):
                 kinds = [list(k) for k in kinds]
-                p = _posterior(texts, kinds, model, _shares(chains, mass, overall))
+                p = _posterior(logs, kinds, _shares(chains, mass, overall))
                 own = sum(float(x) for k, x in zip(kinds, p) if k == [0])
                 if own < 0.5:
                     best = max(range(len(p)), key=lambda i: p[i] if kinds[i] != [0] else -1.0)
-                    out.append((doc, seg, text, None if kinds[best] == [1] else texts[best], CHAINS[kinds[best][0]], 1.0 - own))
-            yield pd.DataFrame(out, columns=["doc_id", "seg", "garbled", "repaired", "chain", "probability"])
+                    out.append((text, source, CHAINS[kinds[best][0]], list(numbers[best]), 1.0 - own))
+            yield pd.DataFrame(out, columns=["core", "source", "chain", "numbers", "probability"])
 
-    return _with_shares(suspects, masses).mapInPandas(decide, "doc_id bigint, seg bigint, garbled string, repaired string, chain string, probability double")
+    told = cut(spread(met, "core", "source").mapInPandas(decide, "core string, source string, chain string, numbers array<int>, probability double"))
+    return sized_join(found, told, ["core", "source"], "inner", F.xxhash64("doc_id", "seg")).select("doc_id", "seg", "chain", "numbers", "probability")
 
 
 def garbled_documents(documents: DataFrame) -> DataFrame:
@@ -483,13 +530,30 @@ def garbled_documents(documents: DataFrame) -> DataFrame:
     return garbled_segments(documents).select("doc_id").distinct()
 
 
+def _put_back(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        out = []
+        for doc, text, fixes in zip(batch["doc_id"], batch["text"], batch["fixes"]):
+            wanted = {int(f["seg"]): f for f in fixes}
+            parts, recovered, number = _SPLIT_KEPT.split(text), True, -1
+            for i in range(0, len(parts), 2):  # segments and what stands between them take turns
+                if not parts[i]:
+                    continue
+                number += 1
+                if number in wanted:
+                    new = repaired(parts[i], wanted[number]["chain"], list(wanted[number]["numbers"]))
+                    recovered = recovered and new is not None
+                    parts[i] = parts[i] if new is None else new
+            out.append((doc, "".join(parts), recovered))
+        yield pd.DataFrame(out, columns=["doc_id", "repaired_text", "recovered"])
+
+
 def repair_documents(documents: DataFrame) -> DataFrame:
-    """(doc_id, repaired_text, recovered): garbled documents with each recoverable stretch replaced in place.
+    """(doc_id, repaired_text, recovered): garbled documents with each recoverable stretch replaced where it stands.
 
-    recovered is false if some stretch lost characters; that stretch is left as it is.
+    recovered is false if some stretch lost characters; that stretch is left as it is. An equal stretch elsewhere in the text that
+    is no case, such as a quoted one, stays. Of several texts with one id each is repaired by the stretches found under the id.
     """
-    found = garbled_segments(documents).where("doc_id is not null")
-    fixes = found.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("seg", "garbled", "repaired"))).alias("fixes"), F.every(F.col("repaired").isNotNull()).alias("recovered"))
-    texts = _usable(documents).select("doc_id", "text")
-    whole = F.aggregate(F.filter("fixes", lambda f: f.repaired.isNotNull()), F.col("text"), lambda acc, f: F.replace(acc, f.garbled, f.repaired))
-    return texts.join(fixes, "doc_id").select("doc_id", whole.alias("repaired_text"), "recovered").distinct()
+    fixes = garbled_segments(documents).groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("seg", "chain", "numbers"))).alias("fixes"))
+    met = _usable(documents).select("doc_id", "text").join(fixes, "doc_id")
+    return met.mapInPandas(_put_back, "doc_id bigint, repaired_text string, recovered boolean").distinct()
