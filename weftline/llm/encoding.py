@@ -161,6 +161,7 @@ class Trigrams:
         self.backoff = max(LEAST_BACKOFF, BACKOFF * max(corpus, self.places) / COOLING**turn)
         self.maps: dict[str, list[tuple[int, dict[int, str]]]] = {}
         self.words: dict[str, dict[int, tuple[str, float]]] = {}
+        self.passing: dict[tuple[str, int], tuple[str, float]] = {}
 
     def commonness(self, chars: str) -> float:
         slots = (_fold((np.fromiter(map(ord, chars), np.uint64, len(chars)),)) % np.uint64(SIZES[4])).astype(np.int64)
@@ -186,6 +187,9 @@ class Trigrams:
     def logliks(self, texts: list[str]) -> np.ndarray:
         slots, owner = self.slots(texts)
         t3, c3, t2, c2, t1 = (part[slot] for part, slot in zip(self.parts, slots))
+        # A place counts in all five tables, so a count above that of a part of it comes from another one in its slot.
+        t2 = np.minimum(t2, np.minimum(c2, t1))
+        t3 = np.minimum(t3, np.minimum(c3, t2))
         p1 = (t1 + 0.05) / (self.places + 0.05 * 65536)
         p2 = (t2 + self.backoff * p1) / (c2 + self.backoff)
         return np.bincount(owner, np.log((t3 + self.backoff * p2) / (c3 + self.backoff)), len(texts))
@@ -200,7 +204,7 @@ def _fold_on(h: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def _fold(columns: tuple[np.ndarray, ...]) -> np.ndarray:
-    h = np.full(len(columns[0]), 0x9E3779B97F4A7C15, np.uint64)
+    h = np.uint64(0x9E3779B97F4A7C15)
     for x in columns:
         h = _fold_on(h, x)
     return h
@@ -266,6 +270,14 @@ def _gains(word: str, model: Trigrams) -> dict[int, tuple[str, float]]:
 
 def _passing(word: str, chain: int, model: Trigrams) -> tuple[str, float]:
     """What a chain between one-byte encodings that no one would try on the word alone, as it may leave it as it is, makes of it."""
+    if (known := model.passing.get((word, chain))) is None:
+        known = _passed(word, chain, model)
+        if len(model.passing) < 500_000:  # a memory, not a limit
+            model.passing[(word, chain)] = known
+    return known
+
+
+def _passed(word: str, chain: int, model: Trigrams) -> tuple[str, float]:
     written, read, *more = CHAINS[chain].split(">")
     text = None if more or written == "utf-8" else undo(word, written, read)
     if text is None or not _plausible(text):
