@@ -188,3 +188,181 @@ def without_diacritics(c: pd.Series) -> pd.Series:
 @F.pandas_udf(StringType())
 def normal_form(c: pd.Series) -> pd.Series:
     return c.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+
+
+# --- addresses, escapes, code points, bits
+
+
+def url_part(c: Column, part: str) -> Column:
+    """host, port, protocol, path, query, ref or userinfo of an address; null where it has none or is no address."""
+    if part == "port":
+        return F.nullif(F.regexp_extract(c, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*:([0-9]+)(?:[/?#]|$)", 1), F.lit("")).cast("int")
+    return F.try_parse_url(c, F.lit(part.upper()))
+
+
+def is_url(c: Column) -> Column:
+    return F.coalesce(c.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://[^\s/?#]+\S*$"), F.lit(False))
+
+
+def is_ascii(c: Column) -> Column:
+    return c.rlike(r"^[\x00-\x7F]*\z")
+
+
+#: Characters with a name in XML. Fixed values.
+_XML = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;"))
+
+
+def escape_xml(c: Column) -> Column:
+    for char, name in _XML:
+        c = F.replace(c, F.lit(char), F.lit(name))
+    return c
+
+
+def unescape_xml(c: Column) -> Column:
+    for char, name in reversed(_XML):
+        c = F.replace(c, F.lit(name), F.lit(char))
+    return c
+
+
+def code_point_at(c: Column, index: int) -> Column:
+    """The code point at a place from 0; null beyond the end."""
+    return F.when(F.length(c) > index, F.conv(F.hex(F.encode(F.substring(c, index + 1, 1), "UTF-32")), 16, 10).cast("bigint"))
+
+
+def from_code_points(points: Column) -> Column:
+    return F.array_join(F.transform(points, lambda p: F.decode(F.unhex(F.lpad(F.hex(p.cast("bigint")), 8, "0")), "UTF-32")), "")
+
+
+def bit_set(c: Column, bit: int, on: bool = True) -> Column:
+    mask = F.lit(1 << bit if bit < 63 else -(1 << 63)).cast("bigint")
+    return c.cast("bigint").bitwiseOR(mask) if on else c.cast("bigint").bitwiseAND(F.bitwise_not(mask))
+
+
+def add_noise(c: Column, width: float, key: Column, seed: str = "") -> Column:
+    """The value moved by up to ``width`` to either side, evenly, the same for the same key and seed."""
+    unit = F.conv(F.left(F.sha2(F.concat(F.lit(seed + "|"), key.cast("string")), 256), F.lit(8)), 16, 10).cast("double") / F.lit(float(2**32))
+    return c.cast("double") + (unit * 2 - 1) * width
+
+
+def format_message(pattern: str, *values: Column) -> Column:
+    """Marks {0}, {1} ... replaced; null as "null", marks without a value stay."""
+    out = F.lit(pattern)
+    for n, v in enumerate(values):
+        out = F.replace(out, F.lit(f"{{{n}}}"), F.coalesce(v.cast("string"), F.lit("null")))
+    return out
+
+
+def normalize_decimal(c: Column) -> Column:
+    """A decimal text without zeros that carry nothing and without a plus sign; null if it is no number without an exponent."""
+    sign, whole, part = (F.regexp_extract(c, r"^\s*([+-]?)0*([0-9]*)(?:\.([0-9]*?)0*)?\s*$", i) for i in (1, 2, 3))
+    digits = F.concat(F.when(whole == "", "0").otherwise(whole), F.when(part == "", "").otherwise(F.concat(F.lit("."), part)))
+    ok = c.rlike(r"^\s*[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)\s*$")
+    return F.when(ok, F.concat(F.when((sign == "-") & (digits != "0"), "-").otherwise(""), digits))
+
+
+# --- lists, trees and packed numbers
+
+
+def insert_at(c: Column, index: int, *values: Column) -> Column:
+    """Values put before the place ``index`` (from 0); beyond the end is an error."""
+    ok = F.size(c) >= index
+    return F.when(ok, F.concat(F.slice(c, 1, index), F.array(*values), F.slice(c, index + 1, F.size(c)))).otherwise(F.raise_error(F.lit("index beyond the list")))
+
+
+def binary_search(c: Column, value: Column) -> Column:
+    """The place (from 0) of a value in a sorted list, the first of equals; else -(where it would stand) - 1."""
+    at = F.array_position(c, value)
+    return F.when(at > 0, at - 1).otherwise(-F.size(F.filter(c, lambda x: x < value)).cast("bigint") - 1)
+
+
+def find_all_values(json: Column, key: str) -> Column:
+    """Texts of all values of a key anywhere in a JSON document, in order; a text that does not parse has none."""
+    import json as J
+
+    @F.pandas_udf("array<string>")
+    def walk(values: pd.Series) -> pd.Series:
+        def visit(x):
+            if isinstance(x, dict):
+                for k, v in x.items():
+                    if k == key:
+                        yield v if isinstance(v, str) else J.dumps(v)
+                    yield from visit(v)
+            elif isinstance(x, list):
+                for v in x:
+                    yield from visit(v)
+
+        def one(text):
+            try:
+                return list(visit(J.loads(text))) if text else []
+            except (ValueError, RecursionError):
+                return []
+
+        return values.map(one)
+
+    return walk(json)
+
+
+def pack_decimal(c: Column) -> Column:
+    """A whole number in packed decimal form: two digits a byte, the last half byte C for plus and D for minus."""
+    digits = F.regexp_replace(c.cast("bigint").cast("string"), "^-", "")
+    nibbles = F.concat(digits, F.when(c.cast("bigint") < 0, "D").otherwise("C"))
+    return F.unhex(F.when(F.length(nibbles) % 2 == 1, F.concat(F.lit("0"), nibbles)).otherwise(nibbles))
+
+
+def unpack_decimal(c: Column) -> Column:
+    h = F.hex(c)
+    value = F.left(h, F.length(h) - 1).try_cast("bigint")
+    return F.when(F.right(h, F.lit(1)) == "D", -value).when(F.right(h, F.lit(1)).isin("C", "F"), value)
+
+
+# --- records
+
+
+def copy_by_name(source: list[str], target: list[str]) -> list[Column]:
+    """The target's columns taken from those of the same name, without regard to case; others are null."""
+    known = {c.lower(): c for c in source}
+    return [(F.col(known[t.lower()]) if t.lower() in known else F.lit(None)).alias(t) for t in target]
+
+
+def copy_by_position(source: list[str], target: list[str]) -> list[Column]:
+    """The target's columns taken from those at the same places; others are null."""
+    return [(F.col(source[i]) if i < len(source) else F.lit(None)).alias(t) for i, t in enumerate(target)]
+
+
+def compare_fields(a: Column, b: Column) -> Column:
+    """-1, 0 or 1; null comes before everything and equals null."""
+    return F.when(a.eqNullSafe(b), 0).when(a.isNull(), -1).when(b.isNull(), 1).when(a < b, -1).otherwise(1)
+
+
+def on_error(value: Column, bad: Column, message: Column, fallback: Column) -> Column:
+    """struct(value, error): the fallback and a message where ``bad`` holds, so that rows with an error can be routed away."""
+    failed = F.coalesce(bad, F.lit(False))
+    return F.struct(F.when(failed, fallback).otherwise(value).alias("value"), F.when(failed, message).alias("error"))
+
+
+# --- validation
+
+
+def is_email(c: Column) -> Column:
+    """One @ between a local part and a domain with a dot, no blanks."""
+    return F.coalesce(c.rlike(r"^[^@\s<>()]+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9-]+)+\z"), F.lit(False))
+
+
+def is_phone(c: Column) -> Column:
+    """7 to 15 digits with an optional plus, blanks, hyphens and brackets between them."""
+    digits = F.regexp_replace(c, r"[\s()/.-]", "")
+    return F.coalesce(digits.rlike(r"^\+?[0-9]{7,15}\z"), F.lit(False))
+
+
+def is_card(c: Column) -> Column:
+    """12 to 19 digits, blanks and hyphens aside, whose check digit is right."""
+    digits = F.regexp_replace(c, "[ -]", "")
+    return F.coalesce(digits.rlike(r"^[0-9]{12,19}\z") & F.call_function("luhn_check", digits), F.lit(False))
+
+
+def parse_properties(c: Column) -> Column:
+    """map of ``key=value`` lines; lines without a sign, blank ones and those after # or ! are left out, the last of a key holds."""
+    lines = F.filter(F.split(F.coalesce(c, F.lit("")), r"\r?\n"), lambda x: x.rlike(r"^\s*[^#!\s=][^=]*="))
+    pairs = F.transform(lines, lambda x: F.struct(F.trim(F.substring_index(x, "=", 1)).alias("k"), F.trim(F.regexp_replace(x, "^[^=]*=", "")).alias("v")))
+    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q.k == p.k))
+    return F.map_from_entries(last)

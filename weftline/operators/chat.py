@@ -28,6 +28,22 @@ def from_instruction_form(instruction: Column, extra: Column, answer: Column) ->
     return F.array(make("user", prompt), make("assistant", answer))
 
 
+def one_shape(df: DataFrame) -> DataFrame:
+    """All columns with ``messages`` filled and ``shape``: messages, conversations or instruction, whichever a record has first, else unknown.
+
+    Columns messages, conversations, instruction, input and output may be absent; a blank instruction counts as absent.
+    """
+    have = set(df.columns)
+    share = from_share_form(F.col("conversations")) if "conversations" in have else F.lit(None).cast(MESSAGE)
+    told = F.col("instruction") if "instruction" in have else F.lit(None).cast("string")
+    extra, answer = (F.col(c) if c in have else F.lit(None).cast("string") for c in ("input", "output"))
+    own = F.col("messages") if "messages" in have else F.lit(None).cast(MESSAGE)
+    filled = F.nullif(_strip(told), F.lit("")).isNotNull()
+    shape = F.when(own.isNotNull(), "messages").when(share.isNotNull(), "conversations").when(filled, "instruction").otherwise("unknown")
+    messages = F.coalesce(own, share, F.when(filled, from_instruction_form(told, extra, answer)))
+    return df.withColumns({"shape": shape, "messages": messages})
+
+
 def of_role(messages: Column, role: str) -> Column:
     return F.filter(messages, lambda m: m.role == role)
 

@@ -16,15 +16,15 @@ def sorted_neighbours(df: DataFrame, key: str, mark: str) -> DataFrame:
     each; the keys at the ranges' ends are joined to it, so no task sees more than its range and two of these. Keys should be
     distinct, or equal ones fall into one range; a null key has no neighbours, null marks count as false, no rows give none.
     """
-    placed = cut(df.where(F.col(key).isNotNull()).repartitionByRange(key).withColumn("_p", F.spark_partition_id()))
+    placed = cut(df.where(F.col(key).isNotNull()).repartitionByRange(key).withColumn("__range", F.spark_partition_id()))
     marked = F.when(F.col(mark), F.col(key))
-    one_before = Window.partitionBy("_p").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    one_after = Window.partitionBy("_p").orderBy(F.col(key).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    one_before = Window.partitionBy("__range").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    one_after = Window.partitionBy("__range").orderBy(F.col(key).desc()).rowsBetween(Window.unboundedPreceding, -1)
     inside = placed.withColumn("before", F.last(marked, True).over(one_before)).withColumn("after", F.last(marked, True).over(one_after))
-    ends = placed.groupBy("_p").agg(F.min(marked).alias("_low"), F.max(marked).alias("_high"))
-    has = F.when(F.col("_low").isNotNull(), F.col("_p"))
-    upwards = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    downwards = Window.orderBy(F.col("_p").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    steps = ends.select("_p", F.last(has, True).over(upwards).alias("_left"), F.last(has, True).over(downwards).alias("_right"))
-    around = steps.join(ends.select(F.col("_p").alias("_left"), "_high"), "_left", "left").join(ends.select(F.col("_p").alias("_right"), "_low"), "_right", "left").select("_p", "_high", "_low")
-    return inside.join(around, "_p", "left").select(*df.columns, F.coalesce("before", "_high").alias("before"), F.coalesce("after", "_low").alias("after"))
+    ends = placed.groupBy("__range").agg(F.min(marked).alias("__low"), F.max(marked).alias("__high"))
+    has = F.when(F.col("__low").isNotNull(), F.col("__range"))
+    upwards = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    downwards = Window.orderBy(F.col("__range").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    steps = ends.select("__range", F.last(has, True).over(upwards).alias("__left"), F.last(has, True).over(downwards).alias("__right"))
+    around = steps.join(ends.select(F.col("__range").alias("__left"), "__high"), "__left", "left").join(ends.select(F.col("__range").alias("__right"), "__low"), "__right", "left").select("__range", "__high", "__low")
+    return inside.join(around, "__range", "left").select(*df.columns, F.coalesce("before", "__high").alias("before"), F.coalesce("after", "__low").alias("after"))

@@ -104,6 +104,41 @@ def hash_join(driver: DataFrame, slave: DataFrame, keys: Sequence[tuple[str, str
     return driver.join(one, condition, how).drop(*[f"_s{i}" for i in range(len(keys))])
 
 
+def key_mapping(text: str) -> list[list[tuple[str, str]]]:
+    """For each port the (driver, slave) columns of a rule such as ``$a=$b;$c=$d#$x=$y``; a column alone stands on both sides."""
+    ports = []
+    for part in text.split("#"):
+        pairs = []
+        for one in filter(None, (p.strip() for p in part.split(";"))):
+            left, _, right = one.partition("=")
+            names = [n.strip().removeprefix("$") for n in (left, right or left)]
+            if not all(names):
+                raise ValueError(f"no columns in {one!r}")
+            pairs.append((names[0], names[1]))
+        ports.append(pairs)
+    return ports
+
+
+def call_out(df: DataFrame, send, schema: str, tries: int = 3) -> DataFrame:
+    """Rows passed in batches to ``send`` (a pandas frame in, one out, as ``schema`` says), such as a client of an outside service.
+
+    A call that raises is repeated ``tries`` times, then its task fails. Connections are the function's own matter.
+    """
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for left in range(tries, 0, -1):
+                try:
+                    out = send(batch)
+                    break
+                except Exception:
+                    if left == 1:
+                        raise
+            yield out
+
+    return df.mapInPandas(work, schema)
+
+
 def combine(a: DataFrame, b: DataFrame, order_a: Sequence[str], order_b: Sequence[str]) -> DataFrame:
     """The i-th rows of two flows side by side; the longer one goes on with nulls. Numbers are given over ranges."""
     numbered = lambda df, order: global_row_number(df, [F.col(o) for o in order], "_rn")

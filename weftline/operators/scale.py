@@ -109,16 +109,16 @@ def global_running_sum(df: DataFrame, order: Sequence[Column], value: str, out:
 
 def _over_ranges(df: DataFrame, order: Sequence[Column], part: Sequence[str], out: str, value: str | None) -> DataFrame:
     part = list(part)
-    placed = cut(df.repartitionByRange(*[F.col(p) for p in part], *order).withColumn("_p", F.spark_partition_id()))
-    sizes = placed.groupBy(*part, "_p").agg((F.count(F.lit(1)) if value is None else F.coalesce(F.sum(value), F.lit(0))).alias("_n"))
-    earlier = Window.partitionBy(*part).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    before = sizes.select(*[F.col(p).alias(f"_r_{p}") for p in part], F.col("_p").alias("_r_p"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(*part, "_p").orderBy(*order)
+    placed = cut(df.repartitionByRange(*[F.col(p) for p in part], *order).withColumn("__range", F.spark_partition_id()))
+    sizes = placed.groupBy(*part, "__range").agg((F.count(F.lit(1)) if value is None else F.coalesce(F.sum(value), F.lit(0))).alias("__size"))
+    earlier = Window.partitionBy(*part).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(*[F.col(p).alias(f"__part{n}") for n, p in enumerate(part)], F.col("__range").alias("__of"), F.coalesce(F.sum("__size").over(earlier), F.lit(0)).alias("__before"))
+    inside = Window.partitionBy(*part, "__range").orderBy(*order)
     own = F.row_number().over(inside) if value is None else F.coalesce(F.sum(value).over(inside.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
-    condition = F.col("_p") == F.col("_r_p")
-    for p in part:
-        condition = condition & F.col(p).eqNullSafe(F.col(f"_r_{p}"))
-    return placed.withColumn("_i", own).join(before, condition).select(*df.columns, (F.col("_before") + F.col("_i")).alias(out))
+    condition = F.col("__range") == F.col("__of")
+    for n, p in enumerate(part):
+        condition = condition & F.col(p).eqNullSafe(F.col(f"__part{n}"))
+    return placed.withColumn("__own", own).join(before, condition).select(*df.columns, (F.col("__before") + F.col("__own")).alias(out))
 
 
 def hash_bucket(buckets: int, *cols: Column | str, seed: str = "") -> Column:

@@ -7,6 +7,7 @@ representative each.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -152,3 +153,18 @@ def edit_similarity(a: Column, b: Column) -> Column:
     """1 - Levenshtein distance / longer length; 1 for two empty texts. Not the matching-blocks ratio."""
     longest = F.greatest(F.length(a), F.length(b))
     return F.when(longest == 0, F.lit(1.0)).otherwise(1 - F.levenshtein(a, b) / longest)
+
+
+def matching_ratio(a: Column, b: Column) -> Column:
+    """Twice the characters in matching blocks over both lengths: the longest common block, then on either side of it again.
+
+    1 for two empty texts, null if a side is null. Spark has no expression for blocks; costs grow with the product of lengths, so
+    put a filter on lengths before it.
+    """
+    from difflib import SequenceMatcher
+
+    @F.pandas_udf("double")
+    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([None if s is None or t is None else SequenceMatcher(None, s, t, autojunk=False).ratio() for s, t in zip(x, y)], dtype="float64")
+
+    return ratio(a, b)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.functions import strict as C
 from weftline.operators import records as R
 from weftline.operators.identity import keep_first
 from weftline.plans.tables import on
@@ -213,11 +214,93 @@ def zipped_flows(c: DataFrame, s: DataFrame) -> DataFrame:
     return R.combine(c.select("c_custkey"), s.select("s_suppkey"), ["c_custkey"], ["s_suppkey"])
 
 
+@on("orders", "lineitem")
+def settlement_states(o: DataFrame, i: DataFrame) -> DataFrame:
+    """Expected against settled amounts with amounts that do not parse: these go to repair; void settlements count 0, equal sides are dropped."""
+    text = F.when(F.col("o_orderpriority") == "5-LOW", "n/a").otherwise(_money("o_totalprice").cast("string"))
+    planned = o.select(F.col("o_orderkey").alias("k2"), text.alias("text")).withColumn("planned", F.col("text").try_cast("decimal(18,2)"))
+    settled = i.groupBy(F.col("l_orderkey").alias("k")).agg(F.sum(F.when(F.col("l_returnflag") != "R", _money("l_extendedprice")).otherwise(0)).alias("settled"))
+    d = planned.join(settled, F.col("k") == F.col("k2"), "full").withColumn("delta", F.coalesce("settled", F.lit(0)) - F.coalesce("planned", F.lit(0)))
+    state = F.when(F.col("k2").isNotNull() & F.col("planned").isNull(), "REPAIR").when(F.col("k2").isNull(), "UNPLANNED").when(F.col("k").isNull(), "WAITING").when(F.col("delta") < 0, "SHORT").otherwise("EXCESS")
+    return d.withColumn("state", state).where("state = 'REPAIR' or delta <> 0").groupBy("state").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("state") != "REPAIR", F.col("delta"))).cast("double").alias("delta"))
+
+
+@on("lineitem")
+def receipt_states(i: DataFrame) -> DataFrame:
+    """Lines as receipts: a blank id is invalid, a repeated one a duplicate, a void or small one ineligible; the first eligible wins, and the
+    winner so far stands on each."""
+    receipt = F.when(F.col("l_returnflag") == "A", "").otherwise(F.pmod("l_partkey", F.lit(3)).cast("string"))
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_extendedprice")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    d = i.select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_linestatus", "l_quantity", receipt.alias("id"))
+    d = d.withColumn("seen", F.row_number().over(Window.partitionBy("l_orderkey", "id").orderBy("l_linenumber", "l_partkey", "l_extendedprice")))
+    fits = (F.col("id") != "") & (F.col("seen") == 1) & ~((F.col("l_linestatus") == "F") | F.col("l_quantity").isNull() | (F.col("l_quantity") <= 5))
+    d = d.withColumn("fits", fits).withColumn("k", F.count_if("fits").over(upto)).withColumn("winner", F.first(F.when(F.col("fits"), F.col("id")), True).over(upto))
+    state = F.when(F.col("id") == "", "INVALID").when(F.col("seen") > 1, "DUPLICATE").when(~F.col("fits"), "INELIGIBLE").when(F.col("k") == 1, "WINNER").otherwise("ELIGIBLE")
+    return d.select("l_orderkey", "l_linenumber", state.alias("state"), "winner")
+
+
+@on("orders")
+def tariff_operations(o: DataFrame) -> DataFrame:
+    """Each order as a tariff record: a cancellation closes and tells so, a bad rate is an error, an unchanged one only an audit, a change
+    closes and opens and tells both."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    d = o.withColumn("was", F.lag("o_orderpriority").over(w))
+    op = lambda name: F.struct(F.lit(name).alias("op"))
+    bad, cancelled = F.col("o_totalprice") < 20000, F.col("o_orderstatus") == "P"
+    same = F.col("was").eqNullSafe(F.col("o_orderpriority"))
+    ops = F.when(cancelled, F.array(op("CLOSE"), op("CANCELLED"))).when(bad, F.array(op("ERROR"))).when(same, F.array(op("AUDIT"))).when(F.col("was").isNull(), F.array(op("OPEN"), op("AUDIT"))).otherwise(F.array(op("CLOSE"), op("OPEN"), op("AUDIT")))
+    return d.select("o_orderkey", F.posexplode(ops).alias("place", "x")).select("o_orderkey", "place", "x.op")
+
+
+@on("orders")
+def handled_errors(o: DataFrame) -> DataFrame:
+    """A parse that may fail, its fallback and the message, and the rows by the port that follows from it."""
+    text = F.when(F.col("o_orderstatus") == "P", "x").otherwise(F.col("o_custkey").cast("string"))
+    handled = C.on_error(text.try_cast("int"), text.try_cast("int").isNull(), F.concat(F.lit("no number: "), text), F.lit(-1))
+    good, bad = R.split_filter(o.select("o_orderkey", handled.alias("h")).select("o_orderkey", "h.value", "h.error"), F.col("error").isNull())
+    told = lambda d, port: d.groupBy("error").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).withColumn("port", F.lit(port))
+    return told(good, 0).unionByName(told(bad, 1))
+
+
+@on("orders")
+def graph_parameters(o: DataFrame) -> DataFrame:
+    """Parameters of a run as named arguments of SQL text."""
+    o.createOrReplaceTempView("parameterised_orders")
+    return o.sparkSession.sql("SELECT o_orderpriority, count(*) AS n FROM parameterised_orders WHERE o_totalprice > :least AND o_orderstatus = :status GROUP BY 1", args={"least": 100000, "status": "F"})
+
+
+@on("customer", "nation", "supplier")
+def mapped_keys(c: DataFrame, n: DataFrame, s: DataFrame) -> DataFrame:
+    """Two slave ports joined by a mapping of differently named keys."""
+    first, second = R.key_mapping("$c_nationkey=$n_nationkey # $c_custkey = $s_suppkey; $c_nationkey=$s_nationkey")
+    out = R.hash_join(c.select("c_custkey", "c_nationkey"), n.select("n_nationkey", "n_name"), first, ["n_name"])
+    return R.hash_join(out, s.select("s_suppkey", "s_nationkey", "s_name"), second, ["s_name"]).select("c_custkey", "n_name", "s_name")
+
+
+@on("part")
+def called_out(p: DataFrame) -> DataFrame:
+    """Rows through an outside function in batches."""
+    return R.call_out(p.select("p_partkey", "p_size"), lambda b: b.assign(p_size=b["p_size"] * 2), "p_partkey bigint, p_size int")
+
+
+@on("part", "customer")
+def hashed_ports(p: DataFrame, c: DataFrame) -> DataFrame:
+    """Records copied by name and by place, spread over ports by key: every row reaches one port, and a copy each of two."""
+    same = p.select("p_partkey", "p_name").select(*C.copy_by_name(["p_partkey", "p_name"], ["P_NAME", "P_PARTKEY", "absent"]))
+    placed = R.hash_partition(same, ["P_PARTKEY"], 4)
+    twice = R.to_ports(c.select("c_custkey", "c_name").select(*C.copy_by_position(["c_custkey", "c_name"], ["id", "name"])), [0, 1])
+    one = placed.agg(F.count(F.lit(1)).alias("rows"), F.sum((F.col("port").between(0, 3)).cast("int")).alias("inside"), F.count("absent").alias("absent"), F.sum("P_PARTKEY").alias("keys"))
+    two = twice.groupBy("port").agg(F.count(F.lit(1)).alias("rows"), F.sum("id").alias("keys"))
+    return one.select(F.lit(-1).alias("port"), "rows", "inside", "absent", "keys").unionByName(two.select("port", "rows", F.lit(None).cast("bigint").alias("inside"), F.lit(None).cast("bigint").alias("absent"), "keys"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         route_ports, reject_reasons, expand_words, winner_per_key, rollup_summary, running_detail, retractions, month_report, fiscal_quarters, islands_of_types, reset_balances, snapshot_changes,
         outer_gaps, tariff_cascade, lookup_chain, type_versions, close_and_open, clipped_levels, generated_discounts, numbered_output, json_entries, sessions, config_changes, batches_of_rows, zipped_flows,
+        settlement_states, receipt_states, tariff_operations, handled_errors, graph_parameters, mapped_keys, called_out, hashed_ports,
     )
 }
 
@@ -251,5 +334,13 @@ ORACLES = {
     "sessions": "WITH d AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) <= 1800000000 THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM d) SELECT user_id, CAST(session AS BIGINT) AS session, count(*) AS n, min(event_id) AS least_id FROM s GROUP BY 1, 2",
     "config_changes": "WITH d AS (SELECT *, lag(run_params) OVER (PARTITION BY sandbox ORDER BY created_at, example_id) AS old FROM setup_bundles) SELECT example_id, array_to_string(list_sort(list_filter(list_distinct(list_concat(map_keys(old), map_keys(run_params))), lambda k: old[k] IS DISTINCT FROM run_params[k])), ',') AS changed FROM d WHERE old IS NOT NULL AND run_params IS NOT NULL",
     "batches_of_rows": "WITH d AS (SELECT *, (row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1) // 3 AS grp FROM lineitem) SELECT l_suppkey, grp, count(*) AS n, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS units FROM d GROUP BY 1, 2",
+    "settlement_states": "WITH s AS (SELECT l_orderkey AS k, sum(CASE WHEN l_returnflag <> 'R' THEN CAST(l_extendedprice AS DECIMAL(18,2)) ELSE 0 END) AS settled FROM lineitem GROUP BY 1), d AS (SELECT k, o_orderkey AS k2, o_orderpriority = '5-LOW' AS bad, coalesce(settled, 0) - coalesce(CAST(o_totalprice AS DECIMAL(18,2)), 0) AS delta FROM orders FULL JOIN s ON k = o_orderkey), x AS (SELECT CASE WHEN bad THEN 'REPAIR' WHEN k2 IS NULL THEN 'UNPLANNED' WHEN k IS NULL THEN 'WAITING' WHEN delta < 0 THEN 'SHORT' ELSE 'EXCESS' END AS state, delta FROM d) SELECT state, count(*) AS n, CAST(sum(CASE WHEN state <> 'REPAIR' THEN delta END) AS DOUBLE) AS delta FROM x WHERE state = 'REPAIR' OR delta <> 0 GROUP BY 1",
+    "receipt_states": "WITH i AS (SELECT *, CASE WHEN l_returnflag = 'A' THEN '' ELSE CAST(l_partkey % 3 AS VARCHAR) END AS id FROM lineitem), s AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, id ORDER BY l_linenumber, l_partkey, l_extendedprice) AS seen FROM i), f AS (SELECT *, id <> '' AND seen = 1 AND NOT (l_linestatus = 'F' OR l_quantity IS NULL OR l_quantity <= 5) AS fits FROM s) SELECT l_orderkey, l_linenumber, CASE WHEN id = '' THEN 'INVALID' WHEN seen > 1 THEN 'DUPLICATE' WHEN NOT fits THEN 'INELIGIBLE' WHEN count(*) FILTER (fits) OVER w = 1 THEN 'WINNER' ELSE 'ELIGIBLE' END AS state, first_value(CASE WHEN fits THEN id END IGNORE NULLS) OVER w AS winner FROM f WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice ROWS UNBOUNDED PRECEDING)",
+    "tariff_operations": "WITH d AS (SELECT *, lag(o_orderpriority) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS was FROM orders), x AS (SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN ['CLOSE', 'CANCELLED'] WHEN o_totalprice < 20000 THEN ['ERROR'] WHEN was IS NOT DISTINCT FROM o_orderpriority THEN ['AUDIT'] WHEN was IS NULL THEN ['OPEN', 'AUDIT'] ELSE ['CLOSE', 'OPEN', 'AUDIT'] END AS a FROM d) SELECT o_orderkey, CAST(generate_subscripts(a, 1) - 1 AS INT) AS place, unnest(a) AS op FROM x",
+    "handled_errors": "SELECT CASE WHEN o_orderstatus = 'P' THEN 'no number: x' END AS error, count(*) AS n, CAST(sum(CASE WHEN o_orderstatus = 'P' THEN -1 ELSE o_custkey END) AS BIGINT) AS total, CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END AS port FROM orders GROUP BY 1, 4",
+    "graph_parameters": "SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_totalprice > 100000 AND o_orderstatus = 'F' GROUP BY 1",
+    "mapped_keys": "SELECT c_custkey, n_name, s_name FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN supplier ON s_suppkey = c_custkey AND s_nationkey = c_nationkey",
+    "called_out": "SELECT p_partkey, p_size * 2 AS p_size FROM part",
+    "hashed_ports": "SELECT -1 AS port, count(*) AS rows, count(*) AS inside, 0 AS absent, CAST(sum(p_partkey) AS BIGINT) AS keys FROM part UNION ALL SELECT port, count(*), NULL, NULL, CAST(sum(c_custkey) AS BIGINT) FROM customer, (SELECT unnest([0, 1]) AS port) GROUP BY port",
     "zipped_flows": "SELECT c_custkey, s_suppkey FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS rn FROM customer) FULL JOIN (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) AS rn FROM supplier) USING (rn)",
 }

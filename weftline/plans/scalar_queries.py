@@ -69,10 +69,46 @@ def overflow(c: DataFrame) -> DataFrame:
     return c.select("c_custkey", C.wrap_int(k * 3_000_019).alias("wrapped"), canonical_value(F.concat(F.lit(" "), k.cast("string"), F.lit("0.50E-1"))).alias("value"))
 
 
-QUERIES = {f.__name__: f for f in (string_functions, math_functions, date_functions, list_functions, map_functions, file_parts, conversions, null_functions, overflow)}
+@on("part")
+def address_functions(p: DataFrame) -> DataFrame:
+    """Parts of addresses, escapes and code points of made-up texts."""
+    url = F.concat(F.lit("https://u:p@host"), "p_size", F.lit(".org:80"), F.pmod("p_size", F.lit(10)), F.lit("/a/"), F.url_encode("p_name"), F.lit("?q="), "p_partkey", F.lit("#top"))
+    xml = F.concat(F.lit("<"), "p_name", F.lit("&'\""))
+    parts = [C.url_part(url, w).alias(w) for w in ("host", "port", "protocol", "query", "ref", "userinfo")]
+    return p.select("p_partkey", *parts, C.is_url(url).alias("is_url"), C.is_url(F.col("p_name")).alias("name_is_url"), C.escape_xml(xml).alias("escaped"), (C.unescape_xml(C.escape_xml(xml)) == xml).alias("back"), C.code_point_at(F.col("p_name"), 1).alias("point"), C.from_code_points(F.array(F.lit(233), F.lit(128512), F.col("p_size") + 64)).alias("text"))
+
+
+@on("customer")
+def bit_functions(c: DataFrame) -> DataFrame:
+    """Bits, packed decimals, messages and decimals in normal form."""
+    k = F.col("c_custkey").cast("bigint")
+    signed = F.when(k % 2 == 0, -k).otherwise(k)
+    text = F.concat(F.lit("+00"), k.cast("string"), F.lit(".500"))
+    return c.select("c_custkey", C.bit_set(k, 4).alias("bit_on"), C.bit_set(k, 0, False).alias("bit_off"), F.hex(C.pack_decimal(signed)).alias("packed"), C.unpack_decimal(C.pack_decimal(signed)).alias("unpacked"), C.format_message("{0} of {1}: {0}", k, F.lit(None)).alias("message"), C.normalize_decimal(text).alias("decimal"), (F.abs(C.add_noise(k, 2.0, k) - k) <= 2).alias("near"), C.compare_fields(k % 3, F.nullif(k % 2, F.lit(0))).alias("compared"))
+
+
+@on("forged_provenance")
+def container_functions(p: DataFrame) -> DataFrame:
+    m = F.array_sort(F.coalesce("rejected_failure_modes", F.array().cast("array<string>")))
+    doc = F.to_json(F.struct("pair_id", F.col("provenance.verdict").alias("v")))
+    return p.select("pair_id", "logged_at", F.array_join(C.insert_at(m, 0, F.lit("first")), ",").alias("inserted"), C.binary_search(m, F.lit("null_handling")).alias("found"), F.array_join(C.find_all_values(doc, "verdict"), ",").alias("verdicts"))
+
+
+QUERIES = {f.__name__: f for f in (address_functions, bit_functions, container_functions, string_functions, math_functions, date_functions, list_functions, map_functions, file_parts, conversions, null_functions, overflow)}
 
 _M = "coalesce(rejected_failure_modes, [])"
 ORACLES = {
+    "address_functions": """
+        SELECT p_partkey, 'host' || p_size || '.org' AS host, CAST('80' || p_size % 10 AS INT) AS port, 'https' AS protocol, 'q=' || p_partkey AS query, 'top' AS ref, 'u:p' AS userinfo, true AS is_url, false AS name_is_url,
+               '&lt;' || p_name || '&amp;&apos;&quot;' AS escaped, true AS back, ord(p_name[2]) AS point, 'é😀' || chr(CAST(p_size + 64 AS INT)) AS text FROM part""",
+    "bit_functions": """
+        WITH k AS (SELECT c_custkey, CAST(c_custkey AS BIGINT) AS k FROM customer)
+        SELECT c_custkey, k | 16 AS bit_on, k - k % 2 AS bit_off, CASE WHEN length(CAST(k AS VARCHAR)) % 2 = 0 THEN '0' ELSE '' END || k || CASE WHEN k % 2 = 0 AND k > 0 THEN 'D' ELSE 'C' END AS packed, CASE WHEN k % 2 = 0 THEN -k ELSE k END AS unpacked,
+               k || ' of null: ' || k AS message, k || '.5' AS decimal, true AS near, CASE WHEN nullif(k % 2, 0) IS NULL THEN 1 ELSE sign(k % 3 - 1) END AS compared FROM k""",
+    "container_functions": """
+        WITH m AS (SELECT *, list_sort(coalesce(rejected_failure_modes, [])) AS m FROM forged_provenance)
+        SELECT pair_id, logged_at, array_to_string(list_prepend('first', m), ',') AS inserted, CASE WHEN list_contains(m, 'null_handling') THEN list_position(m, 'null_handling') - 1 ELSE -len(list_filter(m, lambda x: x < 'null_handling')) - 1 END AS found,
+               coalesce(provenance.verdict.verdict, '') AS verdicts FROM m""",
     "string_functions": "SELECT p_partkey, substr(p_name, 3, 5) AS part, strpos(p_name, 'a') - 1 AS first_a, CASE WHEN strpos(reverse(p_name), 'a') = 0 THEN -1 ELSE length(p_name) - strpos(reverse(p_name), 'a') END AS last_a, length(p_name) - length(replace(p_name, 'e', '')) AS e, lpad(left(p_name, 4), 6, '*') AS padded, reverse(p_name) AS reversed, p_brand || 'null' || p_size AS joined, upper(right(p_name, 3)) AS tail FROM part",
     "math_functions": "WITH x AS (SELECT l_linenumber, CAST(trunc(l_quantity) AS INT) AS q FROM lineitem) SELECT l_linenumber, CAST(sum(q // 7) AS BIGINT) AS whole, CAST(sum(q % 7) AS BIGINT) AS rest, CAST(sum(q & 5) AS BIGINT) AS bits, CAST(sum(sign(q - 25)) AS BIGINT) AS signs, round(CAST(sum(CAST(sqrt(q) AS DECIMAL(20,8))) AS DOUBLE), 4) AS roots, CAST(sum(greatest(q, 30)) AS BIGINT) AS most FROM x GROUP BY 1",
     "date_functions": "SELECT o_orderkey, strftime(o_orderdate + INTERVAL 40 DAY, '%Y-%m-%d') AS later, datesub('month', TIMESTAMP '1992-01-15', o_orderdate) AS months, isodow(o_orderdate) AS weekday, strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') AS month_start, year(o_orderdate) AS year FROM orders",

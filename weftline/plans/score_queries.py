@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import stats
+from weftline.operators import pairs
 from weftline.operators.identity import keep_first, remaining
 from weftline.plans.tables import on
 
@@ -63,11 +64,8 @@ def level_pivot(e: DataFrame) -> DataFrame:
 @on("forged_provenance")
 def labelled(p: DataFrame) -> DataFrame:
     """Truth table of level, verdict and confidence."""
-    v, level = F.col("provenance.verdict"), F.col("provenance.exec_level")
-    sure = F.coalesce(v.confidence >= 0.6, F.lit(False))
-    rejected = F.when(level.isin("L1_fail", "L2_fail"), True).when(level == "L3_mismatch", ~(sure & v.verdict.isin("correct", "partially_correct"))).otherwise(sure & (v.verdict == "incorrect"))
-    correct = F.when(level.isin("L1_fail", "L2_fail"), False).when(level == "L3_mismatch", sure & (v.verdict == "correct")).otherwise(~(sure & (v.verdict == "incorrect")))
-    return p.select("pair_id", "logged_at", F.coalesce(rejected, F.lit(False)).alias("rejected"), F.coalesce(correct, F.lit(False)).alias("correct"))
+    told = pairs.label(F.col("provenance.exec_level"), F.col("provenance.verdict.verdict"), F.col("provenance.verdict.confidence"))
+    return p.select("pair_id", "logged_at", F.coalesce(told.rejected, F.lit(False)).alias("rejected"), F.coalesce(told.correct, F.lit(False)).alias("correct"))
 
 
 @on("exec_results")
@@ -240,19 +238,6 @@ def task_mean_error(e: DataFrame) -> DataFrame:
     return per.agg(F.round(F.avg("r"), 6).alias("mean"), F.round(F.stddev_samp("r") / F.sqrt(F.count("r")), 6).alias("error"), F.count(F.lit(1)).alias("tasks"))
 
 
-@on("exec_results")
-def bootstrap_interval(e: DataFrame) -> DataFrame:
-    """Percentile interval of the mean pass rate from 200 hash-driven Poisson resamples; no draw leaves its task."""
-    per = _runs(e).groupBy("example_id").agg(F.avg((F.col("exec_level") == "L3_pass").cast("double")).alias("r"))
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit("boot"), "example_id", "b"), 11) / F.lit(float(2**53))).cast("double")
-    # Poisson(1) by inversion, up to 6 copies.
-    steps = [0.36787944117, 0.73575888234, 0.91969860293, 0.98101184312, 0.99634015317, 0.99940581518]
-    copies = sum(((u > s).cast("int") for s in steps), F.lit(0))
-    drawn = per.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(199)))).withColumn("w", copies)
-    means = drawn.groupBy("b").agg((F.sum(F.col("r") * F.col("w")) / F.sum("w")).alias("m"))
-    return means.agg(F.round(F.percentile("m", F.lit(0.025)), 3).alias("low"), F.round(F.percentile("m", F.lit(0.975)), 3).alias("high"))
-
-
 @on("forged", "source_examples")
 def best_versions(f: DataFrame, s: DataFrame) -> DataFrame:
     """The first pool's answer if it is at least 0.7 as long as the second's, else the second's; either where one is missing."""
@@ -284,7 +269,7 @@ QUERIES = {
     for f in (
         anti_exclusion, semi_executed, resume_todo, three_way, fallback_link, level_pivot, labelled, informative_pick, composition_caps, top_modes, temperature_levels, wilson_levels,
         candidate_difference, paired_difference, pass_histogram, worst_status, transitions, length_percentiles, weighted_means, nested_segments, status_cube, status_rollup, round_averages,
-        series_summary, agreement, shard_throughput, recall_by_kind, scores_with_penalties, all_of_set, staged_filter, task_mean_error, bootstrap_interval, best_versions, complete_groups, replay_share,
+        series_summary, agreement, shard_throughput, recall_by_kind, scores_with_penalties, all_of_set, staged_filter, task_mean_error, best_versions, complete_groups, replay_share,
     )
 }
 
