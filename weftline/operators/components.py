@@ -22,13 +22,15 @@ def contract(edges: DataFrame) -> DataFrame:
     """
     edges = cut(edges.where("u is not null and v is not null and u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     merges: DataFrame | None = None
-    turn = 0
+    turn, small = 0, False
     while not edges.isEmpty():
+        # Merges have no more vertices than the edges have ends; edges only become fewer, so they are measured until they are small.
+        small = small or is_small(edges.unionByName(edges))
         heads = lambda c: F.pmod(F.xxhash64(F.lit(turn), c), F.lit(2)) == 1  # noqa: B023, E731
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         merged = cut(both.where(~heads("u") & heads("v")).groupBy("u").agg(F.min("v").alias("into")))
         merges = merged if merges is None else merges.unionByName(merged)
-        renamed, small = edges, is_small(merged)
+        renamed = edges
         for side in ("u", "v"):
             renamed = sized_join(renamed, merged.select(F.col("u").alias(side), F.col("into").alias("_into")), [side], "left", small=small)
             renamed = renamed.withColumn(side, F.coalesce("_into", side)).drop("_into")
@@ -37,9 +39,9 @@ def contract(edges: DataFrame) -> DataFrame:
     if merges is None:
         return edges.select(F.col("u").alias("vertex"), F.col("v").alias("root"))
     forest = cut(merges.select(F.col("u").alias("vertex"), F.col("into").alias("root")))
-    depth = 1
+    depth, small = 1, is_small(forest)
     while depth < turn:  # a path has one level for each round at most
         up = forest.select(F.col("vertex").alias("root"), F.col("root").alias("_up"))
-        forest = cut(sized_join(forest, up, ["root"], "left", F.xxhash64("vertex")).select("vertex", F.coalesce("_up", "root").alias("root")))
+        forest = cut(sized_join(forest, up, ["root"], "left", F.xxhash64("vertex"), small).select("vertex", F.coalesce("_up", "root").alias("root")))
         depth *= 2
     return forest

@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from weftline.functions.values import canonical_value
-from weftline.operators.scale import hot_keys, salted_join
-from weftline.session import cut
+from weftline.operators.scale import hot_keys, is_small, salted_join, sized_join
+from weftline.session import cut, spread
 
 #: The field's prime; products of two elements fit into 64 bits. Fixed value.
 P = 2**31 - 1
@@ -206,7 +206,7 @@ def _bucketed(rows: DataFrame, sizes: DataFrame) -> DataFrame:
     Buckets go by contents, so that a row key that many rows share does not fill one.
     """
     slim = rows.select("set_id", "h", "x64", F.xxhash64(F.lit("bucket"), "x64").alias("_k"))
-    placed = salted_join(slim, sizes, ["set_id"], "left", F.col("x64"), hot=None)
+    placed = sized_join(slim, sizes, ["set_id"], "left", F.col("x64"))
     return placed.select("set_id", F.pmod("_k", F.coalesce("buckets", F.lit(1))).cast("int").alias("bucket"), "h", "x64")
 
 
@@ -232,20 +232,20 @@ def reconcile(pairs: DataFrame, left: DataFrame, right: DataFrame, ignored: tupl
     sizes = counts(left).unionByName(most).groupBy("set_id").agg(F.ceil(F.max("n") / F.lit(float(BUCKET_ROWS))).cast("int").alias("buckets")).where("buckets > 1")
     sizes = cut(sizes)
     spots = salted_join(pairs, sizes.withColumnRenamed("set_id", "left_id"), ["left_id"], "left", F.xxhash64("right_id"), hot=hot)
-    right_sizes = spots.where("buckets is not null").select(F.col("right_id").alias("set_id"), "buckets").distinct()
+    right_sizes = cut(spots.where("buckets is not null").select(F.col("right_id").alias("set_id"), "buckets").distinct())
     ls = cut(_sketches(_bucketed(left, sizes)))
     rs = cut(_sketches(_bucketed(right, right_sizes)))
 
     spots = spots.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.coalesce("buckets", F.lit(1)) - 1))).drop("buckets")
     # Only buckets that are not solved are evaluated again, and only at points that are new.
-    pending, bound, seen, solved = spots, FIRST_BOUND, 0, []
+    pending, bound, seen, solved, small = spots, FIRST_BOUND, 0, [], False
     while True:
         points = range(seen, bound + CHECKS)
         sides = []
         for name, table in (("l", ls), ("r", rs)):
             keys = ["left_id" if name == "l" else "right_id", "bucket"]
             table = table.withColumnRenamed("set_id", keys[0])
-            table = table.join(pending.select(*keys).distinct(), keys, "left_semi") if seen else table
+            table = sized_join(table, pending.select(*keys).distinct(), keys, "left_semi", small=small) if seen else table
             sides.append(table.select(*keys, F.size("hs").alias(name + "n"), F.col("x").alias(name + "x"), _values(F.col("hs"), points).alias(name + "v")))
         one = F.array(*[F.lit(1)] * len(points)).cast("array<bigint>")
         met = salted_join(pending, sides[0], ["left_id", "bucket"], "left", F.xxhash64("right_id"), hot=hot).join(sides[1], ["right_id", "bucket"], "left")
@@ -254,11 +254,12 @@ def reconcile(pairs: DataFrame, left: DataFrame, right: DataFrame, ignored: tupl
             "pair_id", "left_id", "right_id", "bucket", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("ln", "rn", "lx", "rx")],
             *[(F.concat(old, values[v]) if seen else values[v]).alias(old) for old, v in (("le", "lv"), ("re", "rv"))], F.lit(bound).alias("bound"),
         ).where("ln <> rn or lx <> rx or le <> re")
-        result = cut(met.drop("lx", "rx").mapInPandas(_decode_batches, _schema(pairs)))
+        result = cut(spread(met.drop("lx", "rx"), "pair_id", "bucket").mapInPandas(_decode_batches, _schema(pairs)))
         solved.append(result.where("solved").drop("le", "re"))
         pending = result.where("not solved").select("pair_id", "left_id", "right_id", "bucket", "le", "re")
         if pending.isEmpty():
             break
+        small = small or is_small(pending.select("left_id", "right_id", "bucket"))
         seen, bound = bound + CHECKS, bound * 2
     found = solved[0]
     for more in solved[1:]:
@@ -273,7 +274,10 @@ def _schema(pairs: DataFrame) -> str:
 
 def _fetch(found: DataFrame, rows: DataFrame, side: str, hot: list[Row]) -> DataFrame:
     wanted = found.where(F.col("on_left") == (side == "left_id")).select("pair_id", F.col(side).alias("set_id"), "bucket", "h")
-    joined = salted_join(wanted, rows, ["set_id", "h"], spread=F.xxhash64("pair_id"), hot=_renamed(hot, "set_id"))
+    if is_small(wanted):
+        joined = rows.join(F.broadcast(wanted), ["set_id", "h"])
+    else:
+        joined = salted_join(wanted, rows, ["set_id", "h"], spread=F.xxhash64("pair_id"), hot=_renamed(hot, "set_id"))
     return joined.select("pair_id", "bucket", "row_key", "fields", "x64")
 
 
