@@ -77,18 +77,18 @@ def distributed_row_number(df: DataFrame, part: Sequence[str], order: Sequence[C
     buckets, which are |part| x buckets small rows, so a key with a third of all rows is spread over ``buckets`` tasks.
     """
     part = list(part)
-    d = df.withColumn("_b", bucket.cast("int"))
-    counts = d.groupBy(*part, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*part).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    shifted = counts.withColumn("_before", before)
-    numbered = d.withColumn("_i", F.row_number().over(Window.partitionBy(*part, "_b").orderBy(*order)))
+    d = df.withColumn("__b", bucket.cast("int"))
+    counts = d.groupBy(*part, "__b").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(*part).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifted = counts.withColumn("__before", before)
+    numbered = d.withColumn("__i", F.row_number().over(Window.partitionBy(*part, "__b").orderBy(*order)))
     condition = F.lit(True)
-    for k in [*part, "_b"]:
+    for k in [*part, "__b"]:
         condition = condition & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
     return (
         numbered.alias("l")
-        .join(shifted.drop("_n").alias("r"), condition)
-        .select(*[F.col(f"l.{c}") for c in df.columns], (F.col("r._before") + F.col("l._i")).alias(out))
+        .join(shifted.drop("__n").alias("r"), condition)
+        .select(*[F.col(f"l.{c}") for c in df.columns], (F.col("r.__before") + F.col("l.__i")).alias(out))
     )
 
 
@@ -130,12 +130,12 @@ def hash_bucket(buckets: int, *cols: Column | str, seed: str = "") -> Column:
 def distributed_running_sum(df: DataFrame, part: Sequence[str], order: Sequence[Column], bucket: Column, buckets: int, value: str, out: str = "running") -> DataFrame:
     """``sum(value) over (partition by part order by bucket, order rows unbounded preceding)``, split as in distributed_row_number."""
     part = list(part)
-    d = df.withColumn("_b", bucket.cast("int"))
-    sums = d.groupBy(*part, "_b").agg(F.sum(value).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*part).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    shifted = sums.withColumn("_before", before).drop("_n")
-    running = d.withColumn("_i", F.sum(value).over(Window.partitionBy(*part, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    d = df.withColumn("__b", bucket.cast("int"))
+    sums = d.groupBy(*part, "__b").agg(F.sum(value).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(*part).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifted = sums.withColumn("__before", before).drop("__n")
+    running = d.withColumn("__i", F.sum(value).over(Window.partitionBy(*part, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
     condition = F.lit(True)
-    for k in [*part, "_b"]:
+    for k in [*part, "__b"]:
         condition = condition & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
-    return running.alias("l").join(shifted.alias("r"), condition).select(*[F.col(f"l.{c}") for c in df.columns], (F.col("r._before") + F.col("l._i")).alias(out))
+    return running.alias("l").join(shifted.alias("r"), condition).select(*[F.col(f"l.{c}") for c in df.columns], (F.col("r.__before") + F.col("l.__i")).alias(out))

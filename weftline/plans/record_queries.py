@@ -341,6 +341,6 @@ ORACLES = {
     "graph_parameters": "SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_totalprice > 100000 AND o_orderstatus = 'F' GROUP BY 1",
     "mapped_keys": "SELECT c_custkey, n_name, s_name FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN supplier ON s_suppkey = c_custkey AND s_nationkey = c_nationkey",
     "called_out": "SELECT p_partkey, p_size * 2 AS p_size FROM part",
-    "hashed_ports": "SELECT -1 AS port, count(*) AS rows, count(*) AS inside, 0 AS absent, CAST(sum(p_partkey) AS BIGINT) AS keys FROM part UNION ALL SELECT port, count(*), NULL, NULL, CAST(sum(c_custkey) AS BIGINT) FROM customer, (SELECT unnest([0, 1]) AS port) GROUP BY port",
+    "hashed_ports": "SELECT -1 AS port, count(*) AS rows, count(*) AS inside, CAST(0 AS BIGINT) AS absent, CAST(sum(p_partkey) AS BIGINT) AS keys FROM part UNION ALL SELECT port, count(*), NULL, NULL, CAST(sum(c_custkey) AS BIGINT) FROM customer, (SELECT unnest([0, 1]) AS port) GROUP BY port",
     "zipped_flows": "SELECT c_custkey, s_suppkey FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS rn FROM customer) FULL JOIN (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) AS rn FROM supplier) USING (rn)",
 }

@@ -100,11 +100,11 @@ _M = "coalesce(rejected_failure_modes, [])"
 ORACLES = {
     "address_functions": """
         SELECT p_partkey, 'host' || p_size || '.org' AS host, CAST('80' || p_size % 10 AS INT) AS port, 'https' AS protocol, 'q=' || p_partkey AS query, 'top' AS ref, 'u:p' AS userinfo, true AS is_url, false AS name_is_url,
-               '&lt;' || p_name || '&amp;&apos;&quot;' AS escaped, true AS back, ord(p_name[2]) AS point, 'é😀' || chr(CAST(p_size + 64 AS INT)) AS text FROM part""",
+               '&lt;' || p_name || '&amp;&apos;&quot;' AS escaped, true AS back, CAST(ord(p_name[2]) AS BIGINT) AS point, 'é😀' || chr(CAST(p_size + 64 AS INT)) AS text FROM part""",
     "bit_functions": """
         WITH k AS (SELECT c_custkey, CAST(c_custkey AS BIGINT) AS k FROM customer)
         SELECT c_custkey, k | 16 AS bit_on, k - k % 2 AS bit_off, CASE WHEN length(CAST(k AS VARCHAR)) % 2 = 0 THEN '0' ELSE '' END || k || CASE WHEN k % 2 = 0 AND k > 0 THEN 'D' ELSE 'C' END AS packed, CASE WHEN k % 2 = 0 THEN -k ELSE k END AS unpacked,
-               k || ' of null: ' || k AS message, k || '.5' AS decimal, true AS near, CASE WHEN nullif(k % 2, 0) IS NULL THEN 1 ELSE sign(k % 3 - 1) END AS compared FROM k""",
+               k || ' of null: ' || k AS message, k || '.5' AS decimal, true AS near, CAST(CASE WHEN nullif(k % 2, 0) IS NULL THEN 1 ELSE sign(k % 3 - 1) END AS INT) AS compared FROM k""",
     "container_functions": """
         WITH m AS (SELECT *, list_sort(coalesce(rejected_failure_modes, [])) AS m FROM forged_provenance)
         SELECT pair_id, logged_at, array_to_string(list_prepend('first', m), ',') AS inserted, CASE WHEN list_contains(m, 'null_handling') THEN list_position(m, 'null_handling') - 1 ELSE -len(list_filter(m, lambda x: x < 'null_handling')) - 1 END AS found,

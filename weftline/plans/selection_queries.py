@@ -63,7 +63,7 @@ def weighted_rows(c: DataFrame) -> DataFrame:
 
 @on("suite_tests")
 def epoch_draws(t: DataFrame) -> DataFrame:
-    return L.epochs(t, "item_id", 3, "s7").where("place <= 20").select("epoch", "place", "item_id")
+    return L.epochs(t, "item_id", 3, "s7").select("epoch", "place", "item_id")
 
 
 @on("documents")
@@ -110,7 +110,7 @@ ORACLES = {
     "proportional_sample": f"SELECT doc_id, doc_kind FROM (SELECT doc_id, doc_kind, row_number() OVER (PARTITION BY doc_kind ORDER BY {_H('s6', 'doc_id')}, doc_id) AS rn, count(*) OVER (PARTITION BY doc_kind) AS n, count(*) OVER () AS a FROM documents) WHERE rn <= greatest(1, floor(30.0 * n / a + 0.5))",
     "stride_holdout": "SELECT item_id, test_type FROM (SELECT *, row_number() OVER (PARTITION BY test_type ORDER BY item_id) - 1 AS i FROM suite_tests) WHERE i >= 2 AND (i - 2) % 5 = 0 AND i < 17",
     "weighted_rows": "SELECT c_custkey, CAST(unnest(range(1, c_custkey % 4)) AS INTEGER) AS copy FROM customer WHERE c_custkey % 4 > 1",
-    "epoch_draws": "SELECT CAST(epoch AS INTEGER) AS epoch, CAST(place AS INTEGER) AS place, item_id FROM (SELECT *, row_number() OVER (PARTITION BY epoch ORDER BY sha256('s7|' || epoch || '|' || item_id), item_id) AS place FROM (SELECT item_id, unnest(range(0, 3)) AS epoch FROM suite_tests)) WHERE place <= 20",
+    "epoch_draws": "SELECT CAST(epoch AS INTEGER) AS epoch, place, item_id FROM (SELECT *, row_number() OVER (PARTITION BY epoch ORDER BY sha256('s7|' || epoch || '|' || item_id), item_id) AS place FROM (SELECT item_id, unnest(range(0, 3)) AS epoch FROM suite_tests))",
     "category_cascade": f"""WITH a AS (SELECT doc_id FROM documents WHERE n_chars > 2000 ORDER BY {_H('s8', 'doc_id')}, doc_id LIMIT 20),
         b AS (SELECT doc_id FROM documents WHERE doc_kind = 'spec' AND doc_id NOT IN (FROM a) ORDER BY {_H('s8', 'doc_id')}, doc_id LIMIT 15),
         c AS (SELECT doc_id FROM documents WHERE doc_id NOT IN (FROM a) AND doc_id NOT IN (FROM b) ORDER BY {_H('s8', 'doc_id')}, doc_id LIMIT 10)

@@ -46,7 +46,7 @@ def delimited_orders(o: DataFrame) -> DataFrame:
     rows = o.select("o_orderkey", F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice").cast("decimal(12,2)")).alias("amount"), "o_orderdate", F.when(F.col("o_orderstatus") == "F", "").otherwise(F.col("o_orderpriority")).alias("note"))
     writers.write_delimited(rows, path)
     schema = T.StructType([T.StructField("o_orderkey", T.LongType()), T.StructField("amount", T.DecimalType(12, 2)), T.StructField("o_orderdate", T.TimestampType()), T.StructField("note", T.StringType())])
-    return readers.read_delimited(spark, path, schema, most_errors=0)[0].withColumn("amount", F.col("amount").cast("double"))
+    return readers.read_delimited(spark, path, schema, most_errors=0)[0].withColumns({"amount": F.col("amount").cast("double"), "o_orderdate": F.col("o_orderdate").cast("timestamp_ntz")})
 
 
 @on("orders")
@@ -277,32 +277,32 @@ except ImportError:  # run logs are in YAML
 
 _PORT = metadata.PORT
 ORACLES = {
-    "json_lines": "SELECT rec_id, md5(prompt) AS prompt, source_index, 1 AS rejects FROM source_examples",
+    "json_lines": "SELECT rec_id, md5(prompt) AS prompt, source_index, CAST(1 AS BIGINT) AS rejects FROM source_examples",
     "json_array": "SELECT item_id, md5(rubric) AS rubric, test_type FROM suite_tests",
     "delimited_orders": "SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS DOUBLE) END AS amount, date_trunc('millisecond', o_orderdate) AS o_orderdate, CASE WHEN o_orderstatus = 'F' THEN '' ELSE o_orderpriority END AS note FROM orders",
     "delimited_errors": "SELECT array_to_string(list_filter([CASE WHEN o_orderstatus = 'P' THEN 'amount' END, CASE WHEN o_orderpriority = '5-LOW' THEN 'day' END], lambda x: x IS NOT NULL), ',') AS cells, count(*) AS n FROM orders GROUP BY 1",
     "any_format": "SELECT suffix, p_partkey, p_name FROM part, (SELECT unnest(['.csv', '.tsv', '.del', '.jsonl']) AS suffix)",
     "listed_inputs": "SELECT c_mktsegment, count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS keys FROM customer GROUP BY 1",
-    "training_files": "SELECT pair_id AS id, md5(prompt) AS user, 1 AS files FROM forged",
+    "training_files": "SELECT pair_id AS id, md5(prompt) AS user, CAST(1 AS BIGINT) AS files FROM forged",
     "harvested_prompts": "SELECT md5(t) AS prompt, count(*) AS n FROM (SELECT prompt AS t FROM forged UNION ALL SELECT system FROM forged) WHERE t IS NOT NULL GROUP BY 1",
     "sharded_rows": "SELECT exec_id, CASE WHEN bool_or(run_status = 'FINISHED_OK') THEN 'second' ELSE 'first' END AS said FROM exec_results GROUP BY 1",
     "prompts_of_split": "SELECT doc_id, md5(text) AS prompt FROM documents WHERE doc_kind = 'spec'",
     "sqlite_lookup": "SELECT n_name, count(*) AS customers FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey GROUP BY 1",
     "run_log": "SELECT split_name AS split, share_pm AS share, CAST(NULL AS VARCHAR) AS note FROM split_targets",
-    "trainer_history": "SELECT row_number() OVER (ORDER BY category_kind, category_value, target_pm) - 1 AS place, category_kind, category_value, target_pm FROM sample_targets",
+    "trainer_history": "SELECT CAST(row_number() OVER (ORDER BY category_kind, category_value, target_pm) - 1 AS INT) AS place, category_kind, category_value, target_pm FROM sample_targets",
     "port_records": rf"""
         WITH p AS (SELECT rec_id, regexp_extract_all(prompt, '{_PORT}', 1) AS n, regexp_extract_all(prompt, '{_PORT}', 2) AS r, regexp_extract_all(prompt, '{_PORT}', 3) AS x FROM source_examples),
-        u AS (SELECT rec_id, generate_subscripts(n, 1) - 1 AS place, unnest(n) AS port, unnest(r) AS role, unnest(x) AS xml FROM p)
+        u AS (SELECT rec_id, CAST(generate_subscripts(n, 1) - 1 AS INT) AS place, unnest(n) AS port, unnest(r) AS role, unnest(x) AS xml FROM p)
         SELECT rec_id, place, CAST(port AS INT) AS port, role, regexp_extract(xml, '<Record[^>]*name="([^"]*)"', 1) AS record, array_to_string(regexp_extract_all(xml, '<Field[^>]*name="([^"]*)"', 1), ',') AS fields FROM u""",
     "preference_files": "SELECT pair_id, coalesce(system, '') <> '' AS has_system, md5(coalesce(chosen, '')) AS chosen FROM forged",
-    "conversation_files": "SELECT rec_id, 1 + (system IS NOT NULL)::INT + (reference IS NOT NULL)::INT AS turns, md5(coalesce(reference, prompt)) AS last FROM source_examples",
+    "conversation_files": "SELECT rec_id, CAST(1 + (system IS NOT NULL)::INT + (reference IS NOT NULL)::INT AS BIGINT) AS turns, md5(coalesce(reference, prompt)) AS last FROM source_examples",
     "dead_letters": "SELECT CASE WHEN chosen IS NULL THEN 'no_chosen' WHEN trim(chosen, ' ') = '' THEN 'blank_chosen' WHEN rejected IS NULL THEN 'no_rejected' WHEN chosen = rejected THEN 'equal' ELSE 'valid' END AS reason, count(*) AS n FROM forged GROUP BY 1",
     "provenance_files": "SELECT pairing_strategy, provenance.exec_level AS exec_level, count(*) AS n, max(provenance.verdict.confidence) AS surest FROM forged_provenance GROUP BY 1, 2",
     "dataset_registry": "SELECT category_kind AS name, count(*) AS rows, 2 AS version FROM sample_targets GROUP BY 1",
     "upserted_bundles": "WITH r AS (SELECT example_id, max(exec_id) AS seen FROM exec_results GROUP BY 1) SELECT coalesce(b.example_id, r.example_id) AS example_id, coalesce(r.seen, 0) AS seen, CASE WHEN r.example_id IS NULL THEN 'bundle' WHEN b.example_id IS NULL THEN 'added' ELSE 'run' END AS kind FROM setup_bundles b FULL JOIN r ON b.example_id = r.example_id",
     "rewritten_table": "SELECT state, version, n FROM (SELECT count(*) AS n FROM setup_bundles), (SELECT unnest(['now', 'backup']) AS state, unnest([2, 0]) AS version)",
     "result_tables": "WITH s AS (SELECT run_status, count(*) AS runs, count(*) FILTER (exec_level = 'L3_pass') AS passed FROM exec_results GROUP BY 1) SELECT 0 AS line, '| run_status | runs | passed |' AS text UNION ALL SELECT 1, '| --- | --- | --- |' UNION ALL SELECT 1 + row_number() OVER (ORDER BY run_status), '| ' || run_status || ' | ' || runs || ' | ' || passed || ' |' FROM s",
-    "guarded_output": "SELECT least(count(*), 1500) AS written, 1500 AS cap FROM lineitem",
+    "guarded_output": "SELECT least(count(*), 1500) AS written, CAST(1500 AS BIGINT) AS cap FROM lineitem",
     "flat_files": "SELECT o_orderpriority, o_orderstatus, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys, 'o_orderkey,o_orderpriority,o_orderstatus,o_totalprice' AS columns FROM orders GROUP BY 1, 2",
     "merged_output": "SELECT n_nationkey, n_name, NULL AS r_regionkey, NULL AS r_name FROM nation UNION ALL SELECT NULL, NULL, r_regionkey, r_name FROM region",
 }

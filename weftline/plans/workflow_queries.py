@@ -377,7 +377,7 @@ ORACLES = {
         WITH b AS (SELECT pair_id, regexp_replace(list_extract(list_filter(regexp_extract_all(list_extract(string_split(coalesce(chosen, ''), '</think>'), -1), '{FENCE}', 2), lambda x: regexp_matches(x, '\bfunction[ \t\n]+[A-Za-z_]')), -1), '^\s+|\s+$', '', 'g') AS c FROM forged)
         SELECT pair_id, md5(coalesce(CASE WHEN starts_with(c, '//#CTL2') THEN c ELSE '//#CTL2' || chr(10) || c END, '')) AS code FROM b""",
     "loose_reviews": """SELECT DISTINCT exec_id, CASE exec_level WHEN 'L1_fail' THEN 'FAIL' WHEN 'L2_fail' THEN 'FAIL' ELSE 'PASS' END AS verdict, CASE exec_level WHEN 'L1_fail' THEN 'stated' WHEN 'L3_mismatch' THEN 'alone' ELSE 'findings' END AS source,
-        CASE exec_level WHEN 'L2_fail' THEN 2 WHEN 'L3_mismatch' THEN 0 ELSE 1 END AS kept, CASE exec_level WHEN 'L3_mismatch' THEN 1 ELSE 0 END AS dropped, CASE WHEN exec_level IN ('L1_fail', 'L2_fail') THEN 'FAIL' ELSE 'PASS' END AS standing FROM exec_results""",
+        CAST(CASE exec_level WHEN 'L2_fail' THEN 2 WHEN 'L3_mismatch' THEN 0 ELSE 1 END AS BIGINT) AS kept, CAST(CASE exec_level WHEN 'L3_mismatch' THEN 1 ELSE 0 END AS BIGINT) AS dropped, CASE WHEN exec_level IN ('L1_fail', 'L2_fail') THEN 'FAIL' ELSE 'PASS' END AS standing FROM exec_results""",
     "component_sources": f"""
         WITH l AS (SELECT doc_id, nullif(regexp_replace(upper(trim(component, ' ')), '[\\s-]+', '_', 'g'), '') AS k, {_rule_sql("coalesce(text, '')")} AS i FROM documents)
         SELECT doc_id, coalesce(CASE k WHEN 'ROLL_UP' THEN 'ROLLUP' WHEN 'HASH_JOIN' THEN 'EXT_HASH_JOIN' ELSE k END, i) AS value, CASE WHEN k IS NOT NULL THEN 'declared' WHEN i <> '' THEN 'text' ELSE 'none' END AS source FROM l""",
@@ -454,7 +454,7 @@ ORACLES = {
     "port_scores": f"WITH {_R} SELECT example_id AS case, CASE WHEN bool_or(exec_level = 'L1_fail') THEN 'L1_fail' WHEN bool_or(exec_level = 'L2_fail') THEN 'L2_fail' WHEN bool_or(exec_level = 'L3_mismatch') THEN 'L3_mismatch' ELSE 'L3_pass' END AS status, count(*) AS ports FROM r GROUP BY 1",
     "trace_modes": f"SELECT pid, mode FROM (SELECT DISTINCT {_PID} AS pid FROM source_examples) CROSS JOIN (SELECT unnest(['on', 'off']) AS mode) WHERE pid NOT IN (SELECT {_PID} FROM suite_tests)",
     "reusable_samples": f"WITH {_R} SELECT example_id FROM r JOIN setup_bundles USING (example_id) GROUP BY 1 HAVING bool_and(run_status = 'FINISHED_OK') AND count(DISTINCT CASE WHEN candidate_index IN (0, 1) THEN candidate_index END) = 2",
-    "removal_invariant": "SELECT 0 AS lost, true AS subset, true AS ordered",
+    "removal_invariant": "SELECT CAST(0 AS BIGINT) AS lost, true AS subset, true AS ordered",
     "difference_forms": f"""
         WITH {_RESULTS}, x AS (SELECT * FROM t WHERE model IN ('m0', 'm1')),
         w AS (SELECT avg(score) FILTER (model = 'm1') - avg(score) FILTER (model = 'm0') AS d, 1.96 * sqrt(var_samp(score) FILTER (model = 'm0') / count(*) FILTER (model = 'm0') + var_samp(score) FILTER (model = 'm1') / count(*) FILTER (model = 'm1')) AS h FROM x),
