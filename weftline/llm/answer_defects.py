@@ -155,17 +155,15 @@ def _apply_rules(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.concat([batch[_KEPT], told], axis=1)
 
 
-#: What is masked in units: places of records, names of several words; then numbers. ASCII, as names in code are.
-_MASKS = ((r"\$[\w.]*|\b[A-Za-z][A-Za-z0-9]*_\w*|\b[A-Za-z]?[a-z0-9]+[A-Z][A-Za-z0-9]*", "¤"), (r"[0-9]+", "0"))
+#: What is masked in units: places of records, names of several words, numbers. ASCII, as names in code are.
+_MASKED, _MASK = r"\$[\w.]*|\b[A-Za-z][A-Za-z0-9]*_\w*|\b[A-Za-z]?[a-z0-9]+[A-Z][A-Za-z0-9]*|[0-9]+", "¤"
 #: Ends of a unit after which nothing is missing.
 _COMPLETE = r"[.!?…。;}][\"'”’»)\]*_`]*$"
 
 
 def units(answer: Column) -> Column:
     """Lines and sentences of a text in masked form, without blank ones and fences."""
-    text = F.rtrim(answer)
-    for pattern, mask in _MASKS:
-        text = F.regexp_replace(text, pattern, mask)
+    text = F.regexp_replace(F.rtrim(answer), _MASKED, _MASK)
     return F.filter(F.split(text, r"\n+|(?<=[.!?…。]) +"), lambda u: (F.trim(u) != "") & ~u.startswith("```"))
 
 
