@@ -76,13 +76,11 @@ def widen(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """``df`` hashed over as many partitions as shuffles have, or cores if these are more; adaptive execution does not merge them.
+    """``df`` hashed over two partitions for each core; adaptive execution does not merge them.
 
-    For rows that are few in bytes but costly in Python.
+    For rows that are few in bytes but costly in Python, where many small tasks would each set up their own state.
     """
-    spark = df.sparkSession
-    number = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return df.repartition(number, *keys)
+    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism, *keys)
 
 
 T = TypeVar("T")
