@@ -1,8 +1,8 @@
 """Exact word-shingle similarity: nearest reference texts, near-duplicate classes, clusters and holdouts that respect them.
 
 Nothing is estimated. A pair of similar sets shares one of its rarest shingles, so joining only these (prefix filter) with a
-filter on sizes finds every pair; the pairs found are then measured on the whole sets. Exact copies join through one
-representative each.
+filter on sizes finds every pair; the pairs found are then measured on the whole sets (``shingled``). Exact copies join through
+one representative each.
 """
 
 from __future__ import annotations
@@ -11,13 +11,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.functions.text import masked_words, shingles, word_form, word_list
+from weftline.functions.text import masked_words, shingles, word_list
+from weftline.operators import shingled as H
 from weftline.operators.components import contract
-from weftline.operators.scale import BROADCAST_ROWS, MAX_HOT_KEYS, global_running_sum, salted_join, sized_join
+from weftline.operators.scale import BROADCAST_ROWS, global_running_sum, salted_join, sized_join
 from weftline.session import cut
 
 #: Words of a shingle and least Jaccard similarity of near-duplicates.
 WORDS, SIMILAR = 5, 0.8
+#: A similarity below that of any two texts that share a shingle.
+LOWEST = 1e-9
 
 
 def shingle_set(text: Column, n: int = WORDS) -> Column:
@@ -53,31 +56,27 @@ def nearest(texts: DataFrame, references: DataFrame, key: str, ref_key: str, tex
 
 
 def gate(texts: DataFrame, references: DataFrame, key: str, ref_key: str, text: str, ref_text: str, limit: float, masked: bool = False) -> DataFrame:
-    """(checked, with_neighbour, closest, over, passed): how similar any text is to any reference, and whether all stay below ``limit``."""
-    found = nearest(texts, references, key, ref_key, text, ref_text, masked=masked)
-    told = found.agg(F.count(F.lit(1)).alias("with_neighbour"), F.coalesce(F.max("jaccard"), F.lit(0.0)).alias("closest"), F.count_if(F.col("jaccard") >= limit).alias("over"))
-    return texts.agg(F.count(F.lit(1)).alias("checked")).join(told).select("checked", "with_neighbour", "closest", "over", (F.col("over") == 0).alias("passed"))
-
-
-def similar_pairs(sets: DataFrame, key: str, least: float = SIMILAR) -> DataFrame:
-    """(a, b) with a < b of all pairs of ``sets`` (key, s ARRAY<BIGINT>) whose Jaccard similarity reaches ``least``."""
-    grams = sets.where(F.size("s") > 0).select(key, F.size("s").alias("n"), F.explode("s").alias("g"))
-    frequency = cut(grams.groupBy("g").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))  # a shingle of one text leads to no pair
-    total = frequency.agg(F.sum("df")).first()[0] or 0
-    limit = max(20_000.0, total / MAX_HOT_KEYS)
-    hot = frequency.where(F.col("df") > limit).select("g", F.ceil(F.col("df") / limit).cast("int").alias("_salts")).collect()  # at most MAX_HOT_KEYS
-    ranked = salted_join(grams, frequency, ["g"], "left", F.xxhash64(key), hot=hot).withColumn("df", F.coalesce("df", F.lit(1)))
-    order = Window.partitionBy(key).orderBy("df", "g")
-    prefix = ranked.withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).where("df > 1")
-    prefix = cut(prefix)
-    a = prefix.select(F.col(key).alias("a"), F.col("n").alias("na"), "g")
-    b = prefix.select(F.col(key).alias("b"), F.col("n").alias("nb"), "g")
-    close = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * least - 1e-9)
-    # A shingle that many prefixes share is split over salts on one side and repeated on the other.
-    met = salted_join(a, b, ["g"], "inner", F.xxhash64("a")).where(close).select("a", "b").distinct()
-    whole = sets.select(F.col(key).alias("a"), F.col("s").alias("sa"))
-    other = sets.select(F.col(key).alias("b"), F.col("s").alias("sb"))
-    return met.join(whole, "a").join(other, "b").where(jaccard(F.col("sa"), F.col("sb")) >= least - 1e-9).select("a", "b")
+    """(checked, with_neighbour, closest, over, passed): how similar any text is to any reference, and whether all stay below ``limit``.
+
+    All pairs from a little below the limit on are found and measured. If there is none, the search goes on further down, at the
+    closest of the pairs measured on the way, until the closest of all is known; pairs further apart than that are never listed.
+    """
+    docs = texts.select(F.concat(F.lit("t"), F.coalesce(F.col(key).cast("string"), F.lit("\0"))).alias("id"), H.plain(F.col(text)).alias("t"))
+    refs = references.select(F.concat(F.lit("r"), F.coalesce(F.col(ref_key).cast("string"), F.lit("\0"))).alias("id"), H.plain(F.col(ref_text)).alias("t"))
+    hot = H.frequent_of(refs, WORDS, masked)
+    checked, near = texts.count(), H.with_shared(docs, refs, hot, WORDS, masked)
+    closest, over, least = 0.0, None, max(LOWEST, 0.9 * min(limit, 1.0))
+    while near:
+        own = H.prefixes(docs, hot, least, WORDS, masked)
+        firsts = own.unionByName(H.prefixes(refs, hot, least, WORDS, masked, 1, H.bit_map(own.select("g"))))
+        found = cut(H.measured(docs.unionByName(refs), cut(H.candidates(firsts, least, True)), WORDS, masked))
+        closest = found.agg(F.coalesce(F.max("jaccard"), F.lit(0.0))).first()[0]
+        over = found.where(F.col("jaccard") >= limit).select("a").distinct().count() if over is None else over
+        if closest >= least or least == LOWEST:
+            break
+        least = max(LOWEST, closest, least / 2)
+    over = over or 0
+    return texts.sparkSession.createDataFrame([(checked, near, float(closest), over, over == 0)], "checked bigint, with_neighbour bigint, closest double, over bigint, passed boolean")
 
 
 def near_duplicate_classes(texts: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILAR) -> DataFrame:
@@ -87,12 +86,13 @@ def near_duplicate_classes(texts: DataFrame, key: str = "doc_id", text: str = "t
     the join; links counts the members of all groups that are similar to the text's own, itself left out. class_id is the
     smallest key of the class. Null texts count as empty; null keys are left out.
     """
-    rows = texts.where(F.col(key).isNotNull()).select(key, F.col(text).alias("_t"))
-    sets = rows.select(key, shingle_set(F.col("_t")).alias("s"), F.when(F.size(word_list(F.col("_t"))) < WORDS, word_form(F.col("_t"))).alias("short"))
-    sets = cut(sets.withColumn("same", F.sha2(F.concat_ws("|", F.coalesce("short", F.lit("")), F.array_join(F.transform("s", lambda h: h.cast("string")), ",")), 256)))
-    groups = sets.groupBy("same").agg(F.min(key).alias("rep"), F.count(F.lit(1)).alias("copies"), F.any_value("s").alias("s"))
-    groups = cut(groups)
-    pairs = cut(similar_pairs(groups.select(F.col("rep").alias(key), "s"), key, least))
+    docs = texts.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), H.plain(F.col(text)).alias("t"))
+    sets, hot = H.digests(docs, WORDS)
+    groups = cut(sets.groupBy("same").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")))
+    copies = cut(sets.join(groups.where("copies > 1").select("same", "rep"), "same").where("id <> rep").select("id").distinct())
+    single = sized_join(docs, copies, ["id"], "left_anti")
+    met = cut(H.candidates(H.prefixes(single, hot, least, WORDS, False), least, False))
+    pairs = cut(H.measured(single, met, WORDS, False).where(F.col("jaccard") >= least - 1e-9).select("a", "b"))
     text_key = lambda c: F.col(c).cast("string")
     forest = contract(pairs.select(text_key("a").alias("u"), text_key("b").alias("v")))
     size = groups.select("rep", "copies")
@@ -101,7 +101,7 @@ def near_duplicate_classes(texts: DataFrame, key: str = "doc_id", text: str = "t
     rooted = groups.select("same", "rep", "copies").withColumn("vertex", text_key("rep")).join(forest, "vertex", "left").withColumn("root", F.coalesce("root", "vertex"))
     least_key = rooted.groupBy("root").agg(F.min("rep").alias("class_id"))
     told = rooted.join(least_key, "root").join(linked, "rep", "left").select("same", "class_id", (F.col("copies") - 1 + F.coalesce("more", F.lit(0))).alias("links"))
-    return salted_join(sets.select(key, "same"), told, ["same"], "inner", F.xxhash64(key)).select(key, "class_id", "links")
+    return salted_join(sets, told, ["same"], "inner", F.xxhash64("id")).select(F.col("id").alias(key), "class_id", "links")
 
 
 def take_fitting(items: DataFrame, budget: DataFrame, part: str, key: str, size: str, order: Column) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from weftline.functions.text import content_id, folded
 from weftline.operators import identity as I
 from weftline.operators import similarity as S
+from weftline.operators.scale import sized_join
 from weftline.plans.tables import on
 from weftline.plans.text_queries import _WORDS, _norm
 from weftline.session import cut
@@ -79,10 +80,10 @@ def safe_holdout(d: DataFrame) -> DataFrame:
 @on("documents")
 def holdout_gate(d: DataFrame) -> DataFrame:
     """How close the holdout comes to the pool: no text of it may be a near-duplicate of one left in."""
-    held = cut(S.holdout(S.near_duplicate_classes(d), d))
-    part = lambda h: d.join(held.where(h).select("doc_id"), "doc_id", "left_semi")
-    pool = part(~F.col("held")).select(F.col("doc_id").alias("other"), F.col("text").alias("other_text"))
-    return S.gate(part(F.col("held")), pool, "doc_id", "other", "text", "other_text", S.SIMILAR).withColumn("closest", F.round("closest", 6))
+    held = cut(S.holdout(S.near_duplicate_classes(d), d).where("held").select("doc_id"))
+    rows = d.where("doc_id is not null").select("doc_id", "text")
+    pool = sized_join(rows, held, ["doc_id"], "left_anti").select(F.col("doc_id").alias("other"), F.col("text").alias("other_text"))
+    return S.gate(sized_join(rows, held, ["doc_id"], "left_semi"), pool, "doc_id", "other", "text", "other_text", S.SIMILAR).withColumn("closest", F.round("closest", 6))
 
 
 @on("suite_tests")
