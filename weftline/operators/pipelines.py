@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from weftline.functions.text import folded
 from weftline.operators import pairs, selection
 from weftline.operators.identity import keep_first, upsert
-from weftline.operators.scale import global_row_number
+from weftline.operators.scale import global_row_number, sized_join
 from weftline.operators.similarity import gate, nearest
+from weftline.session import cut
 
 
 def repair_candidates(rows: DataFrame, key: str, level: str, text: str, wanted: Sequence[str], least: int = 20) -> DataFrame:
@@ -180,9 +181,13 @@ def distilled(samples: DataFrame, plan: DataFrame, longest: int, seed: str) -> D
 def executable_pool(rows: DataFrame, protected: DataFrame, classes: DataFrame, held: DataFrame, key: str, text: str, ref_key: str, ref_text: str, limit: float = 0.3) -> tuple[DataFrame, DataFrame]:
     """(pool, report): rows away from protected texts by masked similarity, with their class and side, and the closeness of the held side to the rest."""
     near = nearest(rows, protected, key, ref_key, text, ref_text, limit, masked=True)
-    pool = rows.join(near.select(key), key, "left_anti").join(classes.select(key, "class_id"), key).join(held.select(key, "held"), key)
-    rest = pool.where("not held").select(F.col(key).alias("_other"), F.col(text).alias("_other_text"))
-    return pool.select(key, "class_id", "held"), gate(pool.where("held").select(key, text), rest, key, "_other", text, "_other_text", 0.8)
+    keys = rows.select(key).join(near.select(key), key, "left_anti")
+    pool = cut(keys.join(classes.select(key, "class_id"), key).join(held.select(key, "held"), key).select(key, "class_id", "held"))
+    inside, texts = cut(pool.where("held").select(key)), rows.where(F.col(key).isNotNull()).select(key, text)
+    # The other side is most of the rows; what it lacks is the smaller list, so texts are met by that.
+    outside = cut(rows.select(key).join(pool.where("not held").select(key), key, "left_anti").distinct())
+    rest = sized_join(texts, outside, [key], "left_anti").select(F.col(key).alias("_other"), F.col(text).alias("_other_text"))
+    return pool, gate(sized_join(texts, inside, [key], "left_semi"), rest, key, "_other", text, "_other_text", 0.8)
 
 
 def self_corrections(attempts: DataFrame, passed: str = "pass") -> DataFrame:
